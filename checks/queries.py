@@ -50,8 +50,7 @@ def usable(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def counted(spark: SparkSession, sf: str) -> DataFrame:
-    reads = rd.read_intervals(rd.min_mapq(usable(spark, sf)))
-    return iv.count_overlaps(view(spark, sf, "fx_targets"), reads, view(spark, sf, "fx_reads"))
+    return pipeline.count_reads(view(spark, sf, "fx_targets"), view(spark, sf, "fx_reads"))
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +105,7 @@ def hi(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sample_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return g.gene_sample_counts(*gene_level(spark, sf), view(spark, sf, "fx_genes"))
+    return g.gene_sample_counts(g.calls_by_key(*gene_level(spark, sf)), view(spark, sf, "fx_genes"))
 
 
 # ---- sources and sinks
@@ -210,7 +209,7 @@ def sample_stats(spark, sf):
 
 @query
 def counts_wide(spark, sf):
-    return cov.counts_wide(counted(spark, sf))
+    return cov.counts_wide(counted(spark, sf), [f"S{i:02d}" for i in range(24)])
 
 
 @query
@@ -447,7 +446,7 @@ def targets_annotated(spark, sf):
 
 @query
 def gene_calls_merged(spark, sf):
-    return g.merge_callers(*gene_level(spark, sf), view(spark, sf, "fx_genes"))
+    return g.merge_callers(g.calls_by_key(*gene_level(spark, sf)), view(spark, sf, "fx_genes"))
 
 
 @query

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from copyloom.session import cut
+from copyloom.session import cut, small_table
 
 ROW_BLOCK = 512
 COLUMN_BLOCK = 4096
@@ -35,8 +35,10 @@ def with_blocks(
     values: DataFrame, group: str, sample: str, dim: str, value: str, row_block: int, column_block: int
 ) -> DataFrame:
     """(grp, sample, dim, v, lo, hi, cb): every row once per pair of row blocks that its own block takes part in."""
-    sizes = values.groupBy(F.col(group).alias("grp")).agg(
-        F.countDistinct(sample).alias("_samples"), F.countDistinct(dim).alias("_dims")
+    sizes = small_table(
+        values.groupBy(F.col(group).alias("grp")).agg(
+            F.countDistinct(sample).alias("_samples"), F.countDistinct(dim).alias("_dims")
+        )
     )
     rows = values.select(
         F.col(group).alias("grp"), F.col(sample).alias("sample"), F.col(dim).alias("dim"), F.col(value).alias("v")

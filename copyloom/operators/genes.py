@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from copyloom.functions.columns import region_label, strip_chr
 from copyloom.operators.intervals import overlap_join
+from copyloom.session import BROADCAST_ROWS, has_at_most
 
 # Annotation sources that are used, and the columns of the cohort table in their order.
 CURATED_SOURCES = ["ensembl", "ensembl_havana", "havana"]
@@ -69,44 +70,69 @@ def with_call_id(calls: DataFrame) -> DataFrame:
     return calls.withColumn("call_id", region_label(F.col("contig"), F.col("start_bp"), F.col("end_bp")))
 
 
-def exon_hits(exons: DataFrame, calls: DataFrame) -> DataFrame:
+def exon_hits(exons: DataFrame, calls: DataFrame, small: bool | None = None) -> DataFrame:
     """Every exon with every call that overlaps it; contig names lose their "chr" on both sides."""
     track = exons.withColumn("contig", strip_chr(F.col("contig")))
-    return overlap_join(with_call_id(calls), track)
+    return overlap_join(with_call_id(calls), track, small=small)
 
 
-def gene_calls(exons: DataFrame, calls: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """Distinct (sample, gene, call, scores) rows of the calls that touch an exon.
+def gene_hits(exons: DataFrame, calls: DataFrame, fields: dict[str, str], small: bool | None = None) -> DataFrame:
+    """(sample, gene, call, scores) for every exon of a gene that a call touches, with repeats.
 
     Transcripts share exons: each (gene, interval) is matched once, however many transcripts list it.
     """
+    small = has_at_most(exons, BROADCAST_ROWS) if small is None else small
+    intervals = exons.where("gene_id IS NOT NULL").select("gene_id", "contig", "start_bp", "end_bp").distinct()
     wanted = calls.select(
         "sample_name", "contig", "start_bp", "end_bp", *[F.col(c).alias(name) for c, name in fields.items()]
     )
-    return (
-        exon_hits(exons.select("gene_id", "contig", "start_bp", "end_bp").distinct(), wanted)
-        .select(*CALL_KEY, *fields.values())
-        .distinct()
-    )
+    return exon_hits(intervals, wanted, small).select(*CALL_KEY, *fields.values())
+
+
+def gene_calls(exons: DataFrame, calls: DataFrame, fields: dict[str, str], small: bool | None = None) -> DataFrame:
+    """Distinct (sample, gene, call, scores) rows of the calls that touch an exon."""
+    return gene_hits(exons, calls, fields, small).distinct()
 
 
 def call_keys(poisson_genes: DataFrame, ratio_genes: DataFrame) -> DataFrame:
     return poisson_genes.select(*CALL_KEY).unionByName(ratio_genes.select(*CALL_KEY)).distinct()
 
 
-def merge_callers(poisson_genes: DataFrame, ratio_genes: DataFrame, genes: DataFrame) -> DataFrame:
+def calls_by_key(poisson_genes: DataFrame, ratio_genes: DataFrame) -> DataFrame:
+    """Per (sample, gene, call) the sets of either caller's scores.
+
+    One shuffle, combined before it, does the work of making both sides distinct and joining them; the inputs
+    may repeat rows. A set has one entry per differing call at identical coordinates, usually one.
+    """
+    p_type = poisson_genes.select(F.struct(*POISSON_FIELDS.values()).alias("s")).schema["s"].dataType
+    r_type = ratio_genes.select(F.struct(*RATIO_FIELDS.values()).alias("s")).schema["s"].dataType
+    p = poisson_genes.select(*CALL_KEY, F.struct(*POISSON_FIELDS.values()).alias("p"), F.lit(None).cast(r_type).alias("r"))
+    r = ratio_genes.select(*CALL_KEY, F.lit(None).cast(p_type).alias("p"), F.struct(*RATIO_FIELDS.values()).alias("r"))
+    return p.unionByName(r).groupBy(*CALL_KEY).agg(F.collect_set("p").alias("ps"), F.collect_set("r").alias("rs"))
+
+
+def merge_callers(by_key: DataFrame, genes: DataFrame) -> DataFrame:
     """Both callers side by side per (sample, gene, call), with the gene's name and biotype.
 
-    Joining the union of the keys with either caller is the same as one full join of the two.
+    The same rows as a full join of the two callers on the key.
     """
     info = genes.select("gene_id", "gene_name", "gene_biotype")
-    return poisson_genes.join(ratio_genes, CALL_KEY, "full").join(info, "gene_id")
+    return (
+        by_key.withColumn("p", F.explode_outer("ps"))
+        .withColumn("r", F.explode_outer("rs"))
+        .select(*CALL_KEY, "p.*", "r.*")
+        .join(info, "gene_id")
+    )
+
 
+def gene_sample_counts(by_key: DataFrame, genes: DataFrame) -> DataFrame:
+    """Number of samples with a deletion per gene, over both callers.
 
-def gene_sample_counts(poisson_genes: DataFrame, ratio_genes: DataFrame, genes: DataFrame) -> DataFrame:
-    """Number of samples with a deletion per gene, over both callers."""
-    pairs = poisson_genes.select("gene_id", "sample_name").unionByName(ratio_genes.select("gene_id", "sample_name"))
-    counts = pairs.distinct().groupBy("gene_id").agg(F.count("*").alias("sample_cnt"))
+    Asking for the sets keeps this branch on the very shuffle that the rows come from, so it runs once.
+    """
+    found = (F.size("ps") + F.size("rs")) > 0
+    pairs = by_key.groupBy("gene_id", "sample_name").agg(F.max(found).alias("found"))
+    counts = pairs.where("found").groupBy("gene_id").agg(F.count("*").alias("sample_cnt"))
     return counts.join(genes.select("gene_id", "gene_name").distinct(), "gene_id")
 
 

@@ -21,30 +21,24 @@ HOT_BIN_ROWS = 1_000_000
 SWEEP_SHIFT = 16
 
 
-def home_bin(start: Column, end: Column) -> Column:
+def home_bin(start: str, end: str) -> Column:
     """The narrowest bin that holds the whole interval: one bin per row."""
-    fits = [
-        F.when(
-            F.shiftright(start, shift) == F.shiftright(end, shift),
-            F.struct(F.lit(shift).alias("level"), F.shiftright(start, shift).alias("bin")),
-        )
-        for shift in BIN_SHIFTS
+    levels = [
+        f"WHEN shiftright({start}, {s}) = shiftright({end}, {s}) "
+        f"THEN named_struct('level', {s}, 'bin', shiftright({start}, {s}))"
+        for s in BIN_SHIFTS
     ]
-    whole = F.struct(F.lit(WHOLE_CONTIG).alias("level"), F.lit(0).cast("long").alias("bin"))
-    return F.coalesce(*fits, whole)
+    return F.expr(f"CASE {' '.join(levels)} ELSE named_struct('level', {WHOLE_CONTIG}, 'bin', 0L) END")
 
 
-def touched_bins(start: Column, end: Column) -> Column:
+def touched_bins(start: str, end: str) -> Column:
     """Every bin of every level that the interval touches."""
-
-    def at(shift: int) -> Column:
-        return F.transform(
-            F.sequence(F.shiftright(start, shift), F.shiftright(end, shift)),
-            lambda b: F.struct(F.lit(shift).alias("level"), b.alias("bin")),
-        )
-
-    whole = F.array(F.struct(F.lit(WHOLE_CONTIG).alias("level"), F.lit(0).cast("long").alias("bin")))
-    return F.concat(*[at(shift) for shift in BIN_SHIFTS], whole)
+    levels = [
+        f"transform(sequence(shiftright({start}, {s}), shiftright({end}, {s})), "
+        f"b -> named_struct('level', {s}, 'bin', b))"
+        for s in BIN_SHIFTS
+    ]
+    return F.expr(f"concat({', '.join(levels)}, array(named_struct('level', {WHOLE_CONTIG}, 'bin', 0L)))")
 
 
 def overlap_join(
@@ -53,7 +47,7 @@ def overlap_join(
     *,
     on: tuple[str, ...] = (),
     how: str = "inner",
-    broadcast_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
     hot_rows: int = HOT_BIN_ROWS,
 ) -> DataFrame:
     """Pairs of rows whose closed intervals overlap, each pair once.
@@ -61,18 +55,20 @@ def overlap_join(
     Both sides carry contig, start_bp and end_bp; the track's come back as track_start and track_end. `many`
     keeps one row per interval, in its home bin, so the large side is never multiplied. The `track`, whose
     intervals should be the short ones, is listed under every bin it touches. A pair can therefore meet in
-    the home bin of its `many` row only. A track counted to be small is broadcast; beyond that the join
-    shuffles on the bins, and bins with more than `hot_rows` rows are split over several tasks.
+    the home bin of its `many` row only. A track counted to be small is broadcast (`small` passes on a count
+    already made); beyond that the join shuffles on the bins, and bins with more than `hot_rows` rows are
+    split over several tasks.
     """
     keys = [*on, "contig", "level", "bin"]
-    binned = many.withColumn("_home", home_bin(F.col("start_bp"), F.col("end_bp"))).select(
-        *many.columns, F.col("_home.level").alias("level"), F.col("_home.bin").alias("bin")
+    binned = many.select("*", home_bin("start_bp", "end_bp").alias("_home")).select(
+        *many.columns, "_home.level", "_home.bin"
     )
     renamed = track.withColumnsRenamed({"start_bp": "track_start", "end_bp": "track_end"})
-    listed = renamed.withColumn("_bin", F.explode(touched_bins(F.col("track_start"), F.col("track_end")))).select(
-        *renamed.columns, F.col("_bin.level").alias("level"), F.col("_bin.bin").alias("bin")
+    listed = renamed.select("*", F.explode(touched_bins("track_start", "track_end")).alias("_bin")).select(
+        *renamed.columns, "_bin.level", "_bin.bin"
     )
-    if has_at_most(track, broadcast_rows):
+    small = has_at_most(track, BROADCAST_ROWS) if small is None else small
+    if small:
         listed = F.broadcast(listed)
     else:
         binned, listed = split_hot(binned, listed, keys, hot_rows)
@@ -129,6 +125,7 @@ def count_overlaps(targets: DataFrame, reads: DataFrame, samples: DataFrame | No
     hits = overlap_join(
         reads.select("sample_name", "contig", "start_bp", "end_bp"),
         targets.select("region_id", "contig", "start_bp", "end_bp"),
+        small=True,
     ).select("sample_name", "region_id", F.lit(1).cast("long").alias("n"))
     return hits.unionByName(grid(targets, samples)).groupBy("sample_name", "region_id").agg(F.sum("n").alias("n"))
 

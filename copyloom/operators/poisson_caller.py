@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from copyloom.functions.columns import length_kb
 from copyloom.operators import blocks
 from copyloom.operators.ratio_caller import chain_positions
-from copyloom.session import cut
+from copyloom.session import cut, small_table
 
 # Longest window in regions, numbers of latent factors tried, width of a GC bin in percent.
 LONGEST_WINDOW = 400
@@ -42,7 +42,7 @@ def expected_k0(counts: DataFrame, factors: DataFrame) -> DataFrame:
     `counts` holds label, sample_name, region_id, n, gc; `factors` holds label, sample_name, size_factor. A GC bin
     in which half of a sample's regions are empty gets no correction.
     """
-    scaled = counts.join(factors, ["label", "sample_name"]).where("size_factor > 0")
+    scaled = counts.join(small_table(factors.where("size_factor > 0")), ["label", "sample_name"])
     per_region = (
         scaled.groupBy("label", "region_id")
         .agg(F.percentile(F.col("n") / F.col("size_factor"), F.lit(0.5)).alias("region_effect"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copyloom.operators import blocks
-from copyloom.session import cut
+from copyloom.session import cut, small_table
 
 # States with their copy ratio, switching probability, regions used to choose references.
 STATES = ["normal", "deletion", "duplication"]
@@ -72,9 +72,11 @@ def per_case_block(counts: DataFrame, lists: DataFrame, function, schema: str) -
     `lists` holds one row per case with an array of reference names. A task holds the counts of one region
     block for the whole group (samples x 1024 regions) and the lists of up to 64 cases.
     """
-    sizes = counts.groupBy("label").agg(
-        F.ceil(F.countDistinct("sample_name") / CASE_BLOCK).cast("int").alias("_cases"),
-        F.ceil(F.countDistinct("region_id") / REGION_BLOCK).cast("int").alias("_regions"),
+    sizes = small_table(
+        counts.groupBy("label").agg(
+            F.ceil(F.countDistinct("sample_name") / CASE_BLOCK).cast("int").alias("_cases"),
+            F.ceil(F.countDistinct("region_id") / REGION_BLOCK).cast("int").alias("_regions"),
+        )
     )
     keys = ["label", "cb", "rb"]
     left = (
@@ -210,7 +212,9 @@ def reference_totals(counts: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def state_likelihoods(with_refs: DataFrame) -> DataFrame:
     """Log-likelihood of each state per region; regions without a read in case and references say nothing and go."""
-    share = with_refs.groupBy("label", "sample_name").agg((F.sum("n") / F.sum(F.col("n") + F.col("ref_n"))).alias("p"))
+    share = small_table(
+        with_refs.groupBy("label", "sample_name").agg((F.sum("n") / F.sum(F.col("n") + F.col("ref_n"))).alias("p"))
+    )
     x, t, p = F.col("n"), F.col("n") + F.col("ref_n"), F.col("p")
 
     def loglik(ratio: float) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copyloom.functions.columns import (
@@ -11,23 +11,34 @@ from copyloom.functions.columns import (
     FLAG_SUPPLEMENTARY,
     FLAG_UNUSABLE,
 )
-from copyloom.session import broadcast_if_small
+from copyloom.session import small_table
 
 
-def usable_reads(reads: DataFrame, primary_only: bool = False) -> DataFrame:
+def passes(primary_only: bool) -> Column:
+    unwanted = FLAG_UNUSABLE + (FLAG_SECONDARY + FLAG_SUPPLEMENTARY if primary_only else 0)
+    return F.col("flag").bitwiseAND(unwanted) == 0
+
+
+def first_mate() -> Column:
+    return F.col("flag").bitwiseAND(FLAG_FIRST_MATE) == FLAG_FIRST_MATE
+
+
+def read_samples(reads: DataFrame, primary_only: bool = False) -> DataFrame:
+    """Every sample, and whether it has a usable first mate; one pass over two columns."""
+    return reads.groupBy("sample_name").agg(F.max(passes(primary_only) & first_mate()).alias("paired"))
+
+
+def usable_reads(reads: DataFrame, primary_only: bool = False, samples: DataFrame | None = None) -> DataFrame:
     """Reads that are mapped, passed QC, are no duplicates, and are first mates.
 
-    A sample without any first mate is single-end and keeps all its reads. Whether a sample has one is a
-    small aggregate over two columns; the reads themselves are not shuffled.
+    A sample without any first mate is single-end and keeps all its reads. The samples (`read_samples`) are a
+    small table that goes to the reads; the reads themselves are not shuffled.
     """
-    flag = F.col("flag")
-    unwanted = FLAG_UNUSABLE + (FLAG_SECONDARY + FLAG_SUPPLEMENTARY if primary_only else 0)
-    passing = reads.where(flag.bitwiseAND(unwanted) == 0)
-    first_mate = flag.bitwiseAND(FLAG_FIRST_MATE) == FLAG_FIRST_MATE
-    paired = passing.groupBy("sample_name").agg(F.max(first_mate).alias("_paired"))
+    samples = small_table(read_samples(reads, primary_only)) if samples is None else samples
     return (
-        passing.join(broadcast_if_small(paired), "sample_name")
-        .where(~F.col("_paired") | first_mate)
+        reads.where(passes(primary_only))
+        .join(samples.select("sample_name", "paired"), "sample_name")
+        .where(~F.col("paired") | first_mate())
         .select(*reads.columns)
     )
 

@@ -12,12 +12,14 @@ from copyloom.operators import poisson_caller as pc
 from copyloom.operators import ratio_caller as rc
 from copyloom.operators import reads as rd
 from copyloom.operators.genes import unprocessed
-from copyloom.session import cut
+from copyloom.session import cut, small_table
 
 
 def count_reads(targets: DataFrame, reads: DataFrame) -> DataFrame:
-    chosen = rd.read_intervals(rd.min_mapq(rd.usable_reads(reads)))
-    return iv.count_overlaps(targets, chosen, reads)
+    """Counts of usable, well-mapped reads per region and sample. The reads are scanned, never shuffled."""
+    samples = small_table(rd.read_samples(reads))
+    chosen = rd.read_intervals(rd.min_mapq(rd.usable_reads(reads, samples=samples)))
+    return iv.count_overlaps(targets, chosen, samples)
 
 
 def group_samples(

@@ -43,9 +43,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise a result that several later steps read, in storage that survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a result that several later steps read to the shared folder, and go on from there.
+
+    Parquet rather than a checkpoint: readers prune columns, and the planner knows the size. The files survive
+    lost executors; whoever owns the folder clears it.
+    """
+    path = handover_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def handover_path(spark: SparkSession, name: str) -> str:
@@ -59,5 +64,13 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a side of counted size; a larger side is left to the shuffled join."""
+    """Broadcast hint for a side of counted size; a larger side is left to the shuffled join.
+
+    For sides that are cheap to look at: a scan, or a table written by `cut`.
+    """
     return F.broadcast(df) if has_at_most(df, rows) else df
+
+
+def small_table(df: DataFrame) -> DataFrame:
+    """An aggregate that is expected to be small: computed once, counted, broadcast if it is small indeed."""
+    return broadcast_if_small(cut(df))
