@@ -19,6 +19,7 @@ COLUMN_BLOCK = 4096
 
 # Up to this many samples a group's Gram matrix (32 MB) is decomposed in one task.
 DENSE_SAMPLES = 2000
+GUARD_VECTORS = 8
 
 SUMS = ["dot", "row_sum", "row_sq", "col_sum", "col_sq"]
 PARTIAL = (
@@ -264,14 +265,13 @@ def dense_components(gram_rows: DataFrame, group: str, k: int) -> DataFrame:
 
 
 def iterated_components(
-    values: DataFrame, sample: str, dim: str, value: str, k: int, rounds: int = 60, tolerance: float = 1e-10
+    values: DataFrame, sample: str, dim: str, value: str, wanted: int, k: int, rounds: int = 60, tolerance: float = 1e-12
 ) -> DataFrame:
-    """Leading k left singular vectors of one large matrix by orthogonal iteration.
+    """Leading `wanted` left singular vectors of one large matrix by orthogonal iteration on k >= wanted vectors.
 
     The vectors stay a table with one row per sample. Each round is two joins and two sums over the long table;
-    only k x k matrices reach the driver.
+    only k x k matrices reach the driver. The vectors beyond the wanted ones speed up convergence.
     """
-    spark = values.sparkSession
     rows = cut(values.select(F.col(sample).alias("sample"), F.col(dim).alias("dim"), F.col(value).alias("v")))
     # A deterministic start: pseudo-random numbers from the sample name.
     start = [((F.xxhash64("sample", F.lit(j)) % 10007) / 10007.0).alias(f"q{j}") for j in range(k)]
@@ -320,7 +320,7 @@ def iterated_components(
         h = products(paired, names, [f"y_{c}" for c in names])
         eigenvalues, turn = np.linalg.eigh((h + h.T) / 2)
         eigenvalues, turn = eigenvalues[::-1], turn[:, ::-1]
-        if np.all(np.abs(eigenvalues - before) <= tolerance * max(eigenvalues[0], 1e-300)):
+        if np.all(np.abs(eigenvalues - before)[:wanted] <= tolerance * max(eigenvalues[0], 1e-300)):
             break
         before = eigenvalues
         q = cut(orthonormal(y))
@@ -332,7 +332,7 @@ def iterated_components(
             (F.col(c) * (signs[c] or 1.0)).alias("u"),
             F.lit(float(max(eigenvalues[j], 0))).alias("eigenvalue"),
         )
-        for j, c in enumerate(names)
+        for j, c in enumerate(names[:wanted])
     ]
     return turned.select(F.col("sample").alias("sample_name"), F.explode(F.array(*entries)).alias("e")).select(
         "sample_name", "e.*"
@@ -348,11 +348,12 @@ def components(
     which there are at most (samples / dense), by orthogonal iteration.
     """
     sizes = values.groupBy(group).agg(F.countDistinct(sample).alias("samples")).where(F.col("samples") > dense)
-    large = [row[group] for row in sizes.collect()]
-    small = values.where(~F.col(group).isin(large)) if large else values
+    large = {row[group]: row["samples"] for row in sizes.collect()}
+    small = values.where(~F.col(group).isin(list(large))) if large else values
     found = dense_components(gram(small, group, sample, dim, value), group, k)
-    for label in large:
+    for label, samples in large.items():
         part = values.where(F.col(group) == F.lit(label))
-        one = iterated_components(part, sample, dim, value, k).withColumn(group, F.lit(label))
+        one = iterated_components(part, sample, dim, value, k, min(samples, k + GUARD_VECTORS))
+        one = one.withColumn(group, F.lit(label))
         found = found.unionByName(one.select(found.columns))
     return found

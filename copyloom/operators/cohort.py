@@ -60,10 +60,15 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return names
 
 
-def batch_samples(neighbours: DataFrame, min_cluster_size: int = MIN_CLUSTER_SIZE) -> DataFrame:
-    """Connected components of mutual neighbours, numbered by size; groups below the minimum become noise (-1)."""
+def batch_samples(
+    neighbours: DataFrame, min_cluster_size: int = MIN_CLUSTER_SIZE, samples: DataFrame | None = None
+) -> DataFrame:
+    """Connected components of mutual neighbours, numbered by size; groups below the minimum become noise (-1).
+
+    `samples` lists all samples; without it those that have a neighbour, which is all of them unless there is one.
+    """
     neighbours = cut(neighbours.select("sample_name", "neighbour"))
-    nodes = neighbours.select("sample_name").distinct()
+    nodes = (neighbours if samples is None else samples).select("sample_name").distinct()
     edges = (
         neighbours.select(F.least("sample_name", "neighbour").alias("a"), F.greatest("sample_name", "neighbour").alias("b"))
         .groupBy("a", "b")

@@ -97,7 +97,7 @@ def per_case_block(counts: DataFrame, lists: DataFrame, function, schema: str) -
 
     def run(block: pd.DataFrame, cases: pd.DataFrame) -> pd.DataFrame:
         if block.empty or cases.empty:
-            return pd.DataFrame({c: [] for c in columns})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in columns})
         names, at_name = np.unique(block["sample_name"].to_numpy().astype(str), return_inverse=True)
         regions, at_region = np.unique(block["region_id"].to_numpy(), return_inverse=True)
         matrix = np.zeros((len(regions), len(names)))

@@ -35,7 +35,7 @@ def group_samples(
     """
     passed, _ = cov.split_by_coverage(cov.first_regions(counts), min_mean_rc)
     z = cut(cov.zscore_by_region(cov.scale_profiles(passed)))
-    labels = cut(co.batch_samples(co.sample_neighbours(z, neighbours), min_cluster_size))
+    labels = cut(co.batch_samples(co.sample_neighbours(z, neighbours), min_cluster_size, z))
     scores = co.profile_components(z, 2)
     positions = scores.select("sample_name", F.col("component").alias("dim"), F.col("score").alias("v"))
     return cut(co.assign_noise(co.noise_distances(positions, labels), labels))

@@ -105,14 +105,14 @@ def settled_files(listing: DataFrame, now: Column, seconds: int = 3600, modified
     return listing.where(F.col(modified) < now - F.expr(f"INTERVAL '{seconds}' SECOND"))
 
 
-def dotted(name: str) -> str:
-    return re.sub(r"\W+", "_", name.strip()).lower()
+def snake(name: str) -> str:
+    return re.sub(r"\W+|(?<=[a-z])(?=[A-Z])", "_", name.strip()).lower()
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Sample sheet; column names come back in lower case with underscores."""
     raw = spark.read.csv(path, header=True)
-    sheet = raw.toDF(*[dotted(c) for c in raw.columns])
+    sheet = raw.toDF(*[snake(c) for c in raw.columns])
     return sheet.withColumn("paired_reads_exclude", F.upper("paired_reads_exclude").isin("TRUE", "T"))
 
 
