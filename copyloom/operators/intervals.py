@@ -22,10 +22,13 @@ SWEEP_SHIFT = 16
 
 
 def home_bin(start: str, end: str) -> Column:
-    """The narrowest bin that holds the whole interval: one bin per row."""
+    """The narrowest bin that holds the whole interval: one bin per row.
+
+    Never NULL, so that the planner has no reason to evaluate it a second time in a filter on the scan.
+    """
     levels = [
         f"WHEN shiftright({start}, {s}) = shiftright({end}, {s}) "
-        f"THEN named_struct('level', {s}, 'bin', shiftright({start}, {s}))"
+        f"THEN named_struct('level', {s}, 'bin', coalesce(shiftright({start}, {s}), -1L))"
         for s in BIN_SHIFTS
     ]
     return F.expr(f"CASE {' '.join(levels)} ELSE named_struct('level', {WHOLE_CONTIG}, 'bin', 0L) END")
