@@ -21,15 +21,12 @@ HEADLINE = [
     "overlap_counts",
     "overlap_counts_sweep",
     "library_size_factor",
-    "profiles_zscored",
     "union_intervals",
     "annotated_sample_calls",
     "gene_deletion_table",
     "calls_common_variants",
     "sample_neighbours",
     "select_references",
-    "state_segments",
-    "expected_counts_k0",
     "scan_windows",
 ]
 

@@ -361,6 +361,44 @@ FROM chosen c""",
     "copy_number": """SELECT label, sample_name, region_id, CAST(round_even(2 * n / expected, 0) AS INT) AS copy_no FROM expected""",
 }
 
+
+def best_of(a: str, b: str, c: str) -> str:
+    """Index of the largest, ties to the first."""
+    return f"CASE WHEN {a} >= {b} AND {a} >= {c} THEN 0 WHEN {b} >= {c} THEN 1 ELSE 2 END"
+
+
+STAY, SWITCH = "ln(1 - 2 * 1e-4)", "ln(1e-4)"
+# Score of coming from state i to state j, and the columns of one forward step.
+MOVES = [[f"f.s{i} + {STAY if i == j else SWITCH}" for i in range(3)] for j in range(3)]
+STEP_SCORES = ", ".join(f"greatest({', '.join(MOVES[j])}) + c.ll{j} AS s{j}" for j in range(3))
+STEP_BACK = ", ".join(f"{best_of(*MOVES[j])} AS b{j}" for j in range(3))
+
+STEPS |= {
+    "chain": """SELECT l.label, l.sample_name, t.contig, t.start_bp, t.end_bp, l.n, l.expected,
+  ll_normal AS ll0, ll_deletion AS ll1, ll_duplication AS ll2,
+  row_number() OVER (PARTITION BY l.label, l.sample_name, t.contig ORDER BY t.ord) AS seq
+FROM chosen_ll l JOIN target_ord t ON t.region_id = l.region_id""",
+}
+SQL["call_read_ratio"] = f"""WITH RECURSIVE forward AS (
+  SELECT label, sample_name, contig, seq, {STAY} + ll0 AS s0, {SWITCH} + ll1 AS s1, {SWITCH} + ll2 AS s2, 0 AS b0, 0 AS b1, 0 AS b2
+  FROM chain WHERE seq = 1
+  UNION ALL SELECT c.label, c.sample_name, c.contig, c.seq, {STEP_SCORES}, {STEP_BACK} FROM forward f
+  JOIN chain c ON c.label = f.label AND c.sample_name = f.sample_name AND c.contig = f.contig AND c.seq = f.seq + 1),
+path AS (
+  SELECT label, sample_name, contig, seq, {best_of('s0', 's1', 's2')} AS state FROM forward f
+  WHERE seq = (SELECT max(seq) FROM chain c WHERE c.label = f.label AND c.sample_name = f.sample_name AND c.contig = f.contig)
+  UNION ALL SELECT p.label, p.sample_name, p.contig, p.seq - 1, CASE p.state WHEN 0 THEN f.b0 WHEN 1 THEN f.b1 ELSE f.b2 END FROM path p
+  JOIN forward f ON f.label = p.label AND f.sample_name = p.sample_name AND f.contig = p.contig AND f.seq = p.seq WHERE p.seq > 1),
+runs AS (
+  SELECT c.*, p.state, p.seq - row_number() OVER (PARTITION BY c.label, c.sample_name, c.contig, p.state ORDER BY p.seq) AS run FROM path p
+  JOIN chain c ON c.label = p.label AND c.sample_name = p.sample_name AND c.contig = p.contig AND c.seq = p.seq)
+SELECT sample_name, CASE state WHEN 1 THEN 'deletion' ELSE 'duplication' END AS type, CAST(count(*) AS INT) AS nexons,
+  min(start_bp) AS start_bp, max(end_bp) AS end_bp, contig AS chromosome,
+  {r6("sum(CASE state WHEN 1 THEN ll1 ELSE ll2 END - ll0) / ln(10)")} AS bf, {r6("sum(expected)")} AS reads_expected,
+  CAST(sum(n) AS BIGINT) AS reads_observed, {r6("sum(n) / sum(expected)")} AS reads_ratio
+FROM runs WHERE state > 0 GROUP BY label, sample_name, contig, state, run"""
+
+
 FULL_SPLIT = """SELECT s.*, {names}, g.gene_name, CAST(coalesce(g.gene_count, 0) AS BIGINT) AS gene_count,
   CAST(coalesce(g.overlap_bp, 0) AS BIGINT) AS overlap_bp, 'full' AS annotation_mode FROM {source} s LEFT JOIN (
   SELECT segment_id, string_agg(gene_name, ',' ORDER BY gene_name) AS gene_name, count(*) AS gene_count, sum(overlap_bp) AS overlap_bp

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from copyloom.functions.columns import is_autosome
+from copyloom.session import small_table
 
 # Default QC limits.
 MIN_MEAN_COUNT = 20
@@ -86,21 +87,26 @@ def qc_counts(counts: DataFrame, qc: DataFrame, by: tuple[str, ...] = ()) -> Dat
 
 
 def scale_profiles(counts: DataFrame) -> DataFrame:
-    """Counts in parts per thousand of the sample's total, without regions that are zero in every sample."""
-    totals = counts.groupBy("sample_name").agg(F.sum("n").alias("total"))
-    covered = counts.groupBy("region_id").agg(F.max("n").alias("most")).where("most > 0").select("region_id")
+    """Counts in parts per thousand of the sample's total, without regions that are zero in every sample.
+
+    Totals are one row per sample and go to the counts; one shuffle brings a region's samples together, and
+    `zscore_by_region` needs no other.
+    """
+    totals = small_table(counts.groupBy("sample_name").agg(F.sum("n").alias("total")).where("total > 0"))
     return (
-        counts.join(covered, "region_id", "left_semi")
-        .join(totals, "sample_name")
-        .where("total > 0")
+        counts.join(totals, "sample_name")
         .select("sample_name", "region_id", (F.col("n") * 1000.0 / F.col("total")).alias("v"))
+        .withColumn("most", F.max("v").over(Window.partitionBy("region_id")))
+        .where("most > 0")
+        .drop("most")
     )
 
 
 def zscore_by_region(profiles: DataFrame) -> DataFrame:
     """Each region to mean 0 and population sd 1 over the samples; a constant region becomes 0."""
-    spread = profiles.groupBy("region_id").agg(F.avg("v").alias("mean_v"), F.stddev_pop("v").alias("sd_v"))
-    return profiles.join(spread, "region_id").select(
+    region = Window.partitionBy("region_id")
+    mean, sd = F.avg("v").over(region), F.stddev_pop("v").over(region)
+    return profiles.select("sample_name", "region_id", "v", mean.alias("mean_v"), sd.alias("sd_v")).select(
         "sample_name",
         "region_id",
         F.when(F.col("sd_v") > 1e-12, (F.col("v") - F.col("mean_v")) / F.col("sd_v")).otherwise(0.0).alias("z"),

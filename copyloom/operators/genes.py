@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copyloom.functions.columns import region_label, strip_chr
-from copyloom.operators.intervals import overlap_join
-from copyloom.session import BROADCAST_ROWS, has_at_most
+from copyloom.operators.intervals import overlap_join, track_fits
 
 # Annotation sources that are used, and the columns of the cohort table in their order.
 CURATED_SOURCES = ["ensembl", "ensembl_havana", "havana"]
@@ -81,7 +80,7 @@ def gene_hits(exons: DataFrame, calls: DataFrame, fields: dict[str, str], small:
 
     Transcripts share exons: each (gene, interval) is matched once, however many transcripts list it.
     """
-    small = has_at_most(exons, BROADCAST_ROWS) if small is None else small
+    small = track_fits(exons) if small is None else small
     intervals = exons.where("gene_id IS NOT NULL").select("gene_id", "contig", "start_bp", "end_bp").distinct()
     wanted = calls.select(
         "sample_name", "contig", "start_bp", "end_bp", *[F.col(c).alias(name) for c, name in fields.items()]

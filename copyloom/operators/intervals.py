@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copyloom.functions.columns import sequence_gc, sorted_distinct
-from copyloom.session import BROADCAST_ROWS, has_at_most
+from copyloom.session import BROADCAST_ROWS, broadcast_if_small, has_at_most
 
 # Bin widths 4 kb, 64 kb, 1 Mb, 16 Mb and 268 Mb; the last level is one bin for the whole contig.
 BIN_SHIFTS = (12, 16, 20, 24, 28)
 WHOLE_CONTIG = 62
 
+# A track listed under its bins is broadcast only up to this many rows.
+BROADCAST_BIN_ROWS = 4_000_000
+
 # A bin with more rows than this is split over several tasks in the shuffled join.
 HOT_BIN_ROWS = 1_000_000
 
@@ -44,6 +47,15 @@ def touched_bins(start: str, end: str) -> Column:
     return F.expr(f"concat({', '.join(levels)}, array(named_struct('level', {WHOLE_CONTIG}, 'bin', 0L)))")
 
 
+def track_fits(track: DataFrame) -> bool:
+    """Whether a track may be broadcast: few rows, and few rows still when listed under the bins they touch."""
+    if not has_at_most(track, BROADCAST_ROWS):
+        return False
+    per_level = [f"shiftright(end_bp, {s}) - shiftright(start_bp, {s}) + 1" for s in BIN_SHIFTS]
+    listed = track.agg(F.expr(f"sum({' + '.join(per_level)} + 1)").alias("n")).first()["n"]
+    return (listed or 0) <= BROADCAST_BIN_ROWS
+
+
 def overlap_join(
     many: DataFrame,
     track: DataFrame,
@@ -70,8 +82,7 @@ def overlap_join(
     listed = renamed.select("*", F.explode(touched_bins("track_start", "track_end")).alias("_bin")).select(
         *renamed.columns, "_bin.level", "_bin.bin"
     )
-    small = has_at_most(track, BROADCAST_ROWS) if small is None else small
-    if small:
+    if track_fits(track) if small is None else small:
         listed = F.broadcast(listed)
     else:
         binned, listed = split_hot(binned, listed, keys, hot_rows)
@@ -107,11 +118,18 @@ def split_hot(
 
 
 def grid(targets: DataFrame, samples: DataFrame, blocks: int = 64) -> DataFrame:
-    """One row per sample and region with n = 0: equi-join on region blocks, so it spreads over all tasks."""
-    regions = targets.select("region_id", F.pmod(F.hash("region_id"), F.lit(blocks)).alias("_block"))
+    """One row per sample and region with n = 0: equi-join on region blocks.
+
+    The (sample, block) rows are few but each becomes many, so they are spread over all tasks by number.
+    """
+    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    regions = broadcast_if_small(
+        targets.select("region_id", F.pmod(F.hash("region_id"), F.lit(blocks)).alias("_block"))
+    )
     wanted = samples.select("sample_name").distinct().withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
+    wanted = wanted.repartition(tasks, "sample_name", "_block")
     return regions.join(wanted, "_block").select("sample_name", "region_id", F.lit(0).cast("long").alias("n"))
 
 
@@ -123,7 +141,7 @@ def count_overlaps(targets: DataFrame, reads: DataFrame, samples: DataFrame | No
     A target list beyond the broadcast bound is counted by the sweep instead.
     """
     samples = reads if samples is None else samples
-    if not has_at_most(targets, BROADCAST_ROWS):
+    if not track_fits(targets):
         return count_overlaps_sweep(targets, reads, samples)
     hits = overlap_join(
         reads.select("sample_name", "contig", "start_bp", "end_bp"),

@@ -24,7 +24,7 @@ TRANSITION = 1e-4
 CHOICE_REGIONS = 20000
 
 CHUNK = 2048
-CASE_BLOCK = 64
+CASE_BLOCK = 256
 REGION_BLOCK = 1024
 
 
@@ -70,7 +70,7 @@ def per_case_block(counts: DataFrame, lists: DataFrame, function, schema: str) -
     """Run `function(cases, names, regions, matrix)` on blocks of cases and regions of each group.
 
     `lists` holds one row per case with an array of reference names. A task holds the counts of one region
-    block for the whole group (samples x 1024 regions) and the lists of up to 64 cases.
+    block for the whole group (samples x 1024 regions) and the lists of about 256 cases.
     """
     sizes = small_table(
         counts.groupBy("label").agg(

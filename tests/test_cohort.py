@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,4 +132,3 @@ def test_clusters_to_process(spark):
     assert {(r.label, r.members) for r in cohort.clusters_to_process(likely, done).collect()} == {(1, "c"), (2, "e")}
     with_likely = cohort.clusters_to_process(likely, done, include_likely=True).collect()
     assert {(r.label, r.members) for r in with_likely} == {(1, "c,d"), (2, "e")}
-    assert isinstance(pd.DataFrame(with_likely), pd.DataFrame)
