@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from copyloom.llm import chat, mixing, warc
+from copyloom.llm import chat, decontaminate, mixing, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_formatted(chat.format_conversations(rows))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold passages of the benchmark, and how much of them."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     return mixing.mixed(table(spark, sf_dir, "documents"))
@@ -34,11 +39,39 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
+    "op6_decontamination": op6_decontamination,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
 }
 
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+BENCHMARK_WORDS = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
+    "op1_chat": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+     m AS (SELECT *, role || chr(10) || text || chr(10) AS whole, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+                  regexp_replace(role || text, '[\\<\[]', 'xx', 'g') AS escaped FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(whole, '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(sum(length(loss)) AS BIGINT) AS loss_chars,
+       sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+       CAST(sum(length(escaped) + length('<|im_start|><|im_sep|><|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id""",
+    "op6_decontamination": f"""
+WITH i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {BENCHMARK_WORDS} AS w FROM benchmark),
+     v AS (SELECT item_id, w, least(13, len(w)) AS s, unnest(range(0, greatest(1, len(w) - 12))) AS k FROM i WHERE len(w) > 0),
+     iw AS (SELECT DISTINCT item_id, s, list_slice(w, k + 1, k + s) AS win FROM v),
+     d AS (SELECT row_number() OVER () AS r, doc_id, {BENCHMARK_WORDS} AS w FROM documents),
+     dv AS (SELECT r, w, s, unnest(range(0, len(w) - s + 1)) AS k FROM d, (SELECT DISTINCT s FROM iw) WHERE len(w) >= s),
+     dw AS (SELECT r, s, k, list_slice(w, k + 1, k + s) AS win FROM dv),
+     occ AS (SELECT r, k, s, item_id FROM dw JOIN iw USING (s, win)),
+     hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + s)) AS p FROM occ) GROUP BY r),
+     its AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM occ) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)""",
     "op10_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
      d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
