@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from copyloom.llm import chat, decontaminate, mixing, secrets, warc
+from copyloom.llm import chat, decontaminate, html_text, mixing, quality, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,17 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_formatted(chat.format_conversations(rows))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, fitted on labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets, and weak candidates next to complementary parts, in all documents."""
     return secrets.scan(table(spark, sf_dir, "documents"))
@@ -44,6 +55,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
+    "op2_html": op2_html,
+    "op3_quality": op3_quality,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
     "op9_mixing": op9_mixing,
