@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from copyloom.llm import chat, decontaminate, html_text, mixing, quality, secrets, warc
+from copyloom.llm import chat, decontaminate, html_text, mixing, neighbours, quality, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector, among all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.neighbours(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     return mixing.mixed(table(spark, sf_dir, "documents"))
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
+    "op8_neighbours": op8_neighbours,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
 }
