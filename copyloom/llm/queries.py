@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from copyloom.llm import chat, decontaminate, html_text, mixing, neighbours, quality, secrets, warc
+from copyloom.llm import chat, decontaminate, html_text, jaccard, mixing, neighbours, quality, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets, and weak candidates next to complementary parts, in all documents."""
     return secrets.scan(table(spark, sf_dir, "documents"))
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_html": op2_html,
     "op3_quality": op3_quality,
+    "op4_jaccard": op4_jaccard,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
     "op8_neighbours": op8_neighbours,
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+PLAIN_WORDS = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x20\x09-\x0D]+')"
 BENCHMARK_WORDS = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
@@ -85,6 +92,16 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
        CAST(sum(length(escaped) + length('<|im_start|><|im_sep|><|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM m GROUP BY conv_id""",
+    "op4_jaccard": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {PLAIN_WORDS} AS w FROM documents),
+     v AS (SELECT r, list_slice(w, k + 1, k + 5) AS s FROM (SELECT r, w, unnest(range(0, greatest(1, len(w) - 4))) AS k FROM d WHERE len(w) > 0)),
+     s AS (SELECT DISTINCT r, s FROM v),
+     n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+     p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.r <> b.r GROUP BY a.r, b.r),
+     l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+     c(r, e) AS (SELECT r, r FROM d UNION SELECT c.r, l.y FROM c JOIN l ON l.x = c.e),
+     m AS (SELECT c.r, min(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.e GROUP BY c.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN m USING (r) LEFT JOIN n USING (r)""",
     "op6_decontamination": f"""
 WITH i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {BENCHMARK_WORDS} AS w FROM benchmark),
      v AS (SELECT item_id, w, least(13, len(w)) AS s, unnest(range(0, greatest(1, len(w) - 12))) AS k FROM i WHERE len(w) > 0),
