@@ -32,15 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copyloom.llm import wordhash
+from copyloom.llm.bittable import Among, slices, summed
 from copyloom.llm.components import components
 from copyloom.llm.wordhash import PLAIN, mixed
-from copyloom.session import cut
+from copyloom.session import broadcast_if_small, cut
 
 WORDS = 5
 PERCENT = 75
 MINS = 6
 TABLE_BITS = 20
-SLICES = 16
 FILTER_BITS = 23
 RUN_ROWS = 20_000
 MIN_BITS = 1024
@@ -85,27 +85,8 @@ def _differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
 
-# --- tables of fixed size
-
-
-def _summed(parts: DataFrame, kind: type, add: np.ufunc) -> list[tuple[int, np.ndarray]]:
-    """Adds up the slices (no, data) of arrays that tasks hand over; `parts` streams, so memory holds a slice or two."""
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for no, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                new = np.frombuffer(data, dtype=kind)
-                sums[no] = add(sums[no], new) if no in sums else new
-        yield pa.RecordBatch.from_pydict({"no": pa.array(list(sums), pa.int32()), "data": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
-
-    rows = parts.repartition(SLICES, "no").mapInArrow(total, "no int, data binary").collect()  # one array of fixed size
-    return [(r.no, np.frombuffer(r.data, dtype=kind)) for r in rows]
-
-
 def shingle_ranks(docs: DataFrame, n: int = WORDS, bits: int = TABLE_BITS) -> np.ndarray:
     """For each bucket of shingle hashes how common its shingles are: 0 for the usual, else the logarithm of the excess."""
-    size = (1 << bits) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, dtype=np.int64)
@@ -113,34 +94,14 @@ def shingle_ranks(docs: DataFrame, n: int = WORDS, bits: int = TABLE_BITS) -> np
             some = [s for s in shingle_sets(batch.column(0), n, unique=False) if len(s)]
             if some:
                 counts += np.bincount((np.concatenate(some) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        slices = [counts[i * size : (i + 1) * size].tobytes() for i in range(SLICES)]
-        yield pa.RecordBatch.from_pydict({"no": pa.array(range(SLICES), pa.int32()), "data": pa.array(slices, pa.binary())})
+        yield slices(counts)
 
-    counts = np.zeros((SLICES, size), dtype=np.int64)
-    for no, data in _summed(docs.select("text").mapInArrow(count, "no int, data binary"), np.int64, np.add):
-        counts[no] = data
-    counts = counts.ravel()
+    counts = summed(docs.select("text").mapInArrow(count, "no int, data binary"), 1 << bits, np.int64, np.add)
     usual = max(16.0, counts.mean() / 2)
     excess = np.maximum(counts - counts.mean(), 0) / usual
     return np.where(excess >= 1, 1 + np.floor(np.log2(np.maximum(excess, 1))), 0).astype(np.uint8)
 
 
-def _among(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bit table of fixed size of the values of a column of longs: a value whose bit is not set is not among them."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, dtype=bool)
-        for batch in batches:
-            table[(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = True
-        slices = np.packbits(table).reshape(SLICES, -1)
-        yield pa.RecordBatch.from_pydict({"no": pa.array(range(SLICES), pa.int32()), "data": pa.array([s.tobytes() for s in slices], pa.binary())})
-
-    table = np.zeros((SLICES, (1 << bits) // SLICES // 8), dtype=np.uint8)
-    for no, data in _summed(ids.mapInArrow(mark, "no int, data binary"), np.uint8, np.bitwise_or):
-        table[no] = data
-    return table.ravel()
-
-
 # --- nodes and groups
 
 NODE = "node long, group long, n long, central double, mins array<long>, prefix array<long>, bits binary"
@@ -319,17 +280,14 @@ def _verified(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return keep
 
 
-def _texts(docs: DataFrame, wanted: np.ndarray, n: int) -> DataFrame:
+def _texts(docs: DataFrame, wanted: Among, n: int) -> DataFrame:
     """node, text of the documents whose node may be among the wanted ones, a text for each node."""
-    shift = np.uint64(64 - (len(wanted) * 8 - 1).bit_length())
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = np.array([_signature(s) if len(s) else 0 for s in shingle_sets(batch.column("text"), n)], dtype=np.uint64)
-            place = (nodes >> shift).astype(np.int64)
-            mask = (wanted[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
-            rows = pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), batch.column("text")], names=["node", "text"])
-            yield rows.filter(pa.array(mask.astype(bool)))
+            nodes = np.array([_signature(s) if len(s) else 0 for s in shingle_sets(batch.column("text"), n)], dtype=np.uint64).view(np.int64)
+            rows = pa.RecordBatch.from_arrays([pa.array(nodes), batch.column("text")], names=["node", "text"])
+            yield rows.filter(pa.array(wanted.maybe(nodes)))
 
     return docs.select("text").where("text is not null").mapInArrow(pick, "node long, text string").dropDuplicates(["node"])
 
@@ -342,7 +300,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int = WORDS
         both = both.join(own, side)
     both = both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     near = cut(both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_near(percent), "a long, b long"))
-    wanted = _among(near.select(F.explode(F.array("a", "b"))))
+    wanted = Among(near.select(F.explode(F.array("a", "b"))), FILTER_BITS)
     texts = cut(_texts(docs, wanted, n))
     rows = near
     for side in ("a", "b"):
@@ -397,6 +355,6 @@ def first_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Da
     texts = base.select("__row", "doc_id", F.col("text").cast("string").alias("text"))
     rows, together = linked(texts, n, percent)
     some = rows.where("n > 0").join(together, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keep = some.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("kept")).select("kept.__row")
-    keep = keep.unionByName(rows.where("n = 0").select("__row"))
-    return base.join(keep, "__row", "left_semi").select(*docs.columns)
+    keep = some.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("kept"))
+    others = cut(some.select("component", "__row").join(keep, "component").where("__row != kept.__row").select("__row"))
+    return base.join(broadcast_if_small(others), "__row", "left_anti").select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from copyloom.llm import chat, decontaminate, html_text, jaccard, mixing, neighbours, quality, secrets, warc
+from copyloom.llm import chat, decontaminate, html_text, jaccard, mixing, neighbours, quality, secrets, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that occur elsewhere."""
+    return substrings.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every twentieth vector, among all vectors."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard": op4_jaccard,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
+    "op7_substrings": op7_substrings,
     "op8_neighbours": op8_neighbours,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
