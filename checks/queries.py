@@ -209,7 +209,7 @@ def sample_stats(spark, sf):
 
 @query
 def counts_wide(spark, sf):
-    return cov.counts_wide(counted(spark, sf), [f"S{i:02d}" for i in range(24)])
+    return cov.counts_wide(counted(spark, sf))
 
 
 @query
@@ -689,7 +689,7 @@ def best_scan_window(spark, sf):
 
 @query
 def call_poisson_scan(spark, sf):
-    calls = pc.call_poisson_scan(pc.chains(cut(k0(spark, sf))))
+    calls = pc.call_poisson_scan(pc.chains(cut(pc.expected_counts(k0(spark, sf)))))
     return r6(calls, "norm_cov", "lratio", "mbic")
 
 
@@ -708,14 +708,42 @@ def annotated_sample_calls(spark, sf):
     return an.annotate_sample_calls(poisson(spark, sf), ratio(spark, sf), view(spark, sf, "fx_genes"))
 
 
-@query
-def cohort_calls(spark, sf):
-    ratio_calls, poisson_calls, _ = pipeline.cohort_calls(
+def chain(spark: SparkSession, sf: str, include_likely: bool) -> pipeline.CohortCalls:
+    return pipeline.cohort_calls(
         view(spark, sf, "fx_targets"),
         view(spark, sf, "fx_reads"),
         min_mean_rc=4,
         min_cluster_size=MIN_CLUSTER,
         neighbours=NEIGHBOURS,
         coverage=COVERAGE,
+        include_likely=include_likely,
+    )
+
+
+@query
+def cohort_calls(spark, sf):
+    """Noise samples are called along with the cluster nearest to them."""
+    found = chain(spark, sf, include_likely=True)
+    return pipeline.both_callers(found.ratio, found.poisson)
+
+
+@query
+def cohort_calls_clusters_only(spark, sf):
+    found = chain(spark, sf, include_likely=False)
+    return pipeline.both_callers(found.ratio, found.poisson)
+
+
+@query
+def reads_to_gene_table(spark, sf):
+    """The whole way: reads, calls of both callers, deletions per gene over the cohort."""
+    found = chain(spark, sf, include_likely=True)
+    return gene_table.gene_deletion_table(
+        found.poisson,
+        found.ratio,
+        view(spark, sf, "fx_manifest"),
+        exons(spark, sf),
+        view(spark, sf, "fx_genes"),
+        view(spark, sf, "fx_pli"),
+        hi(spark, sf),
+        view(spark, sf, "fx_panel"),
     )
-    return pipeline.both_callers(ratio_calls, poisson_calls)

@@ -21,17 +21,12 @@ COLUMN_BLOCK = 4096
 DENSE_SAMPLES = 2000
 GUARD_VECTORS = 8
 
-SUMS = ["dot", "row_sum", "row_sq", "col_sum", "col_sq"]
 PARTIAL = (
     "lo int, hi int, n long, row_names array<string>, col_names array<string>, "
     "dot array<double>, row_sum array<double>, row_sq array<double>, col_sum array<double>, col_sq array<double>"
 )
 
 
-def block_count(rows: int, size: int) -> int:
-    return max(1, -(-rows // size))
-
-
 def with_blocks(
     values: DataFrame, group: str, sample: str, dim: str, value: str, row_block: int, column_block: int
 ) -> DataFrame:
@@ -265,11 +260,11 @@ def dense_components(gram_rows: DataFrame, group: str, k: int) -> DataFrame:
 
 
 def iterated_components(
-    values: DataFrame, sample: str, dim: str, value: str, wanted: int, k: int, rounds: int = 60, tolerance: float = 1e-12
+    values: DataFrame, sample: str, dim: str, value: str, wanted: int, k: int, rounds: int = 1000, tolerance: float = 1e-12
 ) -> DataFrame:
     """Leading `wanted` left singular vectors of one large matrix by orthogonal iteration on k >= wanted vectors.
 
-    The vectors stay a table with one row per sample. Each round is two joins and two sums over the long table;
+    Rounds go on until the eigenvalues settle; if they do not within `rounds`, that is an error. The vectors stay a table with one row per sample. Each round is two joins and two sums over the long table;
     only k x k matrices reach the driver. The vectors beyond the wanted ones speed up convergence.
     """
     rows = cut(values.select(F.col(sample).alias("sample"), F.col(dim).alias("dim"), F.col(value).alias("v")))
@@ -324,6 +319,8 @@ def iterated_components(
             break
         before = eigenvalues
         q = cut(orthonormal(y))
+    else:
+        raise RuntimeError(f"the leading {wanted} components have not settled after {rounds} rounds")
     turned = times(q, turn)
     signs = turned.agg(*[F.max_by(F.signum(c), F.abs(F.col(c))).alias(c) for c in names]).first()
     entries = [

@@ -34,7 +34,7 @@ def split_by_coverage(counts: DataFrame, min_mean_rc: float = MIN_MEAN_COUNT) ->
 
 
 def first_regions(counts: DataFrame, regions: int = PROFILE_REGIONS, first: int = 0) -> DataFrame:
-    """The first regions in target order; region ids are dense and start at `first`."""
+    """The first regions in target order, for callers that ask for it; region ids are dense and start at `first`."""
     return counts.where(F.col("region_id") < first + regions)
 
 

@@ -1,7 +1,8 @@
 """Caller B: expected counts from a null model, and a Poisson scan for windows that depart from them.
 
 Null model: size factor of the sample x median over samples of the region x median of the GC bin, then K latent
-factors of the log residual, K chosen by BIC. A window with raw sum y and expected sum l scores
+factors of the log residual, K chosen by BIC, for each group and contig on its own. A factor that a single sample
+carries is its copy number rather than noise of the group, and is left out. A window with raw sum y and expected sum l scores
 lratio = y ln(y / l) - (y - l). Its integer copy number is 2 y / l, rounded half to even; windows at copy number 2
 are no candidates.
 """
@@ -20,10 +21,13 @@ from copyloom.session import cut, small_table
 
 # Longest window in regions, numbers of latent factors tried, width of a GC bin in percent.
 LONGEST_WINDOW = 400
-LATENT_FACTORS = (1, 2, 3, 4, 5)
+LATENT_FACTORS = (0, 1, 2, 3, 4, 5)
 GC_BIN = 5
-# Least score of a candidate window; the modified BIC then decides how many candidates stay.
+# Least score of a candidate window, an argument of every step. Zero leaves the choice to the modified BIC alone, whose
+# price for a segment is small on short chains.
 MIN_LRATIO = 5.0
+# A latent factor is shared by samples: one that a single sample carries to this share of its square is left out.
+LONE_SHARE = 0.5
 
 CHUNK = 2048
 
@@ -97,28 +101,32 @@ def null_model_bic(k0: DataFrame) -> DataFrame:
     return per_group.select("label", F.explode(F.array(*models)).alias("m")).select("label", "m.k", "m.bic")
 
 
-def best_k(bic: DataFrame) -> DataFrame:
+def best_k(bic: DataFrame, by: tuple[str, ...] = ("label",)) -> DataFrame:
     """The k with the largest BIC per group, ties to the smaller k."""
-    return bic.groupBy("label").agg(F.max_by("k", F.struct("bic", -F.col("k"))).alias("k"), F.max("bic").alias("bic"))
+    return bic.groupBy(*by).agg(F.max_by("k", F.struct("bic", -F.col("k"))).alias("k"), F.max("bic").alias("bic"))
 
 
-def latent_models(k0: DataFrame, factors: tuple[int, ...] = LATENT_FACTORS) -> DataFrame:
-    """Expected counts with the leading latent factors, as an array over `factors`.
+def latent_models(k0: DataFrame, factors: tuple[int, ...] = LATENT_FACTORS, lone_share: float = LONE_SHARE) -> DataFrame:
+    """Expected counts with the leading latent factors of each group and contig, as an array over `factors`.
 
     The log residual is projected on the leading eigenvectors of its sample x sample products; the factors
     enter as one array per sample, and a window over the samples of a region sums the projections.
     """
     most = max(factors)
     residual = k0.withColumn("residual", F.ln((F.col("n") + 0.5) / (F.col("expected") + 0.5)))
+    residual = residual.withColumn("part", F.concat_ws("/", F.col("label").cast("string"), "contig"))
     residual = cut(
-        residual.select("label", "sample_name", "region_id", "contig", "start_bp", "end_bp", "n", "expected", "residual")
+        residual.select("part", "label", "sample_name", "region_id", "contig", "start_bp", "end_bp", "n", "expected", "residual")
     )
     if most > 0:
-        found = blocks.components(residual, "label", "sample_name", "region_id", "residual", most)
-        vectors = found.groupBy("label", "sample_name").agg(
-            F.sort_array(F.collect_list(F.struct("component", "u"))).alias("us")
+        found = blocks.components(residual, "part", "sample_name", "region_id", "residual", most)
+        lone = F.max(F.col("u") * F.col("u")).over(Window.partitionBy("part", "component")) > lone_share
+        vectors = (
+            found.withColumn("u", F.when(lone, 0.0).otherwise(F.col("u")))
+            .groupBy("part", "sample_name")
+            .agg(F.sort_array(F.collect_list(F.struct("component", "u"))).alias("us"))
         )
-        residual = residual.join(vectors, ["label", "sample_name"])
+        residual = residual.join(vectors, ["part", "sample_name"], "left")
     else:
         residual = residual.withColumn("us", F.array().cast("array<struct<component:int,u:double>>"))
     region = Window.partitionBy("label", "region_id")
@@ -130,29 +138,29 @@ def latent_models(k0: DataFrame, factors: tuple[int, ...] = LATENT_FACTORS) -> D
         return sum((F.col(f"_part{i}") for i in range(k)), F.lit(0.0))
 
     models = F.array(*[F.col("expected") * F.exp(shift(k)) for k in factors])
-    return fitted.withColumn("models", models).drop("us", "residual", *parts)
+    return fitted.withColumn("models", models).drop("part", "us", "residual", *parts)
 
 
 def latent_bic(models: DataFrame, factors: tuple[int, ...] = LATENT_FACTORS) -> DataFrame:
-    """BIC per group and number of latent factors; a factor costs (samples + regions) ln(samples x regions)."""
+    """BIC per group, contig and number of latent factors; a factor costs (samples + regions) ln(samples x regions)."""
     logliks = [loglik(F.col("n"), F.get("models", F.lit(i))).alias(f"l{i}") for i in range(len(factors))]
-    per_group = models.groupBy("label").agg(
+    per_group = models.groupBy("label", "contig").agg(
         F.countDistinct("sample_name").alias("s"), F.countDistinct("region_id").alias("r"), *logliks
     )
     cost = (F.col("s") + F.col("r")) * F.ln(F.col("s") * F.col("r"))
     rows = [
         F.struct(F.lit(k).alias("k"), (2 * F.col(f"l{i}") - k * cost).alias("bic")) for i, k in enumerate(factors)
     ]
-    return per_group.select("label", F.explode(F.array(*rows)).alias("m")).select("label", "m.k", "m.bic")
+    return per_group.select("label", "contig", F.explode(F.array(*rows)).alias("m")).select("label", "contig", "m.k", "m.bic")
 
 
 def expected_counts(k0: DataFrame, factors: tuple[int, ...] = LATENT_FACTORS) -> DataFrame:
-    """Expected counts under the best number of latent factors per group."""
+    """Expected counts under the best number of latent factors of each group and contig."""
     models = cut(latent_models(k0, factors))
-    chosen = best_k(latent_bic(models, factors)).select("label", "k")
+    chosen = best_k(latent_bic(models, factors), ("label", "contig")).select("label", "contig", "k")
     at = F.array_position(F.array(*[F.lit(k) for k in factors]), F.col("k")).cast("int")
     return (
-        models.join(chosen, "label")
+        models.join(chosen, ["label", "contig"])
         .withColumn("expected", F.element_at("models", at))
         .drop("models")
     )

@@ -14,14 +14,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from copyloom.functions.columns import region_label
 from copyloom.operators import blocks
+from copyloom.operators.intervals import annotate_overlaps
 from copyloom.session import cut, small_table
 
-# States with their copy ratio, switching probability, regions used to choose references.
+# States with their copy ratio, switching probability.
 STATES = ["normal", "deletion", "duplication"]
 RATIOS = [1.0, 0.5, 1.5]
 TRANSITION = 1e-4
-CHOICE_REGIONS = 20000
 
 CHUNK = 2048
 CASE_BLOCK = 256
@@ -45,11 +46,15 @@ def sample_correlation(counts: DataFrame) -> DataFrame:
     return blocks.correlations(counts, "label", "sample_name", "region_id", "n")
 
 
-def thinned(counts: DataFrame, max_regions: int = CHOICE_REGIONS) -> DataFrame:
-    """Every s-th region, so that at most max_regions are used to choose references."""
-    regions = counts.select("region_id").distinct().count()
-    step = -(-regions // max_regions)
-    return counts if step <= 1 else counts.where(F.col("region_id") % step == 0)
+def thinned(counts: DataFrame, max_regions: int) -> DataFrame:
+    """Every s-th region by its place in the table, so that at most max_regions are left; for callers that ask for it."""
+    regions = cut(counts.select("region_id").distinct())
+    step = -(-regions.count() // max_regions)
+    if step <= 1:
+        return counts
+    place = F.row_number().over(Window.orderBy("region_id")) - 1  # one row per region
+    kept = regions.withColumn("_place", place).where(F.col("_place") % step == 0).select("region_id")
+    return counts.join(kept, "region_id", "left_semi")
 
 
 def reference_rank(correlation: DataFrame) -> DataFrame:
@@ -175,10 +180,18 @@ def scored_prefixes(sums: DataFrame) -> DataFrame:
     return sums.withColumn("scores", scores)
 
 
-def select_references(counts: DataFrame, max_regions: int = CHOICE_REGIONS) -> DataFrame:
-    """Per case the chosen references: the best-scoring prefix of its ranked list, ties to the shorter one."""
-    counts = cut(thinned(counts.select("label", "sample_name", "region_id", "n"), max_regions))
-    ranks = cut(reference_rank(sample_correlation(counts)))
+def select_references(
+    counts: DataFrame, max_regions: int | None = None, samples: list[str] | None = None
+) -> DataFrame:
+    """Per case the chosen references: the best-scoring prefix of its ranked list, ties to the shorter one.
+
+    All regions count unless `max_regions` asks for fewer. With `samples` references are chosen for those cases only.
+    """
+    counts = cut(counts.select("label", "sample_name", "region_id", "n"))
+    if max_regions is not None:
+        counts = cut(thinned(counts, max_regions))
+    ranks = reference_rank(sample_correlation(counts))
+    ranks = cut(ranks if samples is None else ranks.where(F.col("sample_name").isin(samples)))
     scored = scored_prefixes(reference_prefix_sums(counts, ranks))
     best = F.array_max(F.transform("scores", lambda s: F.struct(s["score"].alias("score"), (-s["m"]).alias("less"))))
     return (
@@ -385,6 +398,9 @@ def segment_calls(segments: DataFrame) -> DataFrame:
     ll = F.when(state == 1, F.col("ll_deletion")).otherwise(F.col("ll_duplication"))
     return segments.where(state > 0).select(
         "sample_name",
+        (F.col("first_ord") + 1).alias("start_p"),
+        (F.col("last_ord") + 1).alias("end_p"),
+        F.concat(F.lit("chr"), region_label(F.col("contig"), F.col("start_bp"), F.col("end_bp"))).alias("id"),
         F.when(state == 1, STATES[1]).otherwise(STATES[2]).alias("type"),
         F.col("nexons").cast("int").alias("nexons"),
         "start_bp",
@@ -418,3 +434,19 @@ def call_read_ratio(
     cases = with_refs if samples is None else with_refs.where(F.col("sample_name").isin(samples))
     likelihoods = positioned(state_likelihoods(cases), targets)
     return segment_calls(most_likely_paths(likelihoods, SEGMENT_KEYS, SEGMENT_SUMS, transition, chunk))
+
+
+def annotated_calls(calls: DataFrame, common: DataFrame | None = None, exons: DataFrame | None = None) -> DataFrame:
+    """Caller A's full table: common variants that cover half of a call, and the exons it touches, joined by commas.
+
+    `common` and `exons` hold name, contig, start_bp, end_bp; without one of them its column is NULL.
+    """
+    keyed = calls.withColumn("call_key", F.concat_ws("/", "sample_name", "id"))
+    places = keyed.select("call_key", F.col("chromosome").alias("contig"), "start_bp", "end_bp")
+    for track, share, name in ((common, 0.5, "common_cnv"), (exons, 0.0001, "exon_names")):
+        if track is None:
+            keyed = keyed.withColumn(name, F.lit(None).cast("string"))
+        else:
+            found = annotate_overlaps(places, track, share, name).select("call_key", name)
+            keyed = keyed.join(found, "call_key", "left")
+    return keyed.drop("call_key")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,23 +24,34 @@ def count_reads(targets: DataFrame, reads: DataFrame) -> DataFrame:
     return iv.count_overlaps(targets, chosen, samples)
 
 
+class CohortCalls(NamedTuple):
+    """What the chain gives: both callers' tables, the samples' labels, and the samples with too little coverage."""
+
+    ratio: DataFrame
+    poisson: DataFrame
+    labels: DataFrame
+    failed: DataFrame
+
+
 def group_samples(
     counts: DataFrame,
     min_mean_rc: float = cov.MIN_MEAN_COUNT,
     min_cluster_size: int = co.MIN_CLUSTER_SIZE,
     neighbours: int = co.NEIGHBOURS,
-) -> DataFrame:
-    """Label and nearest cluster of every sample with enough coverage.
+    profile_regions: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Label and nearest cluster of every sample with enough coverage, and the samples without.
 
-    Neighbours are found on the z-scored profile of the first regions; noise samples take the cluster with the
-    nearest members on the two leading components.
+    Neighbours are found on the z-scored profile of all regions, or of the first `profile_regions`; noise samples take
+    the cluster with the nearest members on the two leading components.
     """
-    passed, _ = cov.split_by_coverage(cov.first_regions(counts), min_mean_rc)
+    used = counts if profile_regions is None else cov.first_regions(counts, profile_regions)
+    passed, failed = cov.split_by_coverage(used, min_mean_rc)
     z = cut(cov.zscore_by_region(cov.scale_profiles(passed)))
     labels = cut(co.batch_samples(co.sample_neighbours(z, neighbours), min_cluster_size, z))
     scores = co.profile_components(z, 2)
     positions = scores.select("sample_name", F.col("component").alias("dim"), F.col("score").alias("v"))
-    return cut(co.assign_noise(co.noise_distances(positions, labels), labels))
+    return cut(co.assign_noise(co.noise_distances(positions, labels), labels)), cut(failed)
 
 
 def cohort_calls(
@@ -51,10 +64,21 @@ def cohort_calls(
     coverage: tuple[float, float] = cov.COVERAGE_LIMITS,
     factors: tuple[int, ...] = pc.LATENT_FACTORS,
     include_likely: bool = False,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Calls of both callers, and the sample labels. `done` names samples that already have results."""
+    profile_regions: int | None = None,
+    max_regions: int | None = None,
+    longest_window: int = pc.LONGEST_WINDOW,
+    min_lratio: float = pc.MIN_LRATIO,
+    common: DataFrame | None = None,
+    exons: DataFrame | None = None,
+) -> CohortCalls:
+    """Calls of both callers, sample labels, and failed samples. `done` names samples that already have results.
+
+    All regions count for grouping and for the choice of references unless `profile_regions` or `max_regions` ask for
+    fewer. Caller B covers autosomes, as its model takes two copies for granted; its size factors are genome-wide.
+    Caller A's table names `common` variants and `exons` (name, contig, start_bp, end_bp) where they are given.
+    """
     counts = cut(count_reads(targets, reads))
-    labels = group_samples(counts, min_mean_rc, min_cluster_size, neighbours)
+    labels, failed = group_samples(counts, min_mean_rc, min_cluster_size, neighbours, profile_regions)
     column = "likely" if include_likely else "label"
     members = labels.where(F.col(column) != co.NOISE).select("sample_name", F.col(column).alias("label"))
     if done is not None:
@@ -62,14 +86,26 @@ def cohort_calls(
         members = members.join(wanted, "label", "left_semi")
     grouped = cut(counts.join(members, "sample_name").select("label", "sample_name", "region_id", "n"))
 
-    with_refs = cut(rc.reference_totals(grouped, rc.select_references(grouped)))
-    ratio_calls = rc.call_read_ratio(with_refs, targets)
+    with_refs = cut(rc.reference_totals(grouped, rc.select_references(grouped, max_regions)))
+    ratio_calls = rc.annotated_calls(rc.call_read_ratio(with_refs, targets), common, exons)
 
     qc = cov.region_qc(grouped, targets, coverage=coverage, by=("label",))
     passed = cut(cov.qc_counts(grouped, qc, by=("label",)))
-    k0 = pc.expected_k0(passed, cov.library_size_factor(passed, by=("label",)))
-    poisson_calls = pc.call_poisson_scan(pc.chains(cut(pc.expected_counts(k0, factors))))
-    return ratio_calls, poisson_calls, labels
+    k0 = cov.autosomes(pc.expected_k0(passed, cov.library_size_factor(passed, by=("label",))))
+    expected = pc.chains(cut(pc.expected_counts(k0, factors)))
+    poisson_calls = pc.call_poisson_scan(expected, longest_window, min_lratio)
+    return CohortCalls(ratio_calls, poisson_calls, labels, failed)
+
+
+def one_case(targets: DataFrame, counts: DataFrame, sample: str, max_regions: int | None = None) -> DataFrame:
+    """Caller A's table of a single case against the samples of its group; references are chosen for it alone.
+
+    `counts` holds label, sample_name, region_id, n.
+    """
+    own = counts.where(F.col("sample_name") == sample).select("label").distinct()
+    group = cut(counts.join(F.broadcast(own), "label", "left_semi"))  # one label
+    with_refs = rc.reference_totals(group, rc.select_references(group, max_regions, [sample]))
+    return rc.call_read_ratio(with_refs, targets, samples=[sample])
 
 
 def both_callers(ratio_calls: DataFrame, poisson_calls: DataFrame) -> DataFrame:

@@ -59,8 +59,8 @@ def handover_path(spark: SparkSession, name: str) -> str:
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
-    """Whether the frame holds at most `rows` rows; reads only as many partitions as that takes."""
-    return len(df.select(F.lit(1)).head(rows + 1)) <= rows
+    """Whether the frame holds at most `rows` rows; only a number comes back."""
+    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

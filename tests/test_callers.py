@@ -15,6 +15,18 @@ from copyloom.operators import ratio_caller as rc
 from copyloom.plans import pipeline
 from copyloom.session import cut
 
+# Both callers' calls over the middle tables. Only the one on S05 and contig 4 is planted; caller B's others are single
+# or neighbouring regions with low counts whose scores lie between 5.5 and 7.3, just above the floor.
+COHORT_CALLS = [
+    ("poisson", "S03", "2", 42301, 42497, "dup"),
+    ("poisson", "S05", "4", 3901, 49011, "del"),
+    ("poisson", "S06", "9", 53401, 56536, "dup"),
+    ("poisson", "S15", "6", 37501, 37645, "del"),
+    ("poisson", "S17", "4", 42901, 42991, "dup"),
+    ("poisson", "S18", "8", 41101, 41149, "dup"),
+    ("ratio", "S05", "4", 901, 58041, "del"),
+]
+
 
 def test_path_is_the_best_of_all_paths():
     rng = np.random.default_rng(0)
@@ -84,8 +96,8 @@ def test_reference_choice_in_blocks(spark, middle, monkeypatch):
         assert (part.n == wide[name]).all() and (part.ref_n == wide[chosen[name]].sum(axis=1)).all()
 
 
-def test_choice_uses_every_sth_region(spark):
-    counts = spark.range(1000).selectExpr("id AS region_id", "0 AS label", "'S' AS sample_name", "1L AS n")
+def test_choice_uses_all_regions_unless_asked(spark):
+    counts = spark.range(1000).selectExpr("2 * id + 1 AS region_id", "0 AS label", "'S' AS sample_name", "1L AS n")
     assert rc.thinned(counts, 300).count() == 250 and rc.thinned(counts, 1000).count() == 1000
 
 
@@ -188,18 +200,28 @@ def test_latent_factors_against_numpy(spark, middle):
     passed, factors = qc_passed(spark, middle)
     k0 = cut(pc.expected_k0(passed, factors))
     models = pc.latent_models(k0, (0, 1, 3)).toPandas()
-    for label, part in models.groupby("label"):
+    bic, lone = {}, 0
+    for (label, contig), part in models.groupby(["label", "contig"]):
         part = part.assign(residual=np.log((part.n + 0.5) / (part.expected + 0.5)))
         wide = part.pivot(index="sample_name", columns="region_id", values="residual")
         u, s, v = np.linalg.svd(wide.to_numpy(), full_matrices=False)
+        shared = (u**2).max(axis=0) <= pc.LONE_SHARE
+        lone += int((~shared[:3]).sum())
         start = part.pivot(index="sample_name", columns="region_id", values="expected").to_numpy()
+        n = part.pivot(index="sample_name", columns="region_id", values="n").to_numpy()
         for i, k in enumerate((0, 1, 3)):
-            fitted = start * np.exp((u[:, :k] * s[:k]) @ v[:k])
+            fitted = start * np.exp((u[:, :k] * (s * shared)[:k]) @ v[:k])
             mine = part.assign(x=[m[i] for m in part.models]).pivot(index="sample_name", columns="region_id", values="x")
             assert np.allclose(mine.to_numpy(), fitted, rtol=1e-6)
-    bic = pc.latent_bic(pc.latent_models(k0, (0, 1, 3)), (0, 1, 3))
-    chosen = pc.expected_counts(k0, (0, 1, 3)).select("label", "k").distinct().toPandas()
-    assert len(chosen) == 2 and set(chosen.k) <= {0, 1, 3} and bic.count() == 6
+            bic[label, contig, k] = 2 * (n * np.log(fitted) - fitted).sum() - k * sum(n.shape) * np.log(n.size)
+    assert lone > 0
+    found = pc.latent_bic(pc.latent_models(k0, (0, 1, 3)), (0, 1, 3)).toPandas()
+    assert len(found) == len(bic)
+    for row in found.itertuples():
+        assert np.isclose(row.bic, bic[row.label, row.contig, row.k])
+    chosen = pc.expected_counts(k0, (0, 1, 3)).select("label", "contig", "k").distinct().collect()
+    for row in chosen:
+        assert row.k == max((0, 1, 3), key=lambda k: (round(bic[row.label, row.contig, k], 6), -k))
 
 
 @pytest.mark.parametrize(("raw", "expected", "copies"), [(5, 4.0, 2), (3, 4.0, 2), (0, 4.0, 0), (8, 4.0, 4), (13, 4.0, 6)])
@@ -208,18 +230,51 @@ def test_copy_number_halves_to_even(spark, raw, expected, copies):
     assert row.c == copies
 
 
-def test_whole_chain_reports_the_planted_deletion(spark, middle):
-    ratio, poisson, labels = pipeline.cohort_calls(
+def test_registered_chain_reports_the_planted_deletion(spark, middle):
+    calls = QUERIES["cohort_calls"](spark, middle).toPandas()
+    s05 = calls[(calls.sample_name == "S05") & (calls.contig == "4")]
+    assert set(s05.caller) == {"ratio", "poisson"} and set(s05.kind) == {"del"}
+    assert sorted(map(tuple, calls.itertuples(index=False))) == COHORT_CALLS
+
+
+def test_chain_reports_failed_samples_and_annotates(spark, middle):
+    found = pipeline.cohort_calls(
         view(spark, middle, "fx_targets"),
         view(spark, middle, "fx_reads"),
-        min_mean_rc=4,
-        min_cluster_size=8,
+        min_mean_rc=8.9,
+        min_cluster_size=4,
         coverage=COVERAGE,
-        factors=(0, 1, 2, 3, 4, 5),
-        include_likely=True,
+        common=view(spark, middle, "fx_common_cnvs"),
     )
-    calls = pipeline.both_callers(ratio, poisson).toPandas()
-    s05 = calls[(calls.sample_name == "S05") & (calls.contig == "4")]
-    assert set(s05.caller) == {"ratio", "poisson"} and set(s05.kind) == {"del"}
-    likely = labels.toPandas().set_index("sample_name").likely
-    assert likely["S05"] == likely["S06"] != likely["S12"]
+    failed, labels = found.failed.toPandas(), found.labels.toPandas()
+    assert len(failed) > 0 and len(failed) + len(labels) == 24 and (failed.mean_rc <= 8.9).all()
+    assert {"start_p", "end_p", "id", "common_cnv", "exon_names"} <= set(found.ratio.columns)
+    assert not set(found.ratio.toPandas().sample_name) & set(failed.sample_name)
+
+
+def test_one_case_equals_its_part_of_all_cases(spark, middle):
+    counts, targets = cut(labelled(spark, middle)), view(spark, middle, "fx_targets")
+    with_refs = cut(rc.reference_totals(counts, rc.select_references(counts)))
+    every = rc.call_read_ratio(with_refs, targets).where("sample_name = 'S05'").collect()
+    assert pipeline.one_case(targets, counts, "S05").collect() == every and every
+
+
+def test_caller_b_leaves_sex_chromosomes_out(spark, middle):
+    targets = view(spark, middle, "fx_targets").withColumn("contig", F.when(F.col("contig") == "4", "X").otherwise(F.col("contig")))
+    reads = view(spark, middle, "fx_reads").withColumn("contig", F.when(F.col("contig") == "4", "X").otherwise(F.col("contig")))
+    found = pipeline.cohort_calls(targets, reads, min_mean_rc=4, min_cluster_size=8, coverage=COVERAGE, include_likely=True)
+    assert "X" not in set(found.poisson.toPandas().chr) and "X" in set(found.ratio.toPandas().chromosome)
+
+
+def test_one_sample_carries_no_factor(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for s in range(10):
+        for r in range(60):
+            copies = 0.5 if s == 2 and 20 <= r < 40 else 1.0
+            rows.append((0, f"S{s}", r, "1", 100 * r, 100 * r + 50, int(rng.poisson(200 * copies)), 200.0))
+    schema = "label int, sample_name string, region_id long, contig string, start_bp long, end_bp long, n long, expected double"
+    expected = pc.expected_counts(spark.createDataFrame(rows, schema), (1, 2))
+    calls = pc.call_poisson_scan(pc.chains(expected)).toPandas()
+    assert [(c.sample_name, c.cnv) for c in calls.itertuples()] == [("S2", "del")]
+    assert abs(calls.st_exon[0] - 21) <= 1 and abs(calls.ed_exon[0] - 40) <= 1

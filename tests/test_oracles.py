@@ -8,7 +8,14 @@ from checks.queries import QUERIES
 from copyloom.fixtures import view
 
 # Heavier chains whose own tests are in the other files.
-ROWS_ONLY = {"profile_components", "expected_counts", "call_poisson_scan", "cohort_calls"}
+ROWS_ONLY = {
+    "profile_components",
+    "expected_counts",
+    "call_poisson_scan",
+    "cohort_calls",
+    "cohort_calls_clusters_only",
+    "reads_to_gene_table",
+}
 
 
 @pytest.fixture(scope="module")
