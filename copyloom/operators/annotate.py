@@ -38,14 +38,23 @@ POISSON_VALUES = ["raw_cov", "norm_cov", "copy_no", "lratio", "mbic"]
 RATIO_VALUES = ["reads_expected", "reads_observed", "reads_ratio", "bf", "nexons", "common_cnv"]
 
 
+def plain_number(value: Column) -> Column:
+    """A number as a table shows it: whole ones without a point, none with an exponent."""
+    wide = F.regexp_replace(value.cast("decimal(38,9)").cast("string"), r"\.?0+$", "")
+    text = F.when(F.abs(value).between(1e-3, 1e7), value.cast("string")).otherwise(wide)
+    return F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).otherwise(text)
+
+
 def text_or_na(df: DataFrame, name: str) -> Column:
-    value = F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
-    return F.coalesce(value, F.lit("NA"))
+    if name not in df.columns:
+        return F.lit("NA")
+    value = F.col(name)
+    return F.coalesce(plain_number(value) if dict(df.dtypes)[name] == "double" else value.cast("string"), F.lit("NA"))
 
 
 def pack(df: DataFrame, kind: Column, values: list[str]) -> Column:
     contig, start, end = F.col("contig"), F.col("start_bp"), F.col("end_bp")
-    head = [region_label(contig, start, end), kind, length_kb(start, end).cast("string")]
+    head = [region_label(contig, start, end), kind, plain_number(length_kb(start, end))]
     return F.concat_ws("|", *head, *[text_or_na(df, v) for v in values])
 
 
@@ -79,14 +88,16 @@ def annotate_calls_with_genes(calls: DataFrame, exons: DataFrame) -> DataFrame:
     )
 
 
-def annotate_genes_full_split(segments: DataFrame, genes: DataFrame) -> DataFrame:
+def annotate_genes_full_split(segments: DataFrame, genes: DataFrame, half_open: bool = False) -> DataFrame:
     """One "full" row per segment with all its genes, and one "split" row per gene it touches.
 
     `segments` carries segment_id, contig, start_bp, end_bp and anything else, which both kinds of rows repeat.
-    The detail rows are matched once; the full rows are their aggregate.
+    The detail rows are matched once; the full rows are their aggregate. Genes are closed intervals; the end of a
+    half-open segment belongs to the next one.
     """
+    last = F.col("end_bp") - 1 if half_open else F.col("end_bp")
     hits = overlap_join(
-        segments.select("segment_id", "contig", "start_bp", "end_bp"),
+        segments.select("segment_id", "contig", "start_bp", last.alias("end_bp")),
         genes.select("gene_id", "gene_name", "contig", "start_bp", "end_bp"),
     ).select(
         "segment_id",
@@ -126,7 +137,7 @@ def annotate_sample_calls(poisson: DataFrame, ratio: DataFrame, genes: DataFrame
         "segment_id",
         F.concat_ws("/", "sample_name", region_label(F.col("contig"), F.col("start_bp"), F.col("end_bp"))),
     )
-    rows = annotate_genes_full_split(named, genes)
+    rows = annotate_genes_full_split(named, genes, half_open=True)
     rows = unpack(unpack(rows, "label_a", POISSON_COLUMNS), "label_b", RATIO_COLUMNS)
     return rows.withColumn("length_kb", length_kb(F.col("start_bp"), F.col("end_bp"))).drop(
         "segment_id", "label_a", "label_b"

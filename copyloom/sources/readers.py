@@ -100,6 +100,29 @@ def failed_count_files(spark: SparkSession, folder: str, counts: DataFrame) -> D
     return found.join(counts.select("sample_name").distinct(), "sample_name", "left_anti")
 
 
+def count_file_report(spark: SparkSession, folder: str, targets: DataFrame) -> DataFrame:
+    """For every count file its rows, those whose label is among the targets, and whether it covers every target once.
+
+    A file that breaks off gives the rows before the fault; it is listed here as not complete.
+    """
+    labels = targets.select(region_label(F.col("contig"), F.col("start_bp"), F.col("end_bp")).alias("region")).distinct()
+    rows = (
+        spark.read.option("ignoreCorruptFiles", True)
+        .csv(f"{folder}/*{schemas.COUNT_SUFFIX}", schema=schemas.COUNT_FILE, header=True, enforceSchema=True)
+        .withColumn("sample_name", name_from_path(F.input_file_name(), schemas.COUNT_SUFFIX))
+    )
+    known = labels.withColumn("known", F.lit(1))
+    found = rows.join(known, "region", "left").groupBy("sample_name")
+    found = found.agg(F.count("*").alias("rows"), F.count("known").alias("matched"), F.count("n").alias("numbers"))
+    files = discover_samples(spark, folder, "", schemas.COUNT_SUFFIX).select("sample_name")
+    wanted = labels.agg(F.count("*").alias("targets"))
+    zero = F.lit(0).cast("long")
+    report = files.join(found, "sample_name", "left").crossJoin(F.broadcast(wanted))  # one row
+    report = report.withColumns({c: F.coalesce(c, zero) for c in ("rows", "matched", "numbers")})
+    complete = (F.col("matched") == F.col("targets")) & (F.col("rows") == F.col("targets")) & (F.col("numbers") == F.col("targets"))
+    return report.select("sample_name", "rows", "matched", "targets", complete.alias("complete"))
+
+
 def settled_files(listing: DataFrame, now: Column, seconds: int = 3600, modified: str = "modificationTime") -> DataFrame:
     """Files whose last change is more than `seconds` old; a plain comparison, so the source can skip data."""
     return listing.where(F.col(modified) < now - F.expr(f"INTERVAL '{seconds}' SECOND"))

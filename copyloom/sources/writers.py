@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from copyloom import schemas
 from copyloom.functions.columns import region_label
+from copyloom.session import cut
+
+# Parts a sample's counts are written in.
+SAMPLE_PARTS = 4
 
 
 def labelled_counts(counts: DataFrame, targets: DataFrame) -> DataFrame:
@@ -15,15 +27,83 @@ def labelled_counts(counts: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def write_counts(counts: DataFrame, targets: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Count table partitioned by sample."""
+    """Count table partitioned by sample, a few files each."""
     rows = labelled_counts(counts, targets)
-    writer = rows.repartition("sample_name").sortWithinPartitions("sample_name").write.partitionBy("sample_name")
+    part = F.pmod(F.hash("region"), F.lit(SAMPLE_PARTS))
+    writer = rows.repartition("sample_name", part).sortWithinPartitions("sample_name").write.partitionBy("sample_name")
     if fmt == "csv":
         writer.option("header", True).option("compression", "gzip").csv(path)
     else:
         writer.parquet(path)
 
 
+def write_sample_files(rows: DataFrame, folder: str, suffix: str, columns: list[str], order: list[str], sep: str = "\t") -> DataFrame:
+    """One text file per sample, `<sample><suffix>`, with a header and NA for NULL; packed if the name ends so.
+
+    A task streams its samples' rows in order, so it holds one batch. Files are written under another name and then
+    moved, so that a repeated attempt replaces a file rather than adding to it. Returns sample_name and rows.
+    """
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    packed = suffix.endswith(".gz")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        target, root = fs.FileSystem.from_uri(folder)
+        attempt = TaskContext.get().taskAttemptId()
+        sample, out, count = None, None, 0
+
+        def close() -> pd.DataFrame:
+            out.close()
+            target.move(f"{root}/_{attempt}_{sample}{suffix}", f"{root}/{sample}{suffix}")
+            return pd.DataFrame({"sample_name": [sample], "rows": [count]})
+
+        for batch in batches:
+            for name, part in batch.groupby("sample_name", sort=False):
+                text = io.StringIO()
+                if name != sample:
+                    if out is not None:
+                        yield close()
+                    sample, count = name, 0
+                    out = target.open_output_stream(f"{root}/_{attempt}_{sample}{suffix}", compression=None)
+                part[columns].to_csv(text, sep=sep, index=False, header=count == 0, na_rep="NA")
+                data = text.getvalue().encode()
+                out.write(gzip.compress(data) if packed else data)
+                count += len(part)
+        if out is not None:
+            yield close()
+
+    # Numbers as text, so that NULL does not turn whole numbers into fractions.
+    text = [F.col(c).cast("string").alias(c) for c in columns if c != "sample_name"]
+    spread = rows.repartition("sample_name").sortWithinPartitions("sample_name", *order).select("sample_name", *text)
+    return cut(spread.mapInPandas(write, "sample_name string, rows long"))
+
+
+def write_count_files(counts: DataFrame, targets: DataFrame, folder: str) -> DataFrame:
+    """Count files per sample as `read_counts` takes them."""
+    places = targets.select("region_id", "contig", "start_bp")
+    rows = labelled_counts(counts, targets).join(
+        targets.select(region_label(F.col("contig"), F.col("start_bp"), F.col("end_bp")).alias("region"), "region_id"), "region"
+    )
+    rows = rows.join(places, "region_id")
+    return write_sample_files(rows, folder, schemas.COUNT_SUFFIX, ["region", "n"], ["contig", "start_bp"], ",")
+
+
+def names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
+def write_poisson_calls(calls: DataFrame, folder: str) -> DataFrame:
+    """Caller B's table per sample as `read_calls` takes it."""
+    return write_sample_files(calls, folder, schemas.POISSON_SUFFIX, names(schemas.POISSON_CALLS), ["chr", "st_bp", "ed_bp"])
+
+
+def write_ratio_calls(calls: DataFrame, folder: str) -> DataFrame:
+    """Caller A's table per sample as `read_calls` takes it."""
+    columns = names(schemas.RATIO_CALLS)
+    whole = calls.withColumns({c: F.lit(None).cast("string") for c in columns if c not in calls.columns})
+    return write_sample_files(whole, folder, schemas.RATIO_SUFFIX, columns, ["chromosome", "start_bp", "end_bp"])
+
+
 def write_region_qc(qc: DataFrame, path: str) -> None:
     """Written once; an existing table is left alone."""
     qc.write.mode("ignore").parquet(path)

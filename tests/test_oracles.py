@@ -38,7 +38,7 @@ def test_registry_is_consistent():
 def test_entry_has_the_sixteen_columns(spark):
     table = driver.entry(spark)
     assert len(table.columns) == 16 and table.columns[0] == "call_id" and table.columns[-1] == "gene_biotype"
-    assert table.count() == 40
+    assert table.count() == 62
 
 
 def test_fixture_facts(spark, middle):
@@ -53,6 +53,6 @@ def test_fixture_facts(spark, middle):
 
 def test_flagship_facts(spark, middle):
     table = QUERIES["gene_deletion_table"](spark, middle).toPandas()
-    assert len(table) == 7141 and table.gene_id.nunique() == 497 and table.sample_cnt.max() == 20
-    assert (table.gene_biotype == "protein_coding").sum() == 4741
-    assert (table.codex_lratio.notna() & table.exomedepth_bf.notna()).sum() == 675
+    assert len(table) == 9687 and table.gene_id.nunique() == 497 and table.sample_cnt.max() == 20
+    assert (table.gene_biotype == "protein_coding").sum() == 6430
+    assert (table.codex_lratio.notna() & table.exomedepth_bf.notna()).sum() == 3265

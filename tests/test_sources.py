@@ -167,3 +167,27 @@ def test_merged_callers_equal_a_full_join(spark):
     expected = p.distinct().join(r, genes.CALL_KEY, "full").join(info, "gene_id").select(found.columns)
     assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect())) and found.count() == 4
     assert genes.gene_sample_counts(genes.calls_by_key(p, r), info).first().sample_cnt == 2
+
+
+def test_torn_count_files_are_reported(spark, tmp_path):
+    targets = spark.createDataFrame([(i, "1", 10 * i + 1, 10 * i + 9) for i in range(20_000)], "region_id long, contig string, start_bp long, end_bp long")
+    lines = "region,x\n" + "".join(f"1:{10 * i + 1}-{10 * i + 9},{i}\n" for i in range(20_000))
+    packed = gzip.compress(lines.encode())
+    (tmp_path / "whole_exome_RC.csv.gz").write_bytes(packed)
+    (tmp_path / "torn_exome_RC.csv.gz").write_bytes(packed[: len(packed) // 2])
+    (tmp_path / "other_exome_RC.csv.gz").write_bytes(gzip.compress(lines.replace("1:1-9", "2:1-9").encode()))
+    (tmp_path / "empty_exome_RC.csv.gz").write_bytes(gzip.compress(b"region,x\n"))
+    report = {r.sample_name: r for r in readers.count_file_report(spark, str(tmp_path), targets).collect()}
+    assert {s: r.complete for s, r in report.items()} == {"whole": True, "torn": False, "other": False, "empty": False}
+    assert 0 < report["torn"].rows < 20_000 and report["other"].matched == 19_999 and report["empty"].rows == 0
+
+
+def test_sample_files_hold_one_sample_each_in_order(spark, tmp_path):
+    rows = [(f"S{s}", "1", i * 7 % 100, None if i % 9 == 0 else i) for s in range(5) for i in range(100)]
+    frame = spark.createDataFrame(rows, "sample_name string, contig string, start_bp long, n long").repartition(7)
+    done = writers.write_sample_files(frame, str(tmp_path / "out"), ".tsv", ["contig", "start_bp", "n"], ["start_bp"])
+    assert {(r.sample_name, r["rows"]) for r in done.collect()} == {(f"S{s}", 100) for s in range(5)}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"S{s}.tsv" for s in range(5)]
+    lines = (tmp_path / "out" / "S3.tsv").read_text().splitlines()
+    assert lines[0] == "contig\tstart_bp\tn" and [int(x.split("\t")[1]) for x in lines[1:]] == list(range(100))
+    assert sum(x.endswith("NA") for x in lines) == 12
