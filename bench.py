@@ -1,6 +1,7 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Per query the median of three runs after a warm-up, building the plan included.
+Per query the median of three runs after a warm-up, building the plan included, with the rows it gives and the jobs a
+run takes.
 """
 
 from __future__ import annotations
@@ -32,21 +33,28 @@ HEADLINE = [
 
 
 def seconds(spark, name: str) -> float:
+    spark.sparkContext.setJobGroup(name, name)
     started = time.perf_counter()
     QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - started
 
 
+def jobs(spark, name: str) -> int:
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
 def main() -> None:
     spark = local_session(CPUS, "bench", int(CPUS))
     spark.sparkContext.setLogLevel("ERROR")
-    times = {}
+    times, counts, rows = {}, {}, {}
     for name in HEADLINE:
+        rows[name] = QUERIES[name](spark, SF_DIR).count()
         seconds(spark, name)
+        counts[name] = jobs(spark, name)
         times[name] = round(statistics.median(seconds(spark, name) for _ in range(RUNS)), 3)
     scale = os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")
     total = round(sum(times.values()), 3)
-    print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": times, "sf": float(scale)}))
+    print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": times, "rows": rows, "jobs": counts, "sf": float(scale)}))
     spark.stop()
 
 

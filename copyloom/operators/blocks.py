@@ -210,12 +210,12 @@ def nearest(values: DataFrame, group: str, sample: str, dim: str, value: str, k:
         rows, cols = total["row_names"], total["col_names"]
         squares = total["row_sq"][:, None] + total["col_sq"][None, :] - 2 * total["dot"]
         distance = np.floor(np.sqrt(np.maximum(squares, 0)) * 1e9) / 1e9
-        frames = []
-        for i, name in enumerate(rows):
-            others = np.flatnonzero(cols != name)
-            best = others[np.lexsort((cols[others], distance[i, others]))[:k]]
-            frames.append(pd.DataFrame({"sample": name, "neighbour": cols[best], "distance": distance[i, best]}))
-        return pd.concat(frames) if frames else pd.DataFrame({"sample": [], "neighbour": [], "distance": []})
+        distance[rows[:, None] == cols[None, :]] = np.inf
+        # Names ascend, so that a stable order leaves ties to the smaller one.
+        best = np.argsort(distance, axis=1, kind="stable")[:, :k]
+        found = np.take_along_axis(distance, best, axis=1)
+        out = pd.DataFrame({"sample": np.repeat(rows, best.shape[1]), "neighbour": cols[best.ravel()], "distance": found.ravel()})
+        return out[np.isfinite(out["distance"])]
 
     found = pair_blocks(
         values, group, sample, dim, value, finish, "sample string, neighbour string, distance double", **sizes

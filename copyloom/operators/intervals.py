@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copyloom.functions.columns import sequence_gc, sorted_distinct
-from copyloom.session import BROADCAST_ROWS, broadcast_if_small, has_at_most
+from copyloom.session import BROADCAST_ROWS, has_at_most
 
 # Bin widths 4 kb, 64 kb, 1 Mb, 16 Mb and 268 Mb; the last level is one bin for the whole contig.
 BIN_SHIFTS = (12, 16, 20, 24, 28)
@@ -48,12 +48,13 @@ def touched_bins(start: str, end: str) -> Column:
 
 
 def track_fits(track: DataFrame) -> bool:
-    """Whether a track may be broadcast: few rows, and few rows still when listed under the bins they touch."""
-    if not has_at_most(track, BROADCAST_ROWS):
-        return False
+    """Whether a track may be broadcast: few rows, and few rows still when listed under the bins they touch.
+
+    Both numbers come from one aggregate over two columns.
+    """
     per_level = [f"shiftright(end_bp, {s}) - shiftright(start_bp, {s}) + 1" for s in BIN_SHIFTS]
-    listed = track.agg(F.expr(f"sum({' + '.join(per_level)} + 1)").alias("n")).first()["n"]
-    return (listed or 0) <= BROADCAST_BIN_ROWS
+    found = track.agg(F.count("*").alias("rows"), F.expr(f"sum({' + '.join(per_level)} + 1)").alias("listed")).first()
+    return found["rows"] <= BROADCAST_ROWS and (found["listed"] or 0) <= BROADCAST_BIN_ROWS
 
 
 def overlap_join(
@@ -117,20 +118,24 @@ def split_hot(
     return spread.drop("_parts"), repeated.drop("_parts")
 
 
-def grid(targets: DataFrame, samples: DataFrame, blocks: int = 64) -> DataFrame:
-    """One row per sample and region with n = 0: equi-join on region blocks.
+def grid(targets: DataFrame, samples: DataFrame, small: bool | None = None, blocks: int = 64, parts: int = 16) -> DataFrame:
+    """One row per sample and region with n = 0: equi-join on region blocks and parts of the samples.
 
-    The (sample, block) rows are few but each becomes many, so they are spread over all tasks by number.
+    The (sample, block) rows are few but each becomes many, so they are spread over all tasks by number. Where the
+    regions are broadcast (`small` passes on a count already made) one part will do; otherwise a task gets a block of
+    the regions and a part of the samples.
     """
     tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    regions = broadcast_if_small(
-        targets.select("region_id", F.pmod(F.hash("region_id"), F.lit(blocks)).alias("_block"))
-    )
-    wanted = samples.select("sample_name").distinct().withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    regions = targets.select("region_id", F.pmod(F.hash("region_id"), F.lit(blocks)).alias("_block"))
+    if has_at_most(regions, BROADCAST_ROWS) if small is None else small:
+        regions, parts = F.broadcast(regions.withColumn("_part", F.lit(0))), 1
+    else:
+        regions = regions.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    wanted = samples.select("sample_name").distinct().withColumns(
+        {"_block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "_part": F.pmod(F.hash("sample_name"), F.lit(parts))}
     )
     wanted = wanted.repartition(tasks, "sample_name", "_block")
-    return regions.join(wanted, "_block").select("sample_name", "region_id", F.lit(0).cast("long").alias("n"))
+    return regions.join(wanted, ["_block", "_part"]).select("sample_name", "region_id", F.lit(0).cast("long").alias("n"))
 
 
 def count_overlaps(targets: DataFrame, reads: DataFrame, samples: DataFrame | None = None) -> DataFrame:
@@ -148,7 +153,8 @@ def count_overlaps(targets: DataFrame, reads: DataFrame, samples: DataFrame | No
         targets.select("region_id", "contig", "start_bp", "end_bp"),
         small=True,
     ).select("sample_name", "region_id", F.lit(1).cast("long").alias("n"))
-    return hits.unionByName(grid(targets, samples)).groupBy("sample_name", "region_id").agg(F.sum("n").alias("n"))
+    zeros = grid(targets, samples, small=True)
+    return hits.unionByName(zeros).groupBy("sample_name", "region_id").agg(F.sum("n").alias("n"))
 
 
 def running_totals(
