@@ -18,21 +18,22 @@ def slices(array: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def summed(parts: DataFrame, size: int, kind: type, add: np.ufunc) -> np.ndarray:
-    """Combines the arrays of all tasks, slice by slice. Rows stream, so memory holds a slice or two; the driver gets one
-    array of `size` entries."""
+def summed(parts: DataFrame, size: int, kind: type, add: np.ufunc, wide: type | None = None) -> np.ndarray:
+    """Combines the arrays of all tasks, slice by slice, as `wide` numbers if given. Rows stream, so memory holds a slice or
+    two; the driver gets one array of `size` entries."""
+    wide = wide or kind
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for no, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                new = np.frombuffer(data, dtype=kind)
+                new = np.frombuffer(data, dtype=kind).astype(wide)
                 sums[no] = add(sums[no], new) if no in sums else new
         yield pa.RecordBatch.from_pydict({"no": pa.array(list(sums), pa.int32()), "data": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
-    out = np.zeros((SLICES, size // SLICES), dtype=kind)
+    out = np.zeros((SLICES, size // SLICES), dtype=wide)
     for row in parts.repartition(SLICES, "no").mapInArrow(total, "no int, data binary").collect():
-        out[row.no] = np.frombuffer(row.data, dtype=kind)
+        out[row.no] = np.frombuffer(row.data, dtype=wide)
     return out.ravel()
 
 

@@ -40,7 +40,7 @@ from copyloom.session import broadcast_if_small, cut
 WORDS = 5
 PERCENT = 75
 MINS = 6
-TABLE_BITS = 20
+TABLE_BITS = 22
 FILTER_BITS = 23
 RUN_ROWS = 20_000
 MIN_BITS = 1024
@@ -86,19 +86,23 @@ def _differing(a: bytes, b: bytes) -> int:
 
 
 def shingle_ranks(docs: DataFrame, n: int = WORDS, bits: int = TABLE_BITS) -> np.ndarray:
-    """For each bucket of shingle hashes how common its shingles are: 0 for the usual, else the logarithm of the excess."""
+    """For each bucket of shingle hashes how common its shingles are: 0 for the usual, else the logarithm of the excess.
+
+    The usual is what chance puts into a bucket, up to four standard deviations. A task counts to 255 in a bucket, which is
+    far beyond the usual.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, dtype=np.int64)
+        counts = np.zeros(1 << bits, dtype=np.uint32)
         for batch in batches:
-            some = [s for s in shingle_sets(batch.column(0), n, unique=False) if len(s)]
-            if some:
-                counts += np.bincount((np.concatenate(some) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        yield slices(counts)
-
-    counts = summed(docs.select("text").mapInArrow(count, "no int, data binary"), 1 << bits, np.int64, np.add)
-    usual = max(16.0, counts.mean() / 2)
-    excess = np.maximum(counts - counts.mean(), 0) / usual
+            for shingles in shingle_sets(batch.column(0), n, unique=False):
+                np.add.at(counts, (shingles >> np.uint64(64 - bits)).astype(np.int64), 1)
+        yield slices(np.minimum(counts, 255).astype(np.uint8))
+
+    counts = summed(docs.select("text").mapInArrow(count, "no int, data binary"), 1 << bits, np.uint8, np.add, np.uint32)
+    mean = counts.mean()
+    usual = max(4.0, 4 * mean**0.5)
+    excess = np.maximum(counts - mean, 0) / usual
     return np.where(excess >= 1, 1 + np.floor(np.log2(np.maximum(excess, 1))), 0).astype(np.uint8)
 
 
