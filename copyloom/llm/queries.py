@@ -86,6 +86,47 @@ LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 PLAIN_WORDS = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x20\x09-\x0D]+')"
 BENCHMARK_WORDS = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def secret_spans_sql() -> str:
+    """Matches by splitting, places by running sums, links by running values, as the operator has them."""
+    lower = LOWER.format("text")
+    patterns = {k: p.replace("(?i:", "(?:").replace("'", "''") for k, p in secrets.PATTERNS.items()}
+    source = {k: lower if k in ("assign", "ident") else "text" for k in patterns}
+    matches = "\n  UNION ALL ".join(
+        f"SELECT r, '{k}' AS kind, string_split_regex({source[k]}, '{p}') AS g, regexp_extract_all({source[k]}, '{p}', 1) AS w, "
+        f"regexp_extract_all({source[k]}, '{p}', 2) AS v FROM d"
+        for k, p in patterns.items()
+    )
+
+    def in_scope(*kinds: str) -> str:
+        part = "kind IN (" + ", ".join(f"'{k}'" for k in kinds) + ")"
+        return (
+            f"(coalesce(max(CASE WHEN {part} THEN stop END) OVER before >= start - {secrets.SCOPE}, false) OR "
+            f"coalesce(min(CASE WHEN {part} THEN start END) OVER after <= stop + {secrets.SCOPE}, false))"
+        )
+
+    order = "PARTITION BY r ORDER BY start, stop, kind ROWS BETWEEN"
+    number = "list_position([" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "], kind)"
+    written = "string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, no{})"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({matches}),
+e AS (SELECT r, kind, unnest(range(1, len(w) + 1)) AS i, g, w, v FROM m),
+l AS (SELECT r, kind, i, length(g[i]) AS gap, length(w[i]) AS len, length(v[i]) AS value FROM e),
+p AS (SELECT r, kind, value, len, CAST(sum(gap + len) OVER (PARTITION BY r, kind ORDER BY i) AS BIGINT) AS stop FROM l),
+c AS (SELECT r, CASE WHEN kind = 'assign' AND value < {secrets.MIN_SECRET} THEN 'weak' ELSE kind END AS kind, stop - len AS start, stop
+  FROM p WHERE kind <> 'assign' OR value >= {secrets.MIN_WEAK}),
+s AS (SELECT *, {in_scope("access", "ident")} AS identified, {in_scope("assign", "hex", "weak")} AS secret, {in_scope("endpoint")} AS addressed
+  FROM c WINDOW before AS ({order} UNBOUNDED PRECEDING AND 1 PRECEDING), after AS ({order} 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+k AS (SELECT r, kind, start, stop, {number} AS no FROM s
+  WHERE kind IN ('assign', 'access', 'hex') OR (kind = 'weak' AND (identified OR addressed)) OR (kind IN ('ident', 'endpoint') AND secret)),
+t AS (SELECT r, count(*) FILTER (no = 1) AS n_assign, count(*) FILTER (no = 2) AS n_access, count(*) FILTER (no = 3) AS n_hex,
+  {written.format("")} FILTER (no <= 3) AS base, {written.format("")} AS spans FROM k GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN t USING (r)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_chat": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -108,6 +149,7 @@ WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {PLAIN_WORDS} AS
      c(r, e) AS (SELECT r, r FROM d UNION SELECT c.r, l.y FROM c JOIN l ON l.x = c.e),
      m AS (SELECT c.r, min(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.e GROUP BY c.r)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN m USING (r) LEFT JOIN n USING (r)""",
+    "op5_secrets": secret_spans_sql(),
     "op6_decontamination": f"""
 WITH i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {BENCHMARK_WORDS} AS w FROM benchmark),
      v AS (SELECT item_id, w, least(13, len(w)) AS s, unnest(range(0, greatest(1, len(w) - 12))) AS k FROM i WHERE len(w) > 0),
