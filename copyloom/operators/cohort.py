@@ -99,9 +99,13 @@ def noise_distances(points: DataFrame, labels: DataFrame) -> DataFrame:
     members = labelled.where(F.col("label") != NOISE)
     noise = labelled.where(F.col("label") == NOISE).select("sample_name", "dim", "v")
     totals = members.groupBy("label", "dim").agg(F.count("*").alias("members"), F.sum("v").alias("all_sum"))
-    low, high = F.min("v").alias("low"), F.max("v").alias("high")
-    # 2**16 steps between the least and the greatest value; steps only say which rows are swept together.
-    scale = labelled.groupBy("dim").agg(low, high).select("dim", "low", ((F.col("high") - F.col("low")) / 65536).alias("w"))
+    # 2**16 steps over the middle 98 percent of the values, more of the same width outside, so that an outlier does not
+    # put all others in one step. Steps only say which rows are swept together.
+    middle = F.percentile_approx("v", F.array(F.lit(0.01), F.lit(0.99)), F.lit(1000)).alias("middle")
+    spread = labelled.groupBy("dim").agg(middle, F.min("v").alias("least"), F.max("v").alias("most"))
+    narrow, wide = F.col("middle")[1] - F.col("middle")[0], F.col("most") - F.col("least")
+    width = F.when(narrow > 0, narrow).otherwise(wide) / 65536
+    scale = spread.select("dim", F.col("middle")[0].alias("low"), width.alias("w"))
     asked = noise.join(totals, "dim")
     here = (
         members.groupBy("label", "dim", "v")

@@ -132,3 +132,16 @@ def test_clusters_to_process(spark):
     assert {(r.label, r.members) for r in cohort.clusters_to_process(likely, done).collect()} == {(1, "c"), (2, "e")}
     with_likely = cohort.clusters_to_process(likely, done, include_likely=True).collect()
     assert {(r.label, r.members) for r in with_likely} == {(1, "c,d"), (2, "e")}
+
+
+def test_noise_distances_do_not_mind_outliers(spark):
+    values = [1e12, -3e9, *range(200), 5, 5, 5]
+    rows = [(f"m{i}", 0, float(v), i % 2) for i, v in enumerate(values)] + [(f"n{i}", 0, float(v), -1) for i, v in enumerate((0, 7.5, 2e9))]
+    points = spark.createDataFrame([r[:3] for r in rows], "sample_name string, dim int, v double")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "sample_name string, label int")
+    found = {(r.sample_name, r.label): r.distance for r in cohort.noise_distances(points, labels).collect()}
+    for name, _, x, label in rows:
+        if label == -1:
+            for cluster in (0, 1):
+                members = [r[2] for r in rows if r[3] == cluster]
+                assert np.isclose(found[name, cluster], sum(abs(x - m) for m in members) / len(members))
