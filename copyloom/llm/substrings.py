@@ -5,7 +5,8 @@ A byte goes if a string of `LENGTH` bytes that covers it also starts anywhere el
 1. Every window of `LENGTH` bytes belongs to an anchor, the place in it whose next `GRAM` bytes have the smallest hash, the
    leftmost of equals. That depends on the window alone, so equal windows have anchors with equal grams, at the same place.
    Grams that occur once are done with: no window that belongs to them repeats.
-2. The windows of an anchor whose gram repeats lie in a region around it. Regions go to tasks by their gram, equal ones once.
+2. The windows of an anchor whose gram repeats lie in a region around it. Regions go to tasks by their gram, equal ones once;
+   a gram that has but one region needs no task.
 3. A task writes its regions as symbols of `SYMBOL` bytes, aligned to the anchors, and builds one suffix array over all of
    them by linear grouping. Equal windows share a run of `RUN` aligned symbols, so they are neighbours in the array; windows
    whose runs stand together and whose bytes before and after it agree are repeats.
@@ -37,7 +38,7 @@ from copyloom.llm.wordhash import mixed
 from copyloom.session import cut
 
 LENGTH = 200
-GRAM = 32
+GRAM = 64
 SYMBOL = 16
 RUN = (LENGTH - SYMBOL + 1) // SYMBOL
 HOT_REGIONS = 50_000
@@ -108,35 +109,51 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"gram": pa.array(rolling.hashes(anchor, anchor + GRAM).view(np.int64))})
 
 
-REGION = "gram long, region long, text_key long, start long, size long, anchor int, bytes binary"
+PLACE = "gram long, region long, text_key long, start long, size long"
+BODY = "gram long, region long, anchor int, bytes binary"
+WINDOW = "region long, low long, hash long"
 
 
-def _regions(repeated: Among) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Where regions with repeated grams are; the bytes of each come once from a task."""
+def _cut_out(batch: pa.RecordBatch, wanted: Among) -> Iterator[tuple[np.ndarray, ...]]:
+    """For the texts of a batch, part by part: the bytes, then for each region whose gram may be among the wanted ones its
+    gram, the hash that tells it apart, its anchor, where it begins and ends, its text, and where in the text it begins."""
+    data, at = wordhash.buffers(batch.column("text"))
+    for low, high in wordhash.chunks(at, CHUNK_BYTES):
+        part, borders = data[at[low] : at[high]], at[low : high + 1] - at[low]
+        rolling, anchor, first, last = anchors(part, borders)
+        gram = rolling.hashes(anchor, anchor + GRAM)
+        some = np.flatnonzero(wanted.maybe(gram)) if len(gram) else anchor
+        gram, anchor, first, end = gram[some], anchor[some], first[some], last[some] + LENGTH
+        with np.errstate(over="ignore"):
+            region = mixed(rolling.hashes(first, end) + (anchor - first).astype(np.uint64) * _BASE).view(np.int64)
+        text = np.searchsorted(borders, first, "right") - 1
+        yield part, gram.view(np.int64), region, anchor, first, end, low + text, first - borders[text]
 
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+
+def _places(wanted: Among) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = wordhash.buffers(batch.column("text"))
             keys = batch.column("text_key").to_numpy()
-            for low, high in wordhash.chunks(at, CHUNK_BYTES):
-                part, borders = data[at[low] : at[high]], at[low : high + 1] - at[low]
-                rolling, anchor, first, last = anchors(part, borders)
-                gram = rolling.hashes(anchor, anchor + GRAM)
-                some = np.flatnonzero(repeated.maybe(gram)) if len(gram) else anchor
-                gram, anchor, first, end = gram[some], anchor[some], first[some], last[some] + LENGTH
-                with np.errstate(over="ignore"):
-                    region = mixed(rolling.hashes(first, end) + (anchor - first).astype(np.uint64) * _BASE).view(np.int64)
-                text = np.searchsorted(borders, first, "right") - 1
-                cuts: list[bytes | None] = []
-                for r, a, b in zip(region.tolist(), first.tolist(), end.tolist(), strict=True):
-                    cuts.append(None if r in seen else part[a:b].tobytes())
-                    seen.add(r)
-                columns = [gram.view(np.int64), region, keys[low + text], first - borders[text], end - first, (anchor - first).astype(np.int32)]
-                arrays = [*(pa.array(c) for c in columns), pa.array(cuts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in REGION.split(", ")])
-
-    return cut_out
+            for _, gram, region, _, first, end, text, start in _cut_out(batch, wanted):
+                columns = [gram, region, keys[text], start, end - first]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in PLACE.split(", ")])
+
+    return place
+
+
+def _bodies(wanted: Among) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The bytes of each region, once from a task."""
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for part, gram, region, anchor, first, end, _, _ in _cut_out(batch, wanted):
+                fresh = [i for i, r in enumerate(region.tolist()) if not (r in seen or seen.add(r))]
+                cuts = [part[x:y].tobytes() for x, y in zip(first[fresh].tolist(), end[fresh].tolist(), strict=True)]
+                columns = [pa.array(gram[fresh]), pa.array(region[fresh]), pa.array((anchor - first)[fresh].astype(np.int32)), pa.array(cuts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in BODY.split(", ")])
+
+    return body
 
 
 def repeated_windows(regions: list[bytes], anchor: np.ndarray) -> list[np.ndarray]:
@@ -211,6 +228,8 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = 0
     for batch in batches:
         for gram, region, place, data in zip(*(batch.column(c).to_pylist() for c in ("gram", "region", "anchor", "bytes")), strict=True):
+            if ids and region == ids[-1]:
+                continue  # from another task
             if held >= ARRAY_BYTES and gram != grams[-1]:
                 yield result(len(grams))
                 held = 0
@@ -224,35 +243,39 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """region, window, hash for every window of regions whose gram is hot."""
+    """region, low, hash for every window of some regions."""
     for batch in batches:
         for region, data in zip(batch.column("region").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
             hashes = Rolling(np.frombuffer(data, dtype=np.uint8)).all_of(LENGTH).view(np.int64)
-            yield pa.RecordBatch.from_pydict(
-                {"region": pa.array(np.full(len(hashes), region)), "low": pa.array(np.arange(len(hashes))), "hash": pa.array(hashes)}
-            )
+            columns = [pa.array(np.full(len(hashes), region)), pa.array(np.arange(len(hashes))), pa.array(hashes)]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in WINDOW.split(", ")])
 
 
 def repeats(docs: DataFrame, hot_regions: int = HOT_REGIONS) -> DataFrame:
     """text_key, start, stop: spans of bytes of the texts that lie in repeated windows, from rows (text_key, text); spans may
-    overlap. Rows with the same key are one text."""
+    overlap. Rows with the same key are one text.
+
+    The texts are read three times, so that of what they hold only short rows and the bytes of regions that have to be
+    compared are written or shuffled.
+    """
     grams = docs.select("text").mapInArrow(_grams, "gram long").groupBy("gram").count().where("count > 1").select("gram")
-    regions = cut(docs.mapInArrow(_regions(Among(grams, GRAM_BITS)), REGION))
-    places = cut(regions.select("region", "text_key", "start", "size").distinct())
+    places = cut(docs.mapInArrow(_places(Among(grams, GRAM_BITS)), PLACE).distinct())
+    by_gram = cut(places.select("gram", "region").distinct().groupBy("gram").agg(F.count("*").alias("regions")).where("regions > 1"))
+    usual = Among(by_gram.where(F.col("regions") <= hot_regions).select("gram"), GRAM_BITS)
+    bodies = docs.select("text").mapInArrow(_bodies(usual), BODY)
+    bodies = bodies.repartition("gram").sortWithinPartitions("gram", "region")
+    found = bodies.mapInArrow(_searched, REPEATS)
+    hot = by_gram.where(F.col("regions") > hot_regions).select("gram")
+    if hot.limit(1).count():
+        windows = docs.select("text").mapInArrow(_bodies(Among(hot, GRAM_BITS)), BODY).select("region", "bytes")
+        windows = cut(windows.mapInArrow(_each_window, WINDOW).distinct())
+        twice = windows.groupBy("hash").count().where("count > 1").select("hash")
+        found = found.unionByName(windows.join(twice, "hash", "left_semi").select("region", "low", (F.col("low") + 1).alias("high")))
     often = places.groupBy("region").count().where("count > 1").select("region")
-    bodies = cut(regions.where("bytes is not null").select("gram", "region", "anchor", "bytes").dropDuplicates(["region"]))
-    by_gram = bodies.groupBy("gram").count()
-    hot = by_gram.where(F.col("count") > hot_regions).select("gram")
-    usual = bodies.join(by_gram.where((F.col("count") > 1) & (F.col("count") <= hot_regions)).select("gram"), "gram", "left_semi")
-    usual = usual.repartition("gram").sortWithinPartitions("gram").select("gram", "region", "anchor", "bytes")
-    found = usual.mapInArrow(_searched, REPEATS)
-    windows = bodies.join(hot, "gram", "left_semi").select("region", "bytes").mapInArrow(_each_window, "region long, low long, hash long")
-    twice = windows.groupBy("hash").count().where("count > 1").select("hash")
-    found = cut(found.unionByName(windows.join(twice, "hash", "left_semi").select("region", "low", (F.col("low") + 1).alias("high"))))
-    whole = places.join(often, "region", "left_semi").select("text_key", "start", (F.col("start") + F.col("size")).alias("stop"))
-    parts = places.join(often, "region", "left_anti").join(found, "region")
-    parts = parts.select("text_key", (F.col("start") + F.col("low")).alias("from"), (F.col("start") + F.col("high") - 1 + LENGTH).alias("stop"))
-    return whole.unionByName(parts.withColumnRenamed("from", "start"))
+    whole = often.select("region", F.lit(0).cast("long").alias("low"), F.lit(None).cast("long").alias("high"))
+    parts = places.select("region", "text_key", "start", "size").join(found.unionByName(whole), "region")
+    stop = F.when(F.col("high").isNull(), F.col("size")).otherwise(F.col("high") - 1 + LENGTH)
+    return parts.select("text_key", (F.col("start") + F.col("low")).alias("from"), (F.col("start") + stop).alias("stop")).withColumnRenamed("from", "start")
 
 
 # --- removal
