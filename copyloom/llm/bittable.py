@@ -38,7 +38,10 @@ def summed(parts: DataFrame, size: int, kind: type, add: np.ufunc, wide: type |
 
 
 class Among:
-    """A bit for each bucket of 64-bit values: a value whose bit is not set is certainly not among those put in."""
+    """A bit for each bucket of 64-bit values: a value whose bit is not set is certainly not among those put in.
+
+    The upper bits of the values are the bucket, so they have to be spread evenly.
+    """
 
     def __init__(self, values: DataFrame, bits: int) -> None:
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,4 +55,4 @@ class Among:
 
     def maybe(self, values: np.ndarray) -> np.ndarray:
         place = (values.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
-        return (self.table[place >> 3] >> (place & 7).astype(np.uint8)) & np.uint8(1) == 1
+        return ((self.table[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)

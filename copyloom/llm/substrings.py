@@ -44,7 +44,7 @@ RUN = (LENGTH - SYMBOL + 1) // SYMBOL
 HOT_REGIONS = 50_000
 GRAM_BITS = 26
 TEXT_BITS = 23
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 512 << 10
 ARRAY_BYTES = 4 << 20
 PLACE_BITS = 30
 
@@ -101,12 +101,17 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[Rolling, np.ndarray, np.n
     return rolling, place[fresh], window[fresh], window[last]
 
 
+def _gram_keys(rolling: Rolling, anchor: np.ndarray) -> np.ndarray:
+    """A hash for the gram at each anchor, mixed anew: anchors have the smallest of the hashes they are chosen by."""
+    return mixed(rolling.hashes(anchor, anchor + GRAM) ^ _BASE)
+
+
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = wordhash.buffers(batch.column("text"))
         for low, high in wordhash.chunks(at, CHUNK_BYTES):
             rolling, anchor, _, _ = anchors(data[at[low] : at[high]], at[low : high + 1] - at[low])
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(rolling.hashes(anchor, anchor + GRAM).view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(_gram_keys(rolling, anchor).view(np.int64))})
 
 
 PLACE = "gram long, region long, text_key long, start long, size long"
@@ -121,7 +126,7 @@ def _cut_out(batch: pa.RecordBatch, wanted: Among) -> Iterator[tuple[np.ndarray,
     for low, high in wordhash.chunks(at, CHUNK_BYTES):
         part, borders = data[at[low] : at[high]], at[low : high + 1] - at[low]
         rolling, anchor, first, last = anchors(part, borders)
-        gram = rolling.hashes(anchor, anchor + GRAM)
+        gram = _gram_keys(rolling, anchor)
         some = np.flatnonzero(wanted.maybe(gram)) if len(gram) else anchor
         gram, anchor, first, end = gram[some], anchor[some], first[some], last[some] + LENGTH
         with np.errstate(over="ignore"):
