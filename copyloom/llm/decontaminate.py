@@ -103,7 +103,11 @@ class Shard:
         stops = np.flatnonzero(last) + 1
         self.stop = stops[np.searchsorted(stops, np.arange(m), "right")]
         self.alphabet, rank = np.unique(self.words.hashes[place], return_inverse=True)
-        self.word, rank = rank, rank + 1  # 0 stands for the end of a run
+        self.word, rank = 2 * rank, rank + 1  # a rank of 0 stands for the end of a run
+        # Test words as numbers of the same kind; words the shard lacks are odd, between their neighbours.
+        near = np.searchsorted(self.alphabet, self.test.words.hashes)
+        known = self.alphabet[np.minimum(near, len(self.alphabet) - 1)] == self.test.words.hashes
+        self.test_word = np.where(known, 2 * near, 2 * near - 1)
         step = 1
         while True:
             ahead = np.zeros(m, dtype=np.int64)
@@ -153,7 +157,7 @@ class Shard:
         none = np.zeros(0, dtype=np.int64)
         if not len(self.place):
             return none, none, none
-        test, ends = self._test(), np.repeat(self.test.words.first[1:], np.diff(self.test.words.first))
+        test, ends = self.test_word, np.repeat(self.test.words.first[1:], np.diff(self.test.words.first))
         start = np.flatnonzero(test % 2 == 0)  # its first word is in the shard
         length = ends[start] - start
         low = self._bound(start, length, test, upper=False)
@@ -166,20 +170,11 @@ class Shard:
         keep = best >= shortest(item)
         return start[keep], item[keep], best[keep]
 
-    def _test(self) -> np.ndarray:
-        """Test words as twice their rank in the shard; words the shard lacks are odd, between their neighbours."""
-        rank = np.searchsorted(self.alphabet, self.test.words.hashes)
-        known = self.alphabet[np.minimum(rank, len(self.alphabet) - 1)] == self.test.words.hashes
-        self.word = self.word if self.word.size and getattr(self, "_doubled", False) else self.word * 2
-        self._doubled = True
-        return np.where(known, rank * 2, rank * 2 - 1)
-
     def locations(self, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every place in the shard where a pattern occurs: the pattern's number, the word it begins at."""
         if not len(start):
             return start, start
-        test = self._test()
-        low, high = (self._bound(start, length, test, upper) for upper in (False, True))
+        low, high = (self._bound(start, length, self.test_word, upper) for upper in (False, True))
         which = np.repeat(np.arange(len(start)), high - low)
         offset = np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
         return which, self.place[self.order[low[which] + offset]]
@@ -223,7 +218,7 @@ def _judge(test: Benchmark) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             counts = np.zeros(n, dtype=np.int64)
             hits: list[list[tuple[int, int]]] = [[] for _ in range(n)]
             items: list[list[str]] = [[] for _ in range(n)]
-            for low, shard in _shards(batch.column("text"), test):
+            for low, shard in _shards(wordhash.texts(batch), test):
                 first = shard.words.first
                 counts[low : low + len(first) - 1] = np.diff(first)
                 covered, docs, found = _covered(shard)
@@ -265,7 +260,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int, window: int) -> Iterator[Ben
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`docs`, which need a column text, with n_words, hit_start, hit_end (runs of hit words) and items (sorted ids).
+    """`docs`, which need a column text or whole rows in a column row, with n_words, hit_start, hit_end (runs of hit words) and items (sorted ids).
 
     Columns of these names are replaced. One pass over the texts for each block of the benchmark.
     """
@@ -294,7 +289,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, h
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, hit_share: int = HIT_SHARE) -> DataFrame:
     """The documents that are not contaminated, with the columns they had."""
-    rows = with_verdict(judged(docs.select(F.struct(*docs.columns).alias("row"), "text"), benchmark, window), hit_share)
+    rows = with_verdict(judged(docs.select(F.struct(*docs.columns).alias("row")), benchmark, window), hit_share)
     return rows.where(~F.col("contaminated")).select("row.*")
 
 
@@ -307,7 +302,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     def find(test: Benchmark) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for low, shard in _shards(batch.column("text"), test):
+                for low, shard in _shards(wordhash.texts(batch), test):
                     start, item, best = shard.search(test.window_of)
                     which, place = shard.locations(start, best)
                     seen = set(zip(place.tolist(), start[which].tolist(), strict=True))

@@ -355,10 +355,10 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, run
 
 def first_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each component, the one with the smallest id, and all documents without words; columns as in `docs`."""
-    base = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-    texts = base.select("__row", "doc_id", F.col("text").cast("string").alias("text"))
+    base = cut(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")))
+    texts = base.select("number", F.col("row.doc_id").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
     rows, together = linked(texts, n, percent)
     some = rows.where("n > 0").join(together, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keep = some.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("kept"))
-    others = cut(some.select("component", "__row").join(keep, "component").where("__row != kept.__row").select("__row"))
-    return base.join(broadcast_if_small(others), "__row", "left_anti").select(*docs.columns)
+    keep = some.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "number")).alias("kept"))
+    others = cut(some.select("component", "number").join(keep, "component").where("number != kept.number").select("number"))
+    return base.join(broadcast_if_small(others), "number", "left_anti").select("row.*")

@@ -102,11 +102,12 @@ def statistics_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """`docs`, which need a column text, with `stats`, an array of the statistics, in place of the text."""
+    """`docs`, which need a column text or whole rows in a column row, with `stats`, an array of the statistics, in place of
+    the column text."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = wordhash.buffers(batch.column("text"))
+            data, at = wordhash.buffers(wordhash.texts(batch))
             parts = [statistics_of(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in wordhash.chunks(at)]
             values = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
             offsets = np.arange(0, values.size + 1, len(STATISTICS), dtype=np.int32)
@@ -281,5 +282,5 @@ def scored(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD, fold
 
 def accepted(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the model does not reject, with the columns they had."""
-    rows = with_statistics(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text")))
+    rows = with_statistics(docs.select(F.struct(*docs.columns).alias("row")))
     return rows.where(model.column(F.col("stats")) >= threshold).select("row.*")

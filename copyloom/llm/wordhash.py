@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 _RANDOM = np.random.default_rng(7)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -66,6 +66,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def texts(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch: its column text, or that of the whole rows in its column row."""
+    if "text" in batch.schema.names:
+        return batch.column("text")
+    return batch.column("row").field(batch.schema.field("row").type.get_field_index("text"))
+
+
 def chunks(at: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of texts of about `most` bytes together; a longer text is a run of its own."""
     low, n = 0, len(at) - 1
