@@ -29,6 +29,7 @@ from copyloom.session import cut
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 256
 SHARD_SLOTS = 1024
+TASK_SHARDS = 32
 MAX_REPEATS = 3
 SEED = 20
 
@@ -136,10 +137,11 @@ def draw_slots(spark: SparkSession, plans: list[SourcePlan], seed: int, shard_sl
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for shard in batch.id:
-                drawn = np.random.default_rng([seed, int(shard)]).multinomial(min(shard_slots, total - shard * shard_slots), share)
-                some = np.flatnonzero(drawn)
-                yield pd.DataFrame({"shard": int(shard), "source_id": some.astype(np.int32), "n": drawn[some]})
+            sizes = np.minimum(shard_slots, total - batch.id.to_numpy() * shard_slots)
+            drawn = [np.random.default_rng([seed, i]).multinomial(n, share) for i, n in zip(batch.id.tolist(), sizes.tolist(), strict=True)]
+            if drawn:
+                row, source = np.nonzero(np.array(drawn))
+                yield pd.DataFrame({"shard": batch.id.to_numpy()[row], "source_id": source.astype(np.int32), "n": np.array(drawn)[row, source]})
 
     drawn = spark.range(shards).mapInPandas(counts, "shard long, source_id int, n long")
     before = W.partitionBy("source_id").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
@@ -159,9 +161,10 @@ def draw_slots(spark: SparkSession, plans: list[SourcePlan], seed: int, shard_sl
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for shard, source_id, n, first in batch[["shard", "source_id", "n", "first"]].itertuples(index=False):
+            for source_id, rows in batch.groupby("source_id"):
                 plan = plans[source_id]
-                slot = np.arange(first, min(first + n, plan.slots))
+                n = (np.minimum(rows["first"] + rows["n"], plan.slots) - rows["first"]).clip(lower=0).to_numpy()
+                slot = np.repeat(rows["first"].to_numpy(), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 if not len(slot):
                     continue
                 passes, block = slot // plan.blocks, np.empty(len(slot), dtype=np.int64)
@@ -169,9 +172,12 @@ def draw_slots(spark: SparkSession, plans: list[SourcePlan], seed: int, shard_sl
                     here = passes == k
                     block[here] = permuted(slot[here] % plan.blocks, plan.blocks, seed, int(source_id), int(k))
                 words = np.where(slot == plan.slots - 1, plan.last_words, block_words)
+                shard = np.repeat(rows["shard"].to_numpy(), n)
                 yield pd.DataFrame({"shard": shard, "source_id": source_id, "pass_no": passes, "block": block, "words": words})
 
-    return drawn.unionByName(rest).mapInPandas(blocks, schema)
+    # A task for every few shards, as a row here stands for many slots.
+    spread = drawn.unionByName(rest).repartition(max(1, shards // TASK_SHARDS), "shard")
+    return spread.mapInPandas(blocks, schema)
 
 
 def numbered(sized: DataFrame, plans: list[SourcePlan]) -> DataFrame:
