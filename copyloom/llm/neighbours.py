@@ -239,6 +239,8 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, links: int = L
         return pd.DataFrame([row], columns=[f.split()[0] for f in GRAPH.split(", ")])
 
     rows = rows.withColumn("shard", _dealt(F.xxhash64("vec_id", "embedding"), shards))
+    # Small as a shard is, it takes long to build: tasks by number of shards rather than by bytes.
+    rows = rows.repartition(max(1, 2 * sum(shards.values())), "dim", "shard")
     return cut(rows.groupBy("dim", "shard").applyInPandas(build, GRAPH)), shards
 
 
@@ -266,6 +268,8 @@ def search(graphs: DataFrame, shards: dict[int, int], queries: DataFrame, k: int
         return pd.DataFrame(columns | {"vec_id": np.concatenate([x for x, _ in found]), "score": np.concatenate([x for _, x in found])})
 
     keys = ["dim", "shard", "block"]
+    tasks = max(1, 2 * sum(known[d] * blocks[d] for d in known))
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(find, FOUND)
     best = W.partitionBy("query", "query_id").orderBy(F.desc("score"), "vec_id")
     # An id with several vectors is one result, by its nearest.
