@@ -3,8 +3,9 @@
 A tolerant parser turns a page into a tree of block elements; inline elements count as tags of the block they are in.
 Every node gets its characters for each tag, corrected by the share of link characters (Sun, Song and Liao, 2011). The node
 with the largest sum of its children's densities is the content, or the article or main element it is in. Where there is no
-such element, other blocks of the same column count too if they are at least as dense as the thinnest node on the way from
-the content to the body. Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are known by their
+such element, all nodes below the body that are at least as dense as the thinnest node on the way from the content to the
+body, itself included, count too, with the heaviest subtree in each. Headings are short and so never dense: one of the first
+level counts anywhere, another one if a block of the article follows. Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are known by their
 elements, roles, and class and id words, and are left out before densities are computed.
 
 Nulls and edge cases: null or empty HTML gives an empty text; text outside any element belongs to the body; elements that
@@ -51,6 +52,7 @@ PARTS = re.compile(
     re.I,
 )
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S
@@ -213,8 +215,8 @@ def _subtree(nodes: list[Node], top: Node) -> set[Node]:
 
 
 def select(nodes: list[Node]) -> tuple[Node, Node, float]:
-    """The subtree that holds the article; the body's child that it is in; and the density from which on other blocks of
-    that child belong to the article, the thinnest on the way from the subtree to that child."""
+    """The subtree that holds the article; the article or main element it is in, else the body; and the density from which on
+    other nodes below the body belong to the article, the thinnest on the way from the subtree to the body."""
     body = measure(nodes)
     below = _subtree(nodes, body)
     inside = [n for n in nodes if n in below and not n.dropped] or [body]
@@ -222,13 +224,47 @@ def select(nodes: list[Node]) -> tuple[Node, Node, float]:
     if best.total == 0:
         best = max(inside, key=lambda n: n.density)
     path, up = [best], best
-    while up is not body and up.parent is not body and up.parent is not None:
+    while up is not body and up.parent is not None:
         up = up.parent
         path.append(up)
     marked = next((n for n in path if n.tag == "article"), None) or next((n for n in reversed(path) if n.main), None)
     if marked is not None:
         return marked, marked, 0.0
-    return best, path[-1], min(n.density for n in path)
+    return best, body, min(n.density for n in path)
+
+
+def _dense(nodes: list[Node], threshold: float) -> set[Node]:
+    """Of some nodes, parents first, those that are dense enough and not mostly links, each with all of the heaviest subtree
+    in it."""
+    heaviest = {n: n for n in nodes}
+    for node in reversed(nodes):
+        up = heaviest.get(node.parent)
+        if up is not None and heaviest[node].total > up.total:
+            heaviest[node.parent] = heaviest[node]
+    found, whole = set(), set()
+    for node in nodes:
+        if node.parent in whole or node in whole:
+            whole.add(node)
+        elif node.density >= threshold and 2 * node.link_chars < node.chars:
+            found.add(node)
+            whole.add(heaviest[node])
+    return found | whole
+
+
+def _headings(blocks: list[tuple[Node, str]], column: set[Node], wanted: set[Node]) -> set[Node]:
+    """Headings of the article that stand outside its nodes, as they are short and so never dense: those of the first level, and
+    the others that a wanted block follows. Headings that are mostly links are none."""
+    found, leads = set(), False
+    for node, _ in reversed(blocks):
+        if node.dropped or node not in column:
+            continue
+        if node in wanted:
+            leads = True
+        elif node.tag not in HEADINGS:
+            leads = False
+        elif (leads or node.tag == "h1") and 2 * node.link_chars < node.chars:
+            found.add(node)
+    return found
 
 
 def main_text(page: str | None) -> str:
@@ -237,8 +273,12 @@ def main_text(page: str | None) -> str:
         return ""
     nodes, blocks = parse(page)
     top, around, threshold = select(nodes)
-    core, column = _subtree(nodes, top), _subtree(nodes, around)
-    wanted = {n for n in column if not n.dropped and (n in core or (n.density >= threshold and 2 * n.link_chars < n.chars))}
+    core = _subtree(nodes, top)
+    wanted = {n for n in core if not n.dropped}
+    if around is not top:
+        column = _subtree(nodes, around)
+        wanted |= _dense([n for n in nodes if n in column and not n.dropped], threshold)
+        wanted |= _headings(blocks, column, wanted)
     return "\n\n".join(text for node, text in blocks if node in wanted)
 
 

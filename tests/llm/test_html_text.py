@@ -65,3 +65,21 @@ def test_nulls_and_repeated_rows(spark):
     out = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in extract(df).collect()), key=str)
     assert out == sorted([(1, "u", "", 0), (1, "u", "", 0), (None, None, "x", 1), (2, "v", "x", 1), (2, "v", "x", 1)], key=str)
     assert extract(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+HALF = "".join(f"<p>{LONG}{i}</p>" for i in range(2))
+SECOND = "".join(f"<p>{LONG}{i}</p>" for i in range(2, 4))
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        (f"<body><h1>Title</h1><div>{PARAGRAPHS}</div></body>", "Title\n\n" + TEXT),
+        (f"<body><div>{MENU}</div><div><h1>Title</h1></div><div>{PARAGRAPHS}</div></body>", "Title\n\n" + TEXT),
+        (f"<body><section>{HALF}</section><section>{SECOND}</section></body>", TEXT),
+        (f"<body><div><div>{HALF}</div></div><h2>Part</h2><section>{SECOND}<p>Short.</p></section></body>", f"{LONG}0\n\n{LONG}1\n\nPart\n\n{LONG}2\n\n{LONG}3\n\nShort."),
+        (f"<body><div>{PARAGRAPHS}</div><h3>Elsewhere</h3>{MENU}</body>", TEXT),
+    ],
+)
+def test_no_article_element(page, expected):
+    assert main_text(page) == "\n\n".join(" ".join(b.split()) for b in expected.split("\n\n"))
