@@ -6,7 +6,8 @@ with the largest sum of its children's densities is the content, or the article
 such element, all nodes below the body that are at least as dense as the thinnest node on the way from the content to the
 body, itself included, count too, with the heaviest subtree in each. Headings are short and so never dense: one of the first
 level counts anywhere, another one if a block of the article follows. Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are known by their
-elements, roles, and class and id words, and are left out before densities are computed.
+elements, roles, and class and id words, and are left out before densities are computed. Class and id words also name what a
+wrapper has (`has-sidebar`), so a part that only they name stays if it is the page's frame, see `_frames`.
 
 Nulls and edge cases: null or empty HTML gives an empty text; text outside any element belongs to the body; elements that
 are never closed end with the page, as HTML has it; a `<` that opens nothing is text; repeated rows and null ids give a row
@@ -44,13 +45,17 @@ SCOPE = frozenset("html body table td th caption button article section div asid
 DROPPED = frozenset("head nav footer aside form button select dialog menu object embed canvas audio video datalist".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 # Words in class and id that name parts which are not the article.
-PARTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|"
-    r"subscription|sidebar|side-bar|aside|widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|masthead|"
-    r"header|site-header|page-header|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|respond|"
-    r"login|signup|search|skip|toolbar|tags?)(?:$|[\s_-])",
-    re.I,
+LAYOUT = (
+    r"banner|sidebar|side-bar|aside|widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|masthead|header|site-header|"
+    r"page-header|share|sharing|social|related|recommended|login|signup|search|skip|toolbar|tags?"
 )
+OTHERS = (
+    r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|"
+    r"comments?|commentlist|disqus|replies|respond"
+)
+PARTS = re.compile(rf"(?:^|[\s_-])(?:{LAYOUT}|(?P<others>{OTHERS}))(?=$|[\s_-])", re.I)
+# Words behind these say what a wrapper has or lacks.
+STATE = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|without|no)[_-]\S*", re.I)
 ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -61,24 +66,33 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?
 
 
 class Node:
-    """A block element with the counts of its subtree."""
+    """A block element with the counts of its subtree. `named` says whether class or id words name it as a part: 0 no,
+    1 of the layout, 2 of what others wrote. `dropped` is final once `_frames` has looked at the named ones."""
 
-    __slots__ = ("tag", "parent", "main", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "main", "named", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, main: bool = False) -> None:
-        self.tag, self.parent, self.dropped, self.main = tag, parent, dropped, main
+        self.tag, self.parent, self.dropped, self.main, self.named = tag, parent, dropped, main, 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _part(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is no part of the article, and whether it is marked as the main one."""
-    dropped, role = tag in DROPPED or (tag == "header" and not in_article), ""
+def _named(value: str) -> int:
+    """What a class or an id names, as in `Node.named`."""
+    if not PARTS.search(value):
+        return 0
+    found = [m["others"] for m in PARTS.finditer(STATE.sub(" ", value))]
+    return 1 + any(found) if found else 0
+
+
+def _part(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, int]:
+    """Whether an element is no part of the article, whether it is marked as the main one, and what its words name."""
+    dropped, role, named = tag in DROPPED or (tag == "header" and not in_article), "", 0
     if attributes and not dropped:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
-                dropped |= tag not in ("body", "html", "article", "main") and PARTS.search(value) is not None
+                named = max(named, _named(value)) if tag not in ("body", "html", "article", "main") else 0
             elif name == "role":
                 role = value.lower()
             elif name == "hidden":
@@ -87,7 +101,7 @@ def _part(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
                 dropped |= value.lower() == "true"
             else:
                 dropped |= re.search(r"display\s*:\s*none", value, re.I) is not None
-    return dropped or role in ROLES, tag in ARTICLE or role == "main"
+    return dropped or role in ROLES, tag in ARTICLE or role == "main", named
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
@@ -169,8 +183,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 break
         flush()
         parent = open_[-1][1]
-        dropped, main = _part(tag, m[3], parent.main)
+        dropped, main, named = _part(tag, m[3], parent.main)
         node = Node(tag, parent, parent.dropped or dropped, main or (parent.main and tag not in ARTICLE))
+        node.named = named
         nodes.append(node)
         if tag in VOID:
             continue
@@ -180,9 +195,54 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         open_.append((tag, node))
     flush()
+    _frames(nodes)
     return nodes, blocks
 
 
+def _frames(nodes: list[Node]) -> None:
+    """Drops the subtrees that class or id words name, unless they are the frame of the page.
+
+    A frame holds an article or main element where none lies outside of named parts, or most of the characters outside links
+    of the page, or of the main element it is in. What others wrote (comments, adverts, notices) can be long and each comment
+    an article, so such a part has to hold a main element or a single article, or most characters with a heading of the first
+    level, an article, or no other text around.
+    """
+    kept = [n for n in nodes if not n.dropped]
+    if not any(n.named for n in kept):
+        return
+    marks = {n: int(n.main and n.tag != "body" and (n.tag in ARTICLE or not n.parent.main)) for n in kept}
+    own = dict(marks)
+    mains = {n: marks[n] > 0 and n.tag != "article" for n in kept}
+    titles = {n: n.tag == "h1" for n in kept}
+    plain = {n: n.chars - n.link_chars for n in kept}
+    free: set[Node] = set()  # nodes outside of named parts
+    scope = {kept[0]: kept[0]}  # the main element around a node, or the page
+    for node in kept:
+        if not node.named and (node.parent is None or node.parent in free):
+            free.add(node)
+        if node.parent is not None:
+            scope[node] = node.parent if mains[node.parent] and node.parent in free else scope[node.parent]
+    lone, alone = not any(marks[n] for n in free), not any(plain[n] for n in free)
+    for node in reversed(kept[1:]):
+        plain[node.parent] += plain[node]
+    for node in reversed(kept[1:]):
+        if node.named:
+            most = 2 * plain[node] > plain[scope[node]]
+            if node.named == 1:
+                stays = most or (lone and marks[node] > 0)
+            else:
+                around = (alone and node.parent in free) or plain[node] == plain[kept[0]]
+                stays = (lone and (mains[node] or marks[node] == 1)) or (most and (titles[node] or marks[node] == 1 or around))
+            if not stays:
+                continue
+            node.named = 0
+        marks[node.parent] += own[node] or marks[node]
+        mains[node.parent] |= mains[node]
+        titles[node.parent] |= titles[node]
+    for node in kept[1:]:
+        node.dropped = node.named > 0 or node.parent.dropped
+
+
 def measure(nodes: list[Node]) -> Node:
     """Fills in densities and sums of all nodes that are not left out, and returns the body."""
     kept = [n for n in nodes if not n.dropped]

@@ -83,3 +83,18 @@ SECOND = "".join(f"<p>{LONG}{i}</p>" for i in range(2, 4))
 )
 def test_no_article_element(page, expected):
     assert main_text(page) == "\n\n".join(" ".join(b.split()) for b in expected.split("\n\n"))
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "layout with-sidebar", "no-sidebar", "page-with-comments", "has-related", "sidebar-left", "comments-open"])
+def test_wrappers_named_for_their_parts(name):
+    parts = f"<div class=sidebar>{LONG}</div><div class='comment-list'>{LONG * 9}</div>"
+    assert main_text(f"<body><div class='{name}'><article>{PARAGRAPHS}</article>{parts}</div></body>") == TEXT
+    assert main_text(f"<body><div id='{name}'><h1>Title</h1><div>{PARAGRAPHS}</div>{parts}</div><p>c</p></body>") == "Title\n\n" + TEXT
+
+
+def test_named_parts_that_are_no_frame():
+    comments = f"<div class='comments'>{f'<article><p>{LONG}</p></article>' * 20}</div>"
+    assert main_text(f"<body><div>{PARAGRAPHS}</div>{comments}</body>") == TEXT
+    assert main_text(f"<body><div class=sidebar><article>{LONG}</article></div><article>{PARAGRAPHS}</article></body>") == TEXT
+    assert main_text(f"<main><p>{LONG * 4}</p><div class=related><article><p>{LONG}</p></article></div></main>") == (LONG * 4).strip()
+    assert main_text(f"<main><div class='page sidebar-left'><article>{PARAGRAPHS}</article></div></main>") == TEXT
