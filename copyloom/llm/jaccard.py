@@ -13,7 +13,9 @@ last; it comes from a table of counts of fixed size over the whole corpus, so th
    has, and then verified on the whole sets. Links and first links together give the components.
 
 Step 3 covers all pairs that can be alike but for those that a component already holds, so no component is missed. No
-pairs are formed inside a component. A shingle that `RUN_ROWS` groups or more share is dealt out in blocks to many tasks.
+pairs are formed inside a component, neither of groups nor of the nodes of a group. A shingle whose groups all have one
+component is passed over; one that `RUN_ROWS` groups or more share is dealt out to many tasks, in blocks of at most
+`BLOCK_ROWS` by `BLOCK_ROWS` groups that leave out those inside a component. Arrays hold `STEP_PAIRS` pairs at a time.
 
 Nulls and edge cases: a null text, or one without words, has no shingles and no links; with fewer words than n the whole
 sequence is one shingle; a component's id is the smallest document id in it, nulls last; repeated rows and ids are rows of
@@ -43,6 +45,8 @@ MINS = 6
 TABLE_BITS = 22
 FILTER_BITS = 23
 RUN_ROWS = 20_000
+BLOCK_ROWS = 2_000
+STEP_PAIRS = 2_000_000
 MIN_BITS = 1024
 
 _SIGN, _SHORT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -177,21 +181,46 @@ def _alike(n: np.ndarray, place: np.ndarray, component: np.ndarray, i: np.ndarra
 def _joined(percent: int, run_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Candidate pairs of groups from rows in order of token. A run that is too long comes out as its token alone."""
 
-    def pairs_of(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
-        token = rows["token"]
+    def apart(component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of places in a run whose components differ, some at a time: each place with those of later components."""
+        order = np.argsort(component, kind="stable")
+        ends = np.searchsorted(component[order], component[order], "right")
+        counts = len(order) - ends
+        total = np.cumsum(counts)
+        low = 0
+        while low < len(order) and total[-1] > (done := total[low] - counts[low]):
+            high = max(low + 1, int(np.searchsorted(total, done + STEP_PAIRS, "right")))
+            some = counts[low:high]
+            i = np.repeat(np.arange(low, high), some)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some) + ends[i]
+            yield order[i], order[j]
+            low = high
+
+    def index_pairs(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        token, component = rows["token"], rows["component"]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         lengths = np.diff(np.append(starts, len(token)))
-        for length in np.unique(lengths[lengths > 1]).tolist():
+        several = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+        starts, lengths = starts[several], lengths[several]
+        for length in np.unique(lengths).tolist():
             at = starts[lengths == length]
+            if length * (length - 1) // 2 > STEP_PAIRS:
+                for start in at.tolist():
+                    for i, j in apart(component[start : start + length]):
+                        yield start + i, start + j
+                continue
             first, second = np.triu_indices(length, 1)
-            step = max(1, 2_000_000 // len(first))
+            step = max(1, STEP_PAIRS // len(first))
             for k in range(0, len(at), step):
-                i, j = ((at[k : k + step, None] + x).ravel() for x in (first, second))
-                ok = _alike(rows["n"], rows["place"], rows["component"], i, j, percent)
-                i, j = i[ok], j[ok]
-                if len(i):
-                    a, b = rows["group"][i], rows["group"][j]
-                    yield token[i], np.minimum(a, b), np.maximum(a, b)
+                yield tuple((at[k : k + step, None] + x).ravel() for x in (first, second))
+
+    def pairs_of(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        for i, j in index_pairs(rows):
+            ok = _alike(rows["n"], rows["place"], rows["component"], i, j, percent)
+            i, j = i[ok], j[ok]
+            if len(i):
+                a, b = rows["group"][i], rows["group"][j]
+                yield rows["token"][i], np.minimum(a, b), np.maximum(a, b)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: dict[str, np.ndarray] | None = None
@@ -247,18 +276,34 @@ def group_pairs(tokens: DataFrame, percent: int = PERCENT, run_rows: int = RUN_R
     found = cut(spread.mapInArrow(_joined(percent, run_rows), PAIRS).distinct())
     pairs, long_tokens = found.where("a is not null").select("a", "b"), found.where("a is null").select("token").distinct()
     if long_tokens.limit(1).count():
-        rows = tokens.join(long_tokens, "token")
-        parts = tokens.join(long_tokens, "token").groupBy("token").agg((F.count("*") / run_rows + 1).cast("int").alias("parts"))
-        rows = rows.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("group"), F.col("parts")).cast("int"))
-        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        rows = rows.withColumn("other", every)
-        rows = rows.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
-        rows = rows.withColumns({"is_left": F.col("part") == F.col("low"), "is_right": F.col("part") == F.col("high")})
-        crossed = rows.groupBy("token", "low", "high").applyInPandas(_crossed(percent), PAIRS)
-        pairs = pairs.unionByName(crossed.select("a", "b"))
+        crossed = _blocks(tokens.join(F.broadcast(long_tokens), "token"), min(run_rows, BLOCK_ROWS))
+        pairs = pairs.unionByName(crossed.groupBy("token", "low", "high").applyInPandas(_crossed(percent), PAIRS).select("a", "b"))
     return pairs.distinct()
 
 
+def _blocks(rows: DataFrame, block_rows: int) -> DataFrame:
+    """Rows of long runs in blocks (token, low, high), `is_left` and `is_right`, so that rows of different components meet.
+
+    A component with `block_rows` rows of a token or more has parts of its own, which are not paired with each other; the
+    others share parts. Tokens with one component go.
+    """
+    sizes = rows.groupBy("token", "component").agg(F.count("*").alias("rows"))
+    several = sizes.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
+    sizes = sizes.join(several, "token").withColumn("owner", F.when(F.col("rows") >= block_rows, F.col("component")))
+    parts = sizes.groupBy("token", "owner").agg((F.sum("rows") / block_rows + 1).cast("int").alias("parts"))
+    sizes = cut(sizes.alias("s").join(parts.alias("p"), F.expr("s.token = p.token AND s.owner <=> p.owner")).select("s.token", "component", "s.owner", "parts"))
+    name = F.concat_ws(":", F.col("owner").cast("string"), F.col("number").cast("string")).alias("part")
+    each = sizes.select("token", "owner", "parts").distinct()
+    each = each.select("token", "owner", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("number")).select("token", "owner", name)
+    pairs = each.alias("l").join(each.alias("r"), F.expr("l.token = r.token AND l.part <= r.part"))
+    pairs = pairs.where("l.owner IS NULL OR r.owner IS NULL OR l.owner != r.owner")
+    pairs = pairs.select("l.token", F.col("l.part").alias("low"), F.col("r.part").alias("high"))
+    pairs = pairs.withColumn("part", F.explode(F.array_distinct(F.array("low", "high"))))
+    rows = rows.join(broadcast_if_small(sizes), ["token", "component"]).withColumn("number", F.pmod(F.xxhash64("group"), F.col("parts")))
+    rows = rows.select(*TOKEN, name).join(pairs, ["token", "part"])
+    return rows.withColumns({"is_left": F.col("part") == F.col("low"), "is_right": F.col("part") == F.col("high")})
+
+
 # --- verification
 
 
@@ -323,7 +368,7 @@ def linked(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, run_rows: in
     first = verified(first_links(thin), thin, docs, n, percent)
     together = cut(components(first))
 
-    members = thin.select("node", "group").join(together, "node", "left")
+    members = thin.select("node", "group", "n").join(together, "node", "left")
     members = cut(members.withColumn("component", F.coalesce("component", "node")))
     labels = members.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     labels = labels.select("group", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("group")).alias("component"))
@@ -333,10 +378,12 @@ def linked(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, run_rows: in
 
     side = lambda s: members.select(F.col("node").alias(f"node_{s}"), F.col("group").alias(s), F.col("component").alias(f"component_{s}"))
     expanded = pairs.join(side("a"), "a").join(side("b"), "b")
-    mixed_groups = labels.where("component = group").select(F.col("group").alias("a"), F.col("group").alias("b"))
-    inside = mixed_groups.join(side("a"), "a").join(side("b"), "b")
-    expanded = expanded.unionByName(inside).where("component_a != component_b and node_a != node_b")
-    expanded = expanded.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    expanded = expanded.where("component_a != component_b and node_a != node_b")
+    expanded = expanded.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    several = labels.where("component = group").select("group")
+    inside = members.join(several, "group")
+    inside = inside.select(F.col("group").alias("token"), F.col("node").alias("group"), "n", F.lit(0).alias("place"), "component")
+    expanded = expanded.unionByName(group_pairs(inside, percent, run_rows)).distinct()
     links = verified(cut(expanded), thin, docs, n, percent)
     all_links = first.unionByName(links)
     return rows.drop("group", "central", "mins", "prefix", "bits"), cut(components(all_links))

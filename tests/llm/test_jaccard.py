@@ -1,12 +1,14 @@
 import random
 import re
+import tracemalloc
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from copyloom.llm.components import components
-from copyloom.llm.jaccard import first_of_each, near_duplicates
+from copyloom.llm.jaccard import TOKEN, _blocks, _joined, first_of_each, group_pairs, near_duplicates
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -92,3 +94,35 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 200), (300, 200), (7, 7)]
     found = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(61)} | {100: 100, 200: 100, 300: 100}
+
+
+def token_rows(components):
+    n = len(components)
+    columns = ([7] * n, range(n), [100] * n, [0] * n, components)
+    return pa.RecordBatch.from_pydict({c: pa.array(list(x), pa.int64()) for c, x in zip(TOKEN, columns, strict=True)})
+
+
+def test_run_of_a_family_stays_small():
+    batch = token_rows([1] * 6000 + [2, 2, 3])
+    tracemalloc.start()
+    found = [tuple(sorted(p)) for out in _joined(75, 20_000)(iter([batch])) for p in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(found) == sorted([(i, j) for i in range(6000) for j in (6000, 6001, 6002)] + [(6000, 6002), (6001, 6002)])
+    assert peak < 100 << 20
+
+
+@pytest.mark.parametrize("run_rows", [20_000, 50])
+def test_long_runs_pair_components(spark, run_rows):
+    rng = random.Random(9)
+    components = [1] * 150 + [2] * 120 + [rng.randrange(3, 90) for _ in range(170)]
+    rows = [(7, i, 100, 0, c) for i, c in enumerate(components)] + [(8, 1000 + i, 100, 0, 5) for i in range(200)]
+    tokens = spark.createDataFrame(rows, "token long, group long, n long, place int, component long")
+    found = sorted(tuple(r) for r in group_pairs(tokens, 75, run_rows).collect())
+    assert found == sorted((i, j) for i, j in combinations(range(len(components)), 2) if components[i] != components[j])
+
+
+def test_blocks_leave_out_pairs_inside_a_component(spark):
+    rows = [(7, i, 100, 0, 1 if i < 1000 else i) for i in range(1003)] + [(8, i, 100, 0, 1) for i in range(300)]
+    blocks = _blocks(spark.createDataFrame(rows, "token long, group long, n long, place int, component long"), 50)
+    assert blocks.where("token = 8").count() == 0 and 1003 <= blocks.count() <= 1000 + 3 * 25
