@@ -35,7 +35,7 @@ from copyloom.llm import wordhash
 from copyloom.llm.bittable import Among
 from copyloom.llm.suffixes import suffix_array
 from copyloom.llm.wordhash import mixed
-from copyloom.session import cut
+from copyloom.session import broadcast_if_small, cut
 
 LENGTH = 200
 GRAM = 64
@@ -268,10 +268,13 @@ def repeats(docs: DataFrame, hot_regions: int = HOT_REGIONS) -> DataFrame:
     by_gram = cut(places.select("gram", "region").distinct().groupBy("gram").agg(F.count("*").alias("regions")).where("regions > 1"))
     usual = Among(by_gram.where(F.col("regions") <= hot_regions).select("gram"), GRAM_BITS)
     bodies = docs.select("text").mapInArrow(_bodies(usual), BODY)
+    hot = by_gram.where(F.col("regions") > hot_regions).select("gram")
+    any_hot = hot.limit(1).count() > 0
+    if any_hot:  # a hot gram may share its bucket with a usual one
+        bodies = bodies.join(broadcast_if_small(hot), "gram", "left_anti")
     bodies = bodies.repartition("gram").sortWithinPartitions("gram", "region")
     found = bodies.mapInArrow(_searched, REPEATS)
-    hot = by_gram.where(F.col("regions") > hot_regions).select("gram")
-    if hot.limit(1).count():
+    if any_hot:
         windows = docs.select("text").mapInArrow(_bodies(Among(hot, GRAM_BITS)), BODY).select("region", "bytes")
         windows = cut(windows.mapInArrow(_each_window, WINDOW).distinct())
         twice = windows.groupBy("hash").count().where("count > 1").select("hash")

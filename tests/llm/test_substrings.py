@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from copyloom.llm import substrings
 from copyloom.llm.substrings import HOT_REGIONS, deduplicated
 from copyloom.llm.suffixes import suffix_array
 
@@ -80,3 +81,21 @@ def test_nulls_copies_and_long_texts(spark):
 
 def test_empty_table(spark):
     assert deduplicated(frame(spark, [])).count() == 0
+
+
+def test_hot_grams_reach_no_suffix_array(spark, monkeypatch):
+    """With so few buckets that usual grams set them all."""
+    rng, hot, searched = random.Random(7), 5, substrings._searched
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, parts = text(120), [text(230) for _ in range(300)]
+    docs = [(i, text(150) + line + text(150)) for i in range(30)] + [(100 + i, text(9) + parts[i % 300] + text(9)) for i in range(600)]
+
+    def guarded(batches):
+        held = list(batches)
+        regions = Counter(g for g, _ in {p for b in held for p in zip(b["gram"].to_pylist(), b["region"].to_pylist(), strict=True)})
+        assert max(regions.values(), default=0) <= hot
+        yield from searched(iter(held))
+
+    monkeypatch.setattr(substrings, "GRAM_BITS", 7)
+    monkeypatch.setattr(substrings, "_searched", guarded)
+    assert result(deduplicated(frame(spark, docs), hot)) == brute(docs)
