@@ -241,6 +241,7 @@ JOIN fx_clusters l ON l.sample_name = c.sample_name""",
     "gtf_attributes": """SELECT contig, source, start_bp, end_bp, gene_id, gene_name, gene_biotype, transcript_id, exon_number,
   CAST(NULL AS VARCHAR) AS transcript_biotype, CAST(NULL AS VARCHAR) AS ccds_id FROM fx_exons""",
     "hi_scores_parsed": "SELECT * FROM hi",
+    "hi_scores_read": "SELECT * FROM hi",
     "canonical_flag": """SELECT e.transcript_id, e.gene_id, CASE WHEN s.s_suppkey IS NOT NULL THEN 'YES' END AS is_canonical
 FROM fx_exons e LEFT JOIN supplier s ON e.transcript_id = concat('ENST', CAST(s.s_suppkey AS VARCHAR))""",
     "external_counts_joined": """SELECT g.gene_id, g.gene_name, x.ext_sample_hom_cnt, x.ext_sample_het_cnt FROM fx_genes g

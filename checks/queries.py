@@ -186,13 +186,23 @@ def gene_scores_read(spark, sf):
     return readers.read_gene_scores(spark, path)
 
 
-@query
-def hi_scores_highest(spark, sf):
-    """The highest scores, as the reader's order has them."""
+def hi_scores_from_file(spark, sf):
     path = handover_path(spark, "hi")
     rows = view(spark, sf, "fx_hi").select(F.lit("chr1").alias("a"), F.lit(1).alias("b"), F.lit(2).alias("c"), "name_field")
     rows.write.option("sep", "\t").option("header", True).csv(path)
-    return readers.read_hi_scores(spark, path).select("hi_score").limit(5)
+    return readers.read_hi_scores(spark, path)
+
+
+@query
+def hi_scores_highest(spark, sf):
+    """The highest scores, as the reader's order has them."""
+    return hi_scores_from_file(spark, sf).select("hi_score").limit(5)
+
+
+@query
+def hi_scores_read(spark, sf):
+    """All scores of the file."""
+    return hi_scores_from_file(spark, sf)
 
 
 @query
