@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from copyloom.llm import chat, decontaminate, html_text, jaccard, mixing, neighbours, quality, secrets, substrings, warc
+from copyloom.llm import chat, decontaminate, forest, html_text, jaccard, mixing, neighbours, quality, secrets, substrings, tries, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the leading eight components, whitened."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document, by a forest of sorted signatures, and which one stays."""
+    return forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix that rebuilt conversations share or end with, and what lies below it."""
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_html": op2_html,
@@ -80,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
+    "op11_whitening": op11_whitening,
+    "op12_forest": op12_forest,
+    "op13_tries": op13_tries,
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -87,7 +105,6 @@ PLAIN_WORDS = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '
 BENCHMARK_WORDS = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
-
 def secret_spans_sql() -> str:
     """Matches by splitting, places by running sums, links by running values, as the operator has them."""
     lower = LOWER.format("text")
@@ -127,6 +144,11 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN t USING (r)"""
 
 
+#: CRC-32 of a text of ASCII characters, byte by byte with the usual table.
+CRC_TABLE = """(SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT range AS i FROM range(256)))"""
+CRC = "xor(4294967295, list_reduce([4294967295] || list_transform(string_split({}, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)))"
+
 ORACLES: dict[str, str] = {
     "op1_chat": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -163,6 +185,37 @@ WITH i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {BENCHMARK_
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)""",
+    "op12_forest": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {PLAIN_WORDS} AS w FROM documents),
+     v AS (SELECT r, list_slice(w, k + 1, k + 3) AS s FROM (SELECT r, w, unnest(range(0, greatest(1, len(w) - 2))) AS k FROM d WHERE len(w) > 0)),
+     s AS (SELECT DISTINCT r, s FROM v),
+     n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+     p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.r <> b.r GROUP BY a.r, b.r),
+     l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+     c(r, e) AS (SELECT r, r FROM d UNION SELECT c.r, l.y FROM c JOIN l ON l.x = c.e),
+     m AS (SELECT c.r, min(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.e GROUP BY c.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN m USING (r) LEFT JOIN n USING (r)""",
+    "op13_tries": f"""
+WITH o AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+     t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(role)) || ':' || role || text)) AS k FROM o),
+     c AS (SELECT conv_id, {CRC.format("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM o), {CRC_TABLE}),
+     r AS (SELECT c.conv_id, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND k <= h
+           UNION ALL SELECT conv_id, k, role, text FROM c JOIN t USING (conv_id) WHERE k > h),
+     p AS (SELECT conv_id, row_number() OVER w AS d, string_agg(sha256(octet_length(encode(role)) || ':' || role || text), ',') OVER w AS path,
+             octet_length(encode(text)) AS bytes FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+     m AS (SELECT conv_id, d, path, CASE WHEN d > 1 THEN left(path, 65 * (d - 1) - 1) ELSE '' END AS above, bytes FROM p
+           UNION ALL SELECT conv_id, 0, '', NULL, 0 FROM c),
+     n AS (SELECT path, min(d) AS depth, min(conv_id) AS conv_id, min(above) AS above, count(*) AS n_convs, min(bytes) AS bytes FROM m GROUP BY path),
+     e AS (SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256
+           FROM (SELECT conv_id, max(d) AS d FROM m GROUP BY conv_id) JOIN m USING (conv_id, d) GROUP BY path),
+     k AS (SELECT above AS path, count(*) AS n_children FROM n WHERE above IS NOT NULL GROUP BY above),
+     w AS (SELECT path, n_convs, bytes, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+     u AS (SELECT unnest(range(0, depth + 1)) AS up, path, depth FROM n),
+     s AS (SELECT CASE WHEN up = 0 THEN '' ELSE left(u.path, 65 * up - 1) END AS path, count(*) FILTER (w.n_children = 0) AS n_leaves,
+             CAST(sum((w.n_convs - 1) * w.bytes) AS BIGINT) AS saved_tokens FROM u JOIN w ON w.path = u.path GROUP BY 1)
+SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, w.n_children, s.n_leaves, s.saved_tokens,
+       coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM n JOIN w USING (path) JOIN s USING (path) LEFT JOIN e USING (path) LEFT JOIN n a ON a.path = n.above""",
     "op10_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
      d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),

@@ -32,6 +32,9 @@ CONTRACT = {
     "op8_neighbours": "query_id bigint, rank int, vec_id bigint, score double",
     "op9_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op10_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    "op11_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+    "op12_forest": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op13_tries": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
 }
 
 
