@@ -5,16 +5,18 @@
 2. Each tree sorts the nodes by its labels. A region is a run of nodes with a common prefix: `LEAST_DEPTH` values where at
    most `REGION_ROWS` nodes share them, else one more, down to `DEPTH` where many nodes agree. The nodes of a region are each
    other's neighbours by longest common prefix and the only candidates.
-3. First links: every node of a region with its hub, the node whose MinHash values most other nodes have. Pairs whose whole
-   signatures agree in too few places go, the others are confirmed on the full sets. Families of near copies become one
-   component here at one comparison a member and hub.
-4. Last links: within a region, nodes of different components by now, in blocks of at most `BLOCK_ROWS` by `BLOCK_ROWS`,
-   filtered and confirmed likewise. Nothing is paired inside a component. All links together give the components.
+3. First links: every node of a region with its hub, the node of it that has most company over all trees. Parity bitmaps,
+   whose differing bits bound the number of shingles that only one of two sets has, rule out pairs that cannot be similar;
+   the others are confirmed on the full sets. Families of near copies become one component here at one comparison a member
+   and hub.
+4. Last links: within a region, nodes of different components by now are held against each other, in blocks of at most
+   `BLOCK_ROWS` by `BLOCK_ROWS`; pairs that the bitmaps leave are candidates. Rounds confirm them: one of each two components
+   first, `MORE` times as many in each further round, and those whose components have met need no confirmation. Nothing is
+   paired inside a component. All links together give the components.
 
 Two documents with a similarity s of 0.85 share a region of a tree with a chance of s**3, where the region is crowded s**5.
-With 24 trees a link is missed with a chance below 2e-10 and 8e-7; similar ones are found the more surely. The signature
-filter asks for `MARGIN` standard deviations less than the expected agreement, which a true link misses with a chance of
-some 1e-9. A set so small that no other set is similar enough has no labels; it equals its copies and that is all.
+With 24 trees a link is missed with a chance below 2e-10 and 8e-7; similar ones are found the more surely. A set so small
+that no other set is similar enough has no labels; it equals its copies and that is all.
 
 Texts are written once with a number for each row. To confirm pairs, the text of one side goes ahead of its partners', in
 groups of at most `GROUP_ROWS`, and a task reads a group as a stream.
@@ -32,10 +34,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from copyloom.llm import wordhash
-from copyloom.llm.bittable import slices, summed
 from copyloom.llm.components import components
 from copyloom.llm.wordhash import PLAIN, mixed
 from copyloom.session import broadcast_if_small, cut
@@ -47,10 +49,10 @@ LEAST_DEPTH, DEPTH = 3, 5
 REGION_ROWS = 32
 RUN_ROWS = 20_000
 BLOCK_ROWS = 1_000
-GROUP_ROWS = 2_000
+GROUP_ROWS = 256
 STEP_PAIRS = 1 << 17
-TABLE_BITS = 22
-MARGIN = 6.5
+MORE = 16
+MIN_BITS = 1024
 
 HASHES = TREES * DEPTH
 _RANDOM = np.random.default_rng(12)
@@ -58,12 +60,11 @@ _FACTOR = _RANDOM.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _ADDEND = _RANDOM.integers(1, 1 << 63, HASHES, dtype=np.uint64)
 _SIGNS = _RANDOM.integers(1, 1 << 63, 2, dtype=np.uint64)
 _SHORT = np.uint64(0x2545F4914F6CDD1D)
-_POSITION = mixed(_RANDOM.integers(1, 1 << 63, HASHES, dtype=np.uint64))
 _HALF = np.uint64(32)
 
-SET = "number long, doc_id long, n long, high long, low long, labels binary"
-ROW = "key long, rest long, node long, n long, central double"
-MEMBER = "region long, node long, n long, central double"
+SET = "number long, doc_id long, n long, high long, low long, labels binary, bits binary"
+ROW = "key long, rest long, node long, n long"
+MEMBER = "region long, node long, n long, rows long"
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
@@ -96,6 +97,43 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """A bitmap in which each shingle flips a bit, of a power of two of at least twice as many bits as shingles."""
+    bits = max(MIN_BITS, 2 << (len(shingles) - 1).bit_length())
+    counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Parity bitmaps of some sets, to be compared pair by pair. Of two lengths the longer one is folded."""
+
+    def __init__(self, bitmaps: list[bytes]) -> None:
+        self.lengths = np.array([len(b) for b in bitmaps], dtype=np.int64)
+        self.rows = [np.frombuffer(b, dtype=np.uint64) for b in bitmaps]
+
+    def _folded(self, at: np.ndarray, words: int) -> np.ndarray:
+        return np.array([np.bitwise_xor.reduce(self.rows[i].reshape(-1, words), axis=0) for i in at.tolist()], dtype=np.uint64).reshape(-1, words)
+
+    def differing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many bits the bitmaps i and j differ."""
+        shorter = np.minimum(self.lengths[i], self.lengths[j])
+        out = np.zeros(len(i), dtype=np.int64)
+        for length in np.unique(shorter).tolist():
+            some = np.flatnonzero(shorter == length)
+            used, places = np.unique(np.concatenate([i[some], j[some]]), return_inverse=True)
+            matrix = self._folded(used, length // 8)
+            step = max(1, (1 << 21) // length)
+            for k in range(0, len(some), step):
+                a, b = places[: len(some)][k : k + step], places[len(some) :][k : k + step]
+                out[some[k : k + step]] = np.bitwise_count(matrix[a] ^ matrix[b]).sum(axis=1)
+        return out
+
+
+def may_link(n: np.ndarray, m: np.ndarray, differing: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes n and m can be similar enough with so many shingles in one of them alone, at least."""
+    return differing <= n + m - 2 * -(-percent * (n + m) // (100 + percent))
+
+
 def least_linked(percent: int) -> int:
     """The size from which on a set can be similar enough to another one: one with a shingle more."""
     return -(-percent // (100 - percent))
@@ -108,12 +146,13 @@ def _described(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 size = [len(s) for s in sets]
                 both = [[int(mixed(s ^ sign).sum(dtype=np.uint64).view(np.int64)) if len(s) else None for s in sets] for sign in _SIGNS]
                 labels: list[bytes | None] = [None] * len(sets)
+                bits: list[bytes | None] = [None] * len(sets)
                 large = [i for i, k in enumerate(size) if k >= least_linked(percent)]
                 if large:
                     for i, row in zip(large, signatures([sets[i] for i in large]), strict=True):
-                        labels[i] = row.tobytes()
+                        labels[i], bits[i] = row.tobytes(), parity(sets[i])
                 part = batch.slice(low, high - low)
-                arrays = [part.column("number"), part.column("doc_id"), pa.array(size, pa.int64()), *(pa.array(x, pa.int64()) for x in both), pa.array(labels, pa.binary())]
+                arrays = [part.column("number"), part.column("doc_id"), pa.array(size, pa.int64()), *(pa.array(x, pa.int64()) for x in both), pa.array(labels, pa.binary()), pa.array(bits, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in SET.split(", ")])
 
     return describe
@@ -127,43 +166,20 @@ def _matrix(column: pa.Array) -> np.ndarray:
 # --- the forest
 
 
-def _buckets(labels: np.ndarray) -> np.ndarray:
-    """For each MinHash value a bucket of the table of counts."""
-    return (mixed(labels.astype(np.uint64) + _POSITION) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-
-
-def value_counts(nodes: DataFrame) -> np.ndarray:
-    """For each bucket the logarithm of the number of nodes with a MinHash value in it, in sixteenths."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << TABLE_BITS, dtype=np.uint32)
+def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each node and tree: the first values of its label as one hash, the two others behind each other."""
+    with np.errstate(over="ignore"):
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
-                counts += np.bincount(_buckets(_matrix(batch.column(0).slice(low, 2000))).ravel(), minlength=len(counts)).astype(np.uint32)
-        yield slices(np.minimum(counts, 65535).astype(np.uint16))
-
-    counts = summed(nodes.select("labels").mapInArrow(count, "no int, data binary"), 1 << TABLE_BITS, np.uint16, np.add, np.uint32)
-    return np.minimum(16 * np.log2(1.0 + counts), 255).astype(np.uint8)
-
-
-def _planted(table: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for low in range(0, batch.num_rows, 2000):
-                    part = batch.slice(low, 2000)
-                    labels = _matrix(part.column("labels"))
-                    central = table[_buckets(labels)].mean(axis=1)
-                    wide = labels.reshape(-1, TREES, DEPTH).astype(np.uint64)
-                    key = np.broadcast_to(np.arange(TREES, dtype=np.uint64), wide.shape[:2])
-                    for j in range(LEAST_DEPTH):
-                        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + wide[:, :, j])
-                    rest = (wide[:, :, -2] << _HALF) | wide[:, :, -1]
-                    node, n = (np.repeat(part.column(c).to_numpy(), TREES) for c in ("node", "n"))
-                    columns = [key.ravel().view(np.int64), rest.ravel().view(np.int64), node, n, np.repeat(central, TREES)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in ROW.split(", ")])
-
-    return plant
+                part = batch.slice(low, 2000)
+                wide = _matrix(part.column("labels")).reshape(-1, TREES, DEPTH).astype(np.uint64)
+                key = np.broadcast_to(np.arange(TREES, dtype=np.uint64), wide.shape[:2])
+                for j in range(LEAST_DEPTH):
+                    key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + wide[:, :, j])
+                rest = (wide[:, :, -2] << _HALF) | wide[:, :, -1]
+                node, n = (np.repeat(part.column(c).to_numpy(), TREES) for c in ("node", "n"))
+                columns = [key.ravel().view(np.int64), rest.ravel().view(np.int64), node, n]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in ROW.split(", ")])
 
 
 def _regions(region_rows: int, run_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -184,8 +200,9 @@ def _regions(region_rows: int, run_rows: int) -> Callable[[Iterator[pa.RecordBat
         shallow, medium = (most <= region_rows) & (not dense), (some <= region_rows) & (not dense)
         with np.errstate(over="ignore"):
             region = np.where(shallow, mixed(key), np.where(medium, mixed(mixed(key + np.uint64(1)) + upper), mixed(mixed(key + np.uint64(2)) + rest)))
-        keep = np.where(shallow, most, np.where(medium, some, least)) > (0 if dense else 1)
-        out = {"region": region.view(np.int64)} | {c: rows[c] for c in ("node", "n", "central")}
+        size = np.where(shallow, most, np.where(medium, some, least))
+        keep = size > (0 if dense else 1)
+        out = {"region": region.view(np.int64)} | {c: rows[c] for c in ("node", "n")} | {"rows": size}
         return pa.RecordBatch.from_pydict({c: pa.array(x[keep]) for c, x in out.items()})
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +235,9 @@ def _regions(region_rows: int, run_rows: int) -> Callable[[Iterator[pa.RecordBat
 
 
 def forest(nodes: DataFrame, region_rows: int = REGION_ROWS, run_rows: int = RUN_ROWS) -> DataFrame:
-    """region, node, n, central: the members of all regions of all trees, from nodes (node, n, labels); written once."""
-    rows = nodes.select("node", "n", "labels").mapInArrow(_planted(value_counts(nodes)), ROW)
+    """region, node, n, rows: the members of all regions of all trees, from nodes (node, n, labels); written once. `rows` is
+    the size of the region, in long runs of the part of it that came in one batch."""
+    rows = nodes.select("node", "n", "labels").mapInArrow(_planted, ROW)
     rows = rows.repartition("key").sortWithinPartitions("key", "rest")
     members = rows.mapInArrow(_regions(region_rows, run_rows), MEMBER)
     return cut(members)
@@ -232,34 +250,33 @@ def similar_sizes(n: str, m: str, percent: int) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
 
 
-def least_agreement(percent: int) -> int:
-    """In how many places signatures of similar sets agree at least."""
-    p = percent / 100
-    return max(0, int(HASHES * p - MARGIN * (HASHES * p * (1 - p)) ** 0.5))
-
-
 def first_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """a, b: the hub of a region and another of its nodes, if their signatures agree well enough."""
-    hubs = members.groupBy("region").agg(F.max(F.struct("central", "node", "n")).alias("hub"), F.count("*").alias("rows")).where("rows > 1")
-    pairs = members.join(hubs, "region").where("node != hub.node").where(similar_sizes("n", "hub.n", percent))
+    """a, b: the hub of a region and another of its nodes, if their bitmaps leave it possible that they are similar."""
+    company = members.groupBy("node").agg(F.sum(F.log2("rows")).alias("company"))
+    members = members.join(company, "node")
+    hubs = members.groupBy("region").agg(F.max(F.struct("company", "node", "n")).alias("hub"), F.count("*").alias("rows")).where("rows > 1")
+    pairs = members.select("region", "node", "n").join(hubs, "region").where("node != hub.node").where(similar_sizes("n", "hub.n", percent))
     pairs = pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
     for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("labels").alias(f"labels_{side}")), side)
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
 
-    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 4000):
                 part = batch.slice(low, 4000)
-                same = (_matrix(part.column("labels_a")) == _matrix(part.column("labels_b"))).sum(axis=1)
-                yield part.select(["a", "b"]).filter(pa.array(same >= least_agreement(percent)))
+                k = np.arange(part.num_rows)
+                apart = Bitmaps(part.column("bits_a").to_pylist() + part.column("bits_b").to_pylist()).differing(k, k + len(k))
+                ok = may_link(part.column("n_a").to_numpy(), part.column("n_b").to_numpy(), apart, percent)
+                yield part.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.select("a", "b", "labels_a", "labels_b").mapInArrow(agreeing, "a long, b long")
+    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(possible, "a long, b long")
 
 
 def _crossed(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pairs of different components in each block (region, i, j), from rows in order of block: part i with part j."""
 
-    def of_block(rows: dict[str, np.ndarray], labels: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def of_block(rows: dict[str, np.ndarray], bitmaps: list[bytes]) -> Iterator[pa.RecordBatch]:
+        compared = Bitmaps(bitmaps)
         same = rows["i"][0] == rows["j"][0]
         left = np.flatnonzero(rows["part"] == rows["i"])
         right = left if same else np.flatnonzero(rows["part"] == rows["j"])
@@ -270,34 +287,35 @@ def _crossed(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             ok = (rows["component"][i] != rows["component"][j]) & (100 * small >= percent * large)
             ok &= (i < j) if same else (i != j)
             i, j = i[ok], j[ok]
-            for m in range(0, len(i), STEP_PAIRS // 16):
-                a, b = i[m : m + STEP_PAIRS // 16], j[m : m + STEP_PAIRS // 16]
-                near = (labels[a] == labels[b]).sum(axis=1) >= least_agreement(percent)
-                a, b = rows["node"][a[near]], rows["node"][b[near]]
+            if len(i):
+                near = may_link(rows["n"][i], rows["n"][j], compared.differing(i, j), percent)
+                a, b = rows["node"][i[near]], rows["node"][j[near]]
                 if len(a):
                     yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["region", "i", "j", "part", "node", "n", "component"]
-        carry: tuple[dict[str, np.ndarray], np.ndarray] | None = None
+        carry: tuple[dict[str, np.ndarray], list[bytes]] | None = None
         for batch in batches:
-            rows, labels = {c: batch.column(c).to_numpy() for c in names}, _matrix(batch.column("labels"))
+            if not batch.num_rows:
+                continue
+            rows, bitmaps = {c: batch.column(c).to_numpy() for c in names}, batch.column("bits").to_pylist()
             if carry is not None:
-                rows, labels = {c: np.concatenate([carry[0][c], v]) for c, v in rows.items()}, np.concatenate([carry[1], labels])
+                rows, bitmaps = {c: np.concatenate([carry[0][c], v]) for c, v in rows.items()}, carry[1] + bitmaps
             new = np.logical_or.reduce([rows[c][1:] != rows[c][:-1] for c in ("region", "i", "j")])
             starts = np.concatenate([[0], np.flatnonzero(new) + 1])
             for low, high in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                yield from of_block({c: v[low:high] for c, v in rows.items()}, labels[low:high])
+                yield from of_block({c: v[low:high] for c, v in rows.items()}, bitmaps[low:high])
             low = int(starts[-1])
-            carry = {c: v[low:].copy() for c, v in rows.items()}, labels[low:].copy()
-        if carry is not None and len(carry[1]):
+            carry = {c: v[low:].copy() for c, v in rows.items()}, bitmaps[low:]
+        if carry is not None:
             yield from of_block(*carry)
 
     return cross
 
 
 def last_pairs(members: DataFrame, nodes: DataFrame, together: DataFrame, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """a, b: nodes of a region that are in different components so far and whose signatures agree well enough."""
+    """a, b: nodes of a region that are in different components so far and that their bitmaps leave possible."""
     rows = members.select("region", "node", "n").join(together, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = cut(rows)
     several = rows.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows"))
@@ -306,7 +324,7 @@ def last_pairs(members: DataFrame, nodes: DataFrame, together: DataFrame, percen
     # A block for each two parts: a row goes to those of its part.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("region", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "component")
-    rows = rows.join(nodes.select("node", "labels"), "node").repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
+    rows = rows.join(nodes.select("node", "bits"), "node").repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
     return rows.mapInArrow(_crossed(percent), "a long, b long").distinct()
 
 
@@ -347,6 +365,31 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int, group_ro
     return cut(streams.select("a", "part", "b", "text").mapInArrow(_confirming(n, percent), "a long, b long"))
 
 
+def settled(candidates: DataFrame, first: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """node, component from links `first` and those of the candidates that prove to be links.
+
+    A round confirms some candidates between each two components, one at first and `MORE` times as many each further time.
+    Candidates whose components have met are left out, as they change nothing.
+    """
+    links, limit = first, 1
+    together = cut(components(links))
+    while True:
+        rows = candidates
+        for side in ("a", "b"):
+            rows = rows.join(together.select(F.col("node").alias(side), F.col("component").alias(f"component_{side}")), side, "left")
+            rows = rows.withColumn(f"component_{side}", F.coalesce(f"component_{side}", side))
+        ends = (F.least("component_a", "component_b").alias("x"), F.greatest("component_a", "component_b").alias("y"))
+        rows = rows.where("component_a != component_b").select("a", "b", *ends)
+        rank = F.row_number().over(W.partitionBy("x", "y").orderBy(F.xxhash64("a", "b"), "a", "b"))
+        rows = cut(rows.withColumn("rank", rank))
+        if rows.isEmpty():
+            return together
+        found = confirmed(rows.where(F.col("rank") <= limit).select("a", "b"), texts, n, percent)
+        candidates, limit = rows.where(F.col("rank") > limit).select("a", "b"), limit * MORE
+        links = links.unionByName(found)
+        together = cut(components(links))
+
+
 # --- the operator
 
 
@@ -356,15 +399,15 @@ def linked(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, region_rows:
     texts = cut(docs.select(F.monotonically_increasing_id().alias("number"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     rows = cut(texts.mapInArrow(_described(n, percent), SET))
     sets = rows.where("n > 0").groupBy("high", "low").agg(
-        F.min("doc_id").alias("least"), F.min("number").alias("node"), F.first("n").alias("n"), F.first("labels").alias("labels")
+        F.min("doc_id").alias("least"), F.min("number").alias("node"), F.first("n").alias("n"), F.first("labels").alias("labels"), F.first("bits").alias("bits")
     )
     sets = cut(sets)
-    nodes = sets.where("labels is not null").select("node", "n", "labels")
+    nodes = sets.where("labels is not null").select("node", "n", "labels", "bits")
     members = forest(nodes, region_rows, run_rows)
     first = confirmed(cut(first_pairs(members, nodes, percent)), texts.select("number", "text"), n, percent)
-    together = cut(components(first))
-    last = confirmed(cut(last_pairs(members, nodes, together, percent, block_rows)), texts.select("number", "text"), n, percent)
-    return rows.drop("labels"), sets.drop("labels", "n"), cut(components(first.unionByName(last)))
+    last = cut(last_pairs(members, nodes, cut(components(first)), percent, block_rows))
+    together = settled(last, first, texts.select("number", "text"), n, percent)
+    return rows.drop("labels", "bits"), sets.drop("labels", "bits", "n"), together
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, **options: int) -> DataFrame:
