@@ -228,7 +228,7 @@ FROM fx_reads GROUP BY sample_name, contig""",
     "manifest_read": "SELECT * FROM fx_manifest",
     "gene_panel_read": "SELECT symbol FROM fx_panel",
     "gene_scores_read": "SELECT gene, pli AS pLI, prec AS pRec, CAST(NULL AS DOUBLE) AS pNull FROM fx_pli",
-    "hi_scores_highest": "SELECT hi_score FROM hi ORDER BY hi_score DESC LIMIT 5",
+    "hi_scores_highest": "SELECT gene_name, hi_score, rank() OVER (ORDER BY hi_score DESC NULLS LAST) AS rank FROM hi",
     "poisson_call_files": "SELECT *, (ed_bp - st_bp) / 1000 AS length_kb FROM fx_poisson_calls",
     "ratio_call_files": "SELECT *, CAST(NULL AS VARCHAR) AS common_cnv FROM fx_ratio_calls",
     "cluster_call_files": """SELECT c.sample_name, l.label, c.chr, c.st_bp, c.ed_bp, c.cnv, c.lratio FROM fx_poisson_calls c
@@ -257,9 +257,7 @@ JOIN fx_clusters l ON l.sample_name = c.sample_name AND l.label = c.st_bp % 2"""
 FROM (SELECT DISTINCT sample_name FROM fx_manifest) m LEFT JOIN coverage c ON c.sample_name = m.sample_name
 LEFT JOIN fx_clusters l ON l.sample_name = m.sample_name
 LEFT JOIN (SELECT sample_name, count(*) AS calls FROM fx_poisson_calls GROUP BY sample_name) k ON k.sample_name = m.sample_name""",
-    "counts_wide": "SELECT region_id, "
-    + ", ".join(f"CAST(sum(n) FILTER (sample_name = 'S{i:02d}') AS BIGINT) AS \"S{i:02d}\"" for i in range(24))
-    + " FROM counts GROUP BY region_id",
+    "counts_wide": "PIVOT counts ON sample_name USING CAST(sum(n) AS BIGINT) GROUP BY region_id",
     "settled_files": "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-16 00:00:00' - INTERVAL 3600 SECOND",
     "usable_reads": """SELECT sample_name, flag, mapq, count(*) AS reads, CAST(sum(pos) AS BIGINT) AS pos_sum FROM usable
 GROUP BY sample_name, flag, mapq""",
@@ -361,6 +359,18 @@ roots AS (SELECT sample_name, min(other) AS root FROM reach GROUP BY sample_name
 numbered AS (SELECT root, CAST(row_number() OVER (ORDER BY count(*) DESC, root) - 1 AS INT) AS label FROM roots
   GROUP BY root HAVING count(*) >= {MIN_CLUSTER})
 SELECT r.sample_name, coalesce(n.label, -1) AS label FROM roots r LEFT JOIN numbered n ON n.root = r.root""",
+    "density_tree": f"""WITH RECURSIVE core AS (SELECT sample_name, max(distance) AS core FROM (
+  SELECT *, row_number() OVER (PARTITION BY sample_name ORDER BY distance) AS nr FROM pair_distances) d WHERE nr <= {MIN_CLUSTER} GROUP BY sample_name),
+e AS (SELECT *, row_number() OVER (ORDER BY weight, a, b) AS o FROM (
+  SELECT p.sample_name AS a, p.partner AS b, greatest(p.distance, x.core, y.core) AS weight FROM pair_distances p
+  JOIN core x ON x.sample_name = p.sample_name JOIN core y ON y.sample_name = p.partner WHERE p.sample_name < p.partner) w),
+both AS (SELECT o, a AS x, b AS y FROM e UNION ALL SELECT o, b, a FROM e),
+reach AS (SELECT o, a AS start, a AS node FROM e UNION SELECT o, b, b FROM e
+  UNION SELECT r.o, r.start, f.y FROM reach r JOIN both f ON f.x = r.node AND f.o < r.o),
+sizes AS (SELECT o, start, count(*) AS size FROM reach GROUP BY o, start),
+tree AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.o = e.o AND r.start = e.a AND r.node = e.b))
+SELECT t.a, t.b, {r6('t.weight')} AS weight, row_number() OVER (ORDER BY t.o) - 1 AS rank, least(x.size, y.size) AS smaller,
+  greatest(x.size, y.size) AS larger FROM tree t JOIN sizes x ON x.o = t.o AND x.start = t.a JOIN sizes y ON y.o = t.o AND y.start = t.b""",
     "clusters_to_process": """SELECT label, string_agg(sample_name, ',' ORDER BY sample_name) AS members FROM likely WHERE label IN (
   SELECT label FROM likely WHERE sample_name NOT IN (SELECT CAST(user_id AS VARCHAR) FROM events) AND label <> -1
   UNION SELECT likely FROM likely WHERE sample_name NOT IN (SELECT CAST(user_id AS VARCHAR) FROM events) AND likely <> -1)

@@ -10,6 +10,7 @@ from copyloom.functions import columns as c
 from copyloom.operators import annotate as an
 from copyloom.operators import cohort as co
 from copyloom.operators import coverage as cov
+from copyloom.operators import density as de
 from copyloom.operators import genes as g
 from copyloom.operators import intervals as iv
 from copyloom.operators import poisson_caller as pc
@@ -195,8 +196,9 @@ def hi_scores_from_file(spark, sf):
 
 @query
 def hi_scores_highest(spark, sf):
-    """The highest scores, as the reader's order has them."""
-    return hi_scores_from_file(spark, sf).select("hi_score").limit(5)
+    """All scores of the file with their rank from the highest down."""
+    found = hi_scores_from_file(spark, sf)
+    return found.select("gene_name", "hi_score", F.rank().over(Window.orderBy(F.desc_nulls_last("hi_score"))).cast("long").alias("rank"))
 
 
 @query
@@ -763,6 +765,27 @@ def batch_samples(spark, sf):
     return co.batch_samples(co.sample_neighbours(cut(zscores(spark, sf)), NEIGHBOURS), MIN_CLUSTER)
 
 
+def component_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples on the components of their profiles, as points."""
+    scores = co.profile_components(cut(zscores(spark, sf)))
+    return cut(scores.select("sample_name", F.col("component").alias("dim"), F.col("score").alias("v")))
+
+
+@query
+def density_tree(spark, sf):
+    """The spanning tree of the samples' mutual reachability, in the order of its merges, with the sizes that it joins."""
+    vectors = cut(de.sample_vectors(component_points(spark, sf)))
+    cores = cut(de.core_distances(vectors, MIN_CLUSTER))
+    edges = cut(de.spanning_tree(cores))
+    merged = de.merges(edges, cores).select("rank", F.least("size_a", "size_b").alias("smaller"), F.greatest("size_a", "size_b").alias("larger"))
+    return r6(de.ranked(edges).join(merged, "rank"), "weight")
+
+
+@query
+def density_groups(spark, sf):
+    return de.density_groups(component_points(spark, sf), MIN_CLUSTER)
+
+
 @query
 def clusters_to_process(spark, sf):
     positions, labels = points(spark, sf)

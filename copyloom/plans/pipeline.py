@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from copyloom.operators import cohort as co
 from copyloom.operators import coverage as cov
+from copyloom.operators import density as de
 from copyloom.operators import intervals as iv
 from copyloom.operators import poisson_caller as pc
 from copyloom.operators import ratio_caller as rc
@@ -39,18 +40,22 @@ def group_samples(
     min_cluster_size: int = co.MIN_CLUSTER_SIZE,
     neighbours: int = co.NEIGHBOURS,
     profile_regions: int | None = None,
+    by_density: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Label and nearest cluster of every sample with enough coverage, and the samples without.
 
-    Neighbours are found on the z-scored profile of all regions, or of the first `profile_regions`; noise samples take
-    the cluster with the nearest members on the two leading components.
+    Neighbours are found on the z-scored profile of all regions, or of the first `profile_regions`; with `by_density` the
+    groups are those of the density hierarchy over the leading components instead. Noise samples take the cluster with the
+    nearest members on the two leading components.
     """
     used = counts if profile_regions is None else cov.first_regions(counts, profile_regions)
     passed, failed = cov.split_by_coverage(used, min_mean_rc)
     z = cut(cov.zscore_by_region(cov.scale_profiles(passed)))
-    labels = cut(co.batch_samples(co.sample_neighbours(z, neighbours), min_cluster_size, z))
-    scores = co.profile_components(z, 2)
+    scores = cut(co.profile_components(z, co.COMPONENTS if by_density else 2))
     positions = scores.select("sample_name", F.col("component").alias("dim"), F.col("score").alias("v"))
+    found = de.density_groups(positions, min_cluster_size) if by_density else co.batch_samples(co.sample_neighbours(z, neighbours), min_cluster_size, z)
+    labels = cut(found)
+    positions = positions.where(F.col("dim") <= 2)
     return cut(co.assign_noise(co.noise_distances(positions, labels), labels)), cut(failed)
 
 
@@ -65,6 +70,7 @@ def cohort_calls(
     factors: tuple[int, ...] = pc.LATENT_FACTORS,
     include_likely: bool = False,
     profile_regions: int | None = None,
+    by_density: bool = False,
     max_regions: int | None = None,
     longest_window: int = pc.LONGEST_WINDOW,
     min_lratio: float = pc.MIN_LRATIO,
@@ -78,7 +84,7 @@ def cohort_calls(
     Caller A's table names `common` variants and `exons` (name, contig, start_bp, end_bp) where they are given.
     """
     counts = cut(count_reads(targets, reads))
-    labels, failed = group_samples(counts, min_mean_rc, min_cluster_size, neighbours, profile_regions)
+    labels, failed = group_samples(counts, min_mean_rc, min_cluster_size, neighbours, profile_regions, by_density)
     column = "likely" if include_likely else "label"
     members = labels.where(F.col(column) != co.NOISE).select("sample_name", F.col(column).alias("label"))
     if done is not None:

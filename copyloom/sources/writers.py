@@ -41,7 +41,8 @@ def write_sample_files(rows: DataFrame, folder: str, suffix: str, columns: list[
     """One text file per sample, `<sample><suffix>`, with a header and NA for NULL; packed if the name ends so.
 
     A task streams its samples' rows in order, so it holds one batch. Files are written under another name and then
-    moved, so that a repeated attempt replaces a file rather than adding to it. Returns sample_name and rows.
+    moved, so that a repeated attempt replaces a file rather than adding to it. A row without a sample name has no file
+    to go to and is an error. Returns sample_name and rows.
     """
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
@@ -58,6 +59,8 @@ def write_sample_files(rows: DataFrame, folder: str, suffix: str, columns: list[
             return pd.DataFrame({"sample_name": [sample], "rows": [count]})
 
         for batch in batches:
+            if batch["sample_name"].isna().any():
+                raise ValueError("rows without a sample name belong to no file")
             for name, part in batch.groupby("sample_name", sort=False):
                 text = io.StringIO()
                 if name != sample:

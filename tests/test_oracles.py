@@ -10,6 +10,7 @@ from copyloom.fixtures import view
 # Heavier chains whose own tests are in the other files.
 ROWS_ONLY = {
     "profile_components",
+    "density_groups",
     "expected_counts",
     "call_poisson_scan",
     "cohort_calls",
