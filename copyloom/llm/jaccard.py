@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copyloom.llm import wordhash
+from copyloom.llm.batches import give_back, giving_back, text_batches
 from copyloom.llm.bittable import Among, slices, summed
 from copyloom.llm.components import components
 from copyloom.llm.wordhash import PLAIN, mixed
@@ -48,6 +49,7 @@ RUN_ROWS = 20_000
 BLOCK_ROWS = 2_000
 STEP_PAIRS = 2_000_000
 MIN_BITS = 1024
+YIELD_SHINGLES = 1 << 18
 
 _SIGN, _SHORT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -103,11 +105,14 @@ def shingle_ranks(docs: DataFrame, n: int = WORDS, bits: int = TABLE_BITS) -> np
                 np.add.at(counts, (shingles >> np.uint64(64 - bits)).astype(np.int64), 1)
         yield slices(np.minimum(counts, 255).astype(np.uint8))
 
-    counts = summed(docs.select("text").mapInArrow(count, "no int, data binary"), 1 << bits, np.uint8, np.add, np.uint32)
+    counts = summed(docs.select("text").mapInArrow(giving_back(count), "no int, data binary"), 1 << bits, np.uint8, np.add, np.uint32)
     mean = counts.mean()
     usual = max(4.0, 4 * mean**0.5)
     excess = np.maximum(counts - mean, 0) / usual
-    return np.where(excess >= 1, 1 + np.floor(np.log2(np.maximum(excess, 1))), 0).astype(np.uint8)
+    ranks = np.where(excess >= 1, 1 + np.floor(np.log2(np.maximum(excess, 1))), 0).astype(np.uint8)
+    del counts, excess
+    give_back()
+    return ranks
 
 
 # --- nodes and groups
@@ -123,29 +128,30 @@ def _signature(shingles: np.ndarray) -> np.uint64:
 def _describe(ranks: np.ndarray, n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     shift = np.uint64(64 - (len(ranks) - 1).bit_length())
 
+    longs = pa.list_(pa.int64())
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), longs, longs, pa.binary()]
+    names = [f.split()[0] for f in NODE.split(", ")]
+
+    def described_row(shingles: np.ndarray) -> list:
+        if not len(shingles):
+            return [None, None, 0, None, None, None, None]
+        rank = ranks[(shingles >> shift).astype(np.int64)]
+        first = shingles[np.argsort(rank, kind="stable")[: prefix_length(len(shingles), percent)]]
+        node, group = (_signature(x).view(np.int64) for x in (shingles, np.append(first, np.uint64(len(shingles)))))
+        return [node, group, len(shingles), float(rank.mean()), shingles[:MINS].view(np.int64), first.view(np.int64), _parity(shingles)]
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, group, size, central, mins, prefix, parity = [], [], [], [], [], [], []
-            for shingles in shingle_sets(batch.column("text"), n):
-                size.append(len(shingles))
-                if not len(shingles):
-                    for x in (node, group, central, mins, prefix, parity):
-                        x.append(None)
-                    continue
-                rank = ranks[(shingles >> shift).astype(np.int64)]
-                first = shingles[np.argsort(rank, kind="stable")[: prefix_length(len(shingles), percent)]]
-                node.append(_signature(shingles).view(np.int64))
-                group.append(_signature(np.append(first, np.uint64(len(shingles)))).view(np.int64))
-                central.append(float(rank.mean()))
-                mins.append(shingles[:MINS].view(np.int64))
-                prefix.append(first.view(np.int64))
-                parity.append(_parity(shingles))
-            longs = pa.list_(pa.int64())
-            arrays = [pa.array(x, t) for x, t in ((node, pa.int64()), (group, pa.int64()), (size, pa.int64()), (central, pa.float64()))]
-            arrays += [pa.array(mins, longs), pa.array(prefix, longs), pa.array(parity, pa.binary())]
             kept = [c for c in batch.schema.names if c != "text"]
-            names = [*kept, *(f.split()[0] for f in NODE.split(", "))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *arrays], names=names)
+            start, rows, held = 0, [], 0
+            for k, shingles in enumerate(shingle_sets(batch.column("text"), n), 1):
+                rows.append(described_row(shingles))
+                held += len(shingles)
+                if held >= YIELD_SHINGLES or k == batch.num_rows:
+                    arrays = [pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    part = batch.slice(start, k - start)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *arrays], names=[*kept, *names])
+                    start, rows, held = k, [], 0
 
     return describe
 
@@ -154,7 +160,7 @@ def described(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFr
     """`docs`, which need a column text, with the columns of `NODE` in place of the text; written once."""
     ranks = shingle_ranks(docs, n)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
-    return cut(docs.mapInArrow(_describe(ranks, n, percent), ", ".join([*kept, NODE])))
+    return cut(docs.mapInArrow(giving_back(_describe(ranks, n, percent)), ", ".join([*kept, NODE])))
 
 
 def first_links(nodes: DataFrame) -> DataFrame:
@@ -273,7 +279,7 @@ def _crossed(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def group_pairs(tokens: DataFrame, percent: int = PERCENT, run_rows: int = RUN_ROWS) -> DataFrame:
     """a, b: distinct pairs of groups that may be alike, from rows (token, group, n, place, component)."""
     spread = tokens.repartition("token").sortWithinPartitions("token").select(*TOKEN)
-    found = cut(spread.mapInArrow(_joined(percent, run_rows), PAIRS).distinct())
+    found = cut(spread.mapInArrow(giving_back(_joined(percent, run_rows)), PAIRS).distinct())
     pairs, long_tokens = found.where("a is not null").select("a", "b"), found.where("a is null").select("token").distinct()
     if long_tokens.limit(1).count():
         crossed = _blocks(tokens.join(F.broadcast(long_tokens), "token"), min(run_rows, BLOCK_ROWS))
@@ -338,7 +344,7 @@ def _texts(docs: DataFrame, wanted: Among, n: int) -> DataFrame:
             rows = pa.RecordBatch.from_arrays([pa.array(nodes), batch.column("text")], names=["node", "text"])
             yield rows.filter(pa.array(wanted.maybe(nodes)))
 
-    return docs.select("text").where("text is not null").mapInArrow(pick, "node long, text string").dropDuplicates(["node"])
+    return docs.select("text").where("text is not null").mapInArrow(giving_back(pick), "node long, text string").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -348,13 +354,13 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int = WORDS
         own = nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
         both = both.join(own, side)
     both = both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    near = cut(both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_near(percent), "a long, b long"))
+    near = cut(both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(giving_back(_near(percent)), "a long, b long"))
     wanted = Among(near.select(F.explode(F.array("a", "b"))), FILTER_BITS)
     texts = cut(_texts(docs, wanted, n))
     rows = near
     for side in ("a", "b"):
         rows = rows.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
-    return cut(rows.select("a", "b", "text_a", "text_b").mapInArrow(_verified(n, percent), "a long, b long"))
+    return cut(rows.select("a", "b", "text_a", "text_b").mapInArrow(giving_back(_verified(n, percent)), "a long, b long"))
 
 
 # --- the join
@@ -362,6 +368,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int = WORDS
 
 def linked(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, run_rows: int = RUN_ROWS) -> tuple[DataFrame, DataFrame]:
     """The documents (`docs` without text, with node and n) and node, component for the nodes that are linked."""
+    with text_batches(docs.sparkSession):
+        return _linked(docs, n, percent, run_rows)
+
+
+def _linked(docs: DataFrame, n: int, percent: int, run_rows: int) -> tuple[DataFrame, DataFrame]:
     rows = described(docs, n, percent)
     nodes = rows.where("n > 0").dropDuplicates(["node"])
     thin = cut(nodes.select("node", "group", "n", "central", "mins", "bits"))
