@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copyloom.llm import wordhash
+from copyloom.llm.batches import giving_back
 from copyloom.llm.wordhash import ALNUM, Words
 from copyloom.session import cut
 
@@ -34,6 +36,9 @@ ANCHOR = 4
 HIT_SHARE = 20  # contaminated from one word in so many on
 BLOCK_BYTES = 16 << 20
 FILTER_BITS = 20
+FILTER_MASK = np.uint64((1 << FILTER_BITS) - 1)
+SHARD_BYTES = 2 << 20
+STEP_PAIRS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -45,6 +50,15 @@ class Benchmark:
     anchors: dict[int, np.ndarray]  # by number of words: sorted hashes of how test suffixes begin
     window: int
 
+    @cached_property
+    def tables(self) -> dict[int, np.ndarray]:
+        """For each kind of anchors a bit table that sorts out most other hashes; made once in a task."""
+        out = {}
+        for size, among in self.anchors.items():
+            out[size] = np.zeros(1 << FILTER_BITS, dtype=bool)
+            out[size][(among & FILTER_MASK).astype(np.int64)] = True
+        return out
+
     @property
     def longest(self) -> int:
         return int(np.diff(self.words.first).max(initial=0))
@@ -65,12 +79,9 @@ def benchmark_block(rows: list[tuple[str | None, str | None]], window: int = WIN
     return Benchmark([rows[i][0] or "" for i in some], Words(words.hashes, first), {k: np.unique(np.concatenate(v)) for k, v in anchors.items()}, window)
 
 
-def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Which values are among sorted ones; a bit table sorts most of the others out."""
-    mask = np.uint64((1 << FILTER_BITS) - 1)
-    table = np.zeros(1 << FILTER_BITS, dtype=bool)
-    table[(among & mask).astype(np.int64)] = True
-    found = table[(values & mask).astype(np.int64)]
+def _member(values: np.ndarray, among: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values are among sorted ones, whose bit table is given."""
+    found = table[(values & FILTER_MASK).astype(np.int64)]
     maybe = np.flatnonzero(found)
     place = np.minimum(np.searchsorted(among, values[maybe]), len(among) - 1)
     found[maybe] = among[place] == values[maybe]
@@ -86,7 +97,7 @@ class Shard:
         ends = np.repeat(words.first[1:], np.diff(words.first))  # for each word its document's end
         wanted = np.zeros(n + 1, dtype=np.int64)
         for size, among in test.anchors.items():
-            begins = np.flatnonzero(_member(wordhash.sequences(words.hashes, size), among))
+            begins = np.flatnonzero(_member(wordhash.sequences(words.hashes, size), among, test.tables[size]))
             begins = begins[begins + size <= ends[begins]]
             np.add.at(wanted, begins, 1)
             np.add.at(wanted, np.minimum(begins + test.longest, ends[begins]), -1)
@@ -170,34 +181,56 @@ class Shard:
         keep = best >= shortest(item)
         return start[keep], item[keep], best[keep]
 
-    def locations(self, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Every place in the shard where a pattern occurs: the pattern's number, the word it begins at."""
-        if not len(start):
-            return start, start
-        low, high = (self._bound(start, length, self.test_word, upper) for upper in (False, True))
-        which = np.repeat(np.arange(len(start)), high - low)
+    def ranges(self, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each pattern the range (low, high) of the array whose suffixes begin with it."""
+        return self._bound(start, length, self.test_word, upper=False), self._bound(start, length, self.test_word, upper=True)
+
+    def places(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every place in the shard in some ranges of the array: the range's number, the word."""
+        which = np.repeat(np.arange(len(low)), high - low)
         offset = np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
         return which, self.place[self.order[low[which] + offset]]
 
 
 def _covered(shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which words lie in an occurrence of a window, and the pairs (document, item) of such occurrences."""
+    """Which words lie in an occurrence of a window, and the pairs (document, item) of such occurrences.
+
+    A window is located once, however many items have it and however often; windows of one length have ranges apart from
+    each other, so there are at most as many places as words for each length. Its documents then meet its items.
+    """
     test, words = shard.test, shard.words
+    none = np.zeros(0, dtype=np.int64)
     start, item, _ = shard.search(test.window_of)
+    if not len(start):
+        return np.zeros(len(words.hashes), dtype=bool), none, none
     window = test.window_of(item)
-    which, place = shard.locations(start, window)
+    low, high = shard.ranges(start, window)
+    keys, first, of = np.unique(low * (test.window + 1) + window, return_index=True, return_inverse=True)
+    which, place = shard.places(low[first], high[first])
     edges = np.zeros(len(words.hashes) + 1, dtype=np.int64)
     np.add.at(edges, place, 1)
-    np.add.at(edges, place + window[which], -1)
+    np.add.at(edges, place + window[first][which], -1)
     doc = np.searchsorted(words.first, place, "right") - 1
-    pairs = np.unique(doc * len(test.ids) + item[which])
-    return np.cumsum(edges)[:-1] > 0, pairs // max(1, len(test.ids)), pairs % max(1, len(test.ids))
+    n_docs, n_items = len(words.first), max(1, len(test.ids))
+    docs, items = np.unique(which * n_docs + doc), np.unique(of.ravel() * n_items + item)
+    doc_first, item_first = (np.searchsorted(x // n, np.arange(len(keys) + 1)) for x, n in ((docs, n_docs), (items, n_items)))
+    docs, items = docs % n_docs, items % n_items
+    sizes = np.diff(doc_first) * np.diff(item_first)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    pairs = none
+    for at in range(0, int(total[-1]), STEP_PAIRS):
+        # The pairs of a step by their number: the window, and the document and item of it.
+        number = np.arange(at, min(at + STEP_PAIRS, int(total[-1])))
+        k = np.searchsorted(total, number, "right") - 1
+        inside, wide = number - total[k], np.diff(item_first)[k]
+        pairs = np.union1d(pairs, docs[doc_first[k] + inside // wide] * n_items + items[item_first[k] + inside % wide])
+    return np.cumsum(edges)[:-1] > 0, pairs // n_items, pairs % n_items
 
 
 def _shards(column: pa.Array, test: Benchmark) -> Iterator[tuple[int, Shard]]:
     """Shards of a batch, each with the number of its first document."""
     data, at = wordhash.buffers(column)
-    for low, high in wordhash.chunks(at):
+    for low, high in wordhash.chunks(at, SHARD_BYTES):
         words = wordhash.words(data[at[low] : at[high]], at[low : high + 1] - at[low], ALNUM)
         yield low, Shard(words, test)
 
@@ -268,7 +301,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
     out, done = docs.select(*kept), False
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
     for test in _blocks(benchmark, block_bytes, window):
-        out = (cut(out) if done else out).mapInArrow(_judge(test), f"{plain}, {STATE_SQL}")
+        out = (cut(out) if done else out).mapInArrow(giving_back(_judge(test)), f"{plain}, {STATE_SQL}")
         done = True
     return out if done else out.mapInArrow(_judge(benchmark_block([], window)), f"{plain}, {STATE_SQL}")
 
@@ -304,7 +337,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             for batch in batches:
                 for low, shard in _shards(wordhash.texts(batch), test):
                     start, item, best = shard.search(test.window_of)
-                    which, place = shard.locations(start, best)
+                    which, place = shard.places(*shard.ranges(start, best)) if len(start) else (start, start)
                     seen = set(zip(place.tolist(), start[which].tolist(), strict=True))
                     first = np.array([(p - 1, s - 1) not in seen for p, s in zip(place.tolist(), start[which].tolist(), strict=True)], dtype=bool)
                     which, place = which[first], place[first]

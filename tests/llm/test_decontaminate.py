@@ -87,3 +87,27 @@ def test_longest_matches(spark):
     for doc, word, n, _, at in apart:
         assert n >= 13 and words(docs[doc])[word : word + n] == words(LONG)[at : at + n]
     assert ("1", 1, 15, "9", 0) in apart
+
+
+def test_periodic_items_take_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from copyloom.llm.decontaminate import _covered, _shards, benchmark_block
+
+    items = [(f"i{k}", " ".join(["same"] * 300)) for k in range(20)] + [("short", "same same"), ("mixed", "same other " * 40)]
+    test = benchmark_block(items)
+    column = pa.array([" ".join(["same"] * 20_000), "same other " * 400, "nothing"], pa.string())
+    tracemalloc.start()
+    found = [(low, *_covered(shard)) for low, shard in _shards(column, test)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+    (_, covered, docs, hit), = found
+    assert covered.tolist() == [True] * 20_800 + [False]
+    first = {test.ids[i] for d, i in zip(docs, hit, strict=True) if d == 0}
+    assert first == {f"i{k}" for k in range(20)} | {"short"}
+    assert {test.ids[i] for d, i in zip(docs, hit, strict=True) if d == 1} == {"mixed"}
+    assert isinstance(covered, np.ndarray)
