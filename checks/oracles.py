@@ -364,9 +364,9 @@ SELECT r.sample_name, coalesce(n.label, -1) AS label FROM roots r LEFT JOIN numb
 e AS (SELECT *, row_number() OVER (ORDER BY weight, a, b) AS o FROM (
   SELECT p.sample_name AS a, p.partner AS b, greatest(p.distance, x.core, y.core) AS weight FROM pair_distances p
   JOIN core x ON x.sample_name = p.sample_name JOIN core y ON y.sample_name = p.partner WHERE p.sample_name < p.partner) w),
-both AS (SELECT o, a AS x, b AS y FROM e UNION ALL SELECT o, b, a FROM e),
+links AS (SELECT o, a AS x, b AS y FROM e UNION ALL SELECT o, b, a FROM e),
 reach AS (SELECT o, a AS start, a AS node FROM e UNION SELECT o, b, b FROM e
-  UNION SELECT r.o, r.start, f.y FROM reach r JOIN both f ON f.x = r.node AND f.o < r.o),
+  UNION SELECT r.o, r.start, f.y FROM reach r JOIN links f ON f.x = r.node AND f.o < r.o),
 sizes AS (SELECT o, start, count(*) AS size FROM reach GROUP BY o, start),
 tree AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.o = e.o AND r.start = e.a AND r.node = e.b))
 SELECT t.a, t.b, {r6('t.weight')} AS weight, row_number() OVER (ORDER BY t.o) - 1 AS rank, least(x.size, y.size) AS smaller,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from copyloom.functions.columns import is_autosome
+from copyloom.operators.medians import medians
 from copyloom.session import small_table
 
 # Default QC limits.
@@ -52,7 +53,7 @@ def region_qc(
     by: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per region with its median coverage over samples and a pass flag."""
-    median = counts.groupBy(*by, "region_id").agg(F.percentile("n", F.lit(0.5)).alias("median_rc"))
+    median = medians(counts, [*by, "region_id"], F.col("n"), "median_rc")
     width = F.col("end_bp") - F.col("start_bp") + 1
     return median.join(targets, "region_id").select(
         *by,
@@ -120,13 +121,8 @@ def library_size_factor(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFram
     """
     region = Window.partitionBy(*by, "region_id")
     ratio = F.col("n") / F.exp(F.avg(F.ln("n")).over(region))
-    return (
-        counts.select(*by, "sample_name", "region_id", "n", F.min("n").over(region).alias("least"))
-        .where("least > 0")
-        .withColumn("ratio", ratio)
-        .groupBy(*by, "sample_name")
-        .agg(F.percentile("ratio", F.lit(0.5)).alias("size_factor"))
-    )
+    used = counts.select(*by, "sample_name", "region_id", "n", F.min("n").over(region).alias("least")).where("least > 0")
+    return medians(used.withColumn("ratio", ratio), [*by, "sample_name"], F.col("ratio"), "size_factor")
 
 
 def counts_wide(counts: DataFrame, samples: list[str] | None = None) -> DataFrame:

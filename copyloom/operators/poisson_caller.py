@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from copyloom.functions.columns import length_kb
 from copyloom.operators import blocks
+from copyloom.operators.medians import medians
 from copyloom.operators.ratio_caller import chain_positions
 from copyloom.session import cut, small_table
 
@@ -47,17 +48,12 @@ def expected_k0(counts: DataFrame, factors: DataFrame) -> DataFrame:
     in which half of a sample's regions are empty gets no correction.
     """
     scaled = counts.join(small_table(factors.where("size_factor > 0")), ["label", "sample_name"])
-    per_region = (
-        scaled.groupBy("label", "region_id")
-        .agg(F.percentile(F.col("n") / F.col("size_factor"), F.lit(0.5)).alias("region_effect"))
-        .where("region_effect > 0")
-    )
+    per_region = medians(scaled, ["label", "region_id"], F.col("n") / F.col("size_factor"), "region_effect").where("region_effect > 0")
     bins = scaled.join(per_region, ["label", "region_id"]).withColumns(
         {"gc_bin": F.floor(F.col("gc") / GC_BIN), "base": F.col("size_factor") * F.col("region_effect")}
     )
-    gc_effect = bins.groupBy("label", "sample_name", "gc_bin").agg(
-        F.percentile(F.col("n") / F.col("base"), F.lit(0.5)).alias("gc_effect")
-    )
+    bins = cut(bins)
+    gc_effect = medians(bins, ["label", "sample_name", "gc_bin"], F.col("n") / F.col("base"), "gc_effect")
     return (
         bins.join(gc_effect, ["label", "sample_name", "gc_bin"])
         .withColumn("gc_effect", F.when(F.col("gc_effect") > 0, F.col("gc_effect")).otherwise(1.0))
