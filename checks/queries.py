@@ -11,6 +11,7 @@ from copyloom.operators import annotate as an
 from copyloom.operators import cohort as co
 from copyloom.operators import coverage as cov
 from copyloom.operators import density as de
+from copyloom.operators import dispersion as ds
 from copyloom.operators import genes as g
 from copyloom.operators import intervals as iv
 from copyloom.operators import poisson_caller as pc
@@ -825,6 +826,22 @@ def state_likelihoods(spark, sf):
     return r6(found.drop("p"), "expected", *[f"ll_{s}" for s in rc.STATES])
 
 
+@query
+def state_likelihoods_overdispersed(spark, sf):
+    """Beta-binomial log-likelihoods under given strengths, which differ from case to case."""
+    with_refs = cut(rc.leave_one_out(labelled(spark, sf)))
+    strength = (20 + 15 * F.substring("sample_name", 2, 2).cast("int")).cast("double").alias("strength")
+    given = with_refs.select("label", "sample_name").distinct().select("label", "sample_name", strength)
+    found = rc.state_likelihoods(with_refs, given)
+    return r6(found.drop("p", "strength"), "expected", *[f"ll_{s}" for s in rc.STATES])
+
+
+@query
+def case_strengths(spark, sf):
+    """How far the counts of each case are from a binomial, fitted on all regions."""
+    return r6(ds.case_strengths(rc.leave_one_out(labelled(spark, sf))), "strength")
+
+
 @query
 def state_segments(spark, sf):
     found = rc.positioned(

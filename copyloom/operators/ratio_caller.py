@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from copyloom.functions.columns import region_label
 from copyloom.operators import blocks
+from copyloom.operators.dispersion import beta_binomial, case_strengths
 from copyloom.operators.intervals import annotate_overlaps
-from copyloom.session import cut, small_table
+from copyloom.session import broadcast_if_small, cut, small_table
 
 # States with their copy ratio, switching probability.
 STATES = ["normal", "deletion", "duplication"]
@@ -223,17 +224,24 @@ def reference_totals(counts: DataFrame, chosen: DataFrame) -> DataFrame:
     return per_case_block(counts, chosen.select("label", "sample_name", "refs"), totals, schema)
 
 
-def state_likelihoods(with_refs: DataFrame) -> DataFrame:
-    """Log-likelihood of each state per region; regions without a read in case and references say nothing and go."""
+def state_likelihoods(with_refs: DataFrame, strengths: DataFrame | None = None) -> DataFrame:
+    """Log-likelihood of each state per region; regions without a read in case and references say nothing and go.
+
+    Binomial, or beta-binomial with the `strengths` (label, sample_name, strength) of the cases; a case without one goes.
+    """
     share = small_table(
-        with_refs.groupBy("label", "sample_name").agg((F.sum("n") / F.sum(F.col("n") + F.col("ref_n"))).alias("p"))
+        with_refs.groupBy("label", "sample_name").agg(F.try_divide(F.sum("n"), F.sum(F.col("n") + F.col("ref_n"))).alias("p"))
     )
     x, t, p = F.col("n"), F.col("n") + F.col("ref_n"), F.col("p")
 
     def loglik(ratio: float) -> Column:
         shifted = ratio * p / (1 - p + ratio * p)
+        if strengths is not None:
+            return beta_binomial(x.cast("double"), t.cast("double"), shifted, F.col("strength"))
         return x * F.ln(shifted) + (t - x) * F.ln(1 - shifted)
 
+    if strengths is not None:
+        share = share.join(strengths.select("label", "sample_name", "strength"), ["label", "sample_name"])
     return (
         with_refs.join(share, ["label", "sample_name"])
         .where((t > 0) & (p > 0) & (p < 1))
@@ -429,10 +437,15 @@ def call_read_ratio(
     transition: float = TRANSITION,
     samples: list[str] | None = None,
     chunk: int = CHUNK,
+    overdispersed: bool = False,
 ) -> DataFrame:
-    """Deletions and duplications of every case, or of the given samples only."""
+    """Deletions and duplications of every case, or of the given samples only.
+
+    With `overdispersed` the counts are beta-binomial, with a strength that is fitted for each case.
+    """
     cases = with_refs if samples is None else with_refs.where(F.col("sample_name").isin(samples))
-    likelihoods = positioned(state_likelihoods(cases), targets)
+    strengths = broadcast_if_small(case_strengths(cases)) if overdispersed else None
+    likelihoods = positioned(state_likelihoods(cases, strengths), targets)
     return segment_calls(most_likely_paths(likelihoods, SEGMENT_KEYS, SEGMENT_SUMS, transition, chunk))
 
 

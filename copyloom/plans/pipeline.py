@@ -72,6 +72,7 @@ def cohort_calls(
     profile_regions: int | None = None,
     by_density: bool = False,
     max_regions: int | None = None,
+    overdispersed: bool = False,
     longest_window: int = pc.LONGEST_WINDOW,
     min_lratio: float = pc.MIN_LRATIO,
     common: DataFrame | None = None,
@@ -80,7 +81,7 @@ def cohort_calls(
     """Calls of both callers, sample labels, and failed samples. `done` names samples that already have results.
 
     All regions count for grouping and for the choice of references unless `profile_regions` or `max_regions` ask for
-    fewer. Caller B covers autosomes, as its model takes two copies for granted; its size factors are genome-wide.
+    fewer. `overdispersed` lets caller A's counts vary more than a binomial does. Caller B covers autosomes, as its model takes two copies for granted; its size factors are genome-wide.
     Caller A's table names `common` variants and `exons` (name, contig, start_bp, end_bp) where they are given.
     """
     counts = cut(count_reads(targets, reads))
@@ -93,7 +94,7 @@ def cohort_calls(
     grouped = cut(counts.join(members, "sample_name").select("label", "sample_name", "region_id", "n"))
 
     with_refs = cut(rc.reference_totals(grouped, rc.select_references(grouped, max_regions)))
-    ratio_calls = rc.annotated_calls(rc.call_read_ratio(with_refs, targets), common, exons)
+    ratio_calls = rc.annotated_calls(rc.call_read_ratio(with_refs, targets, overdispersed=overdispersed), common, exons)
 
     qc = cov.region_qc(grouped, targets, coverage=coverage, by=("label",))
     passed = cut(cov.qc_counts(grouped, qc, by=("label",)))

@@ -11,6 +11,7 @@ from copyloom.fixtures import view
 ROWS_ONLY = {
     "profile_components",
     "density_groups",
+    "case_strengths",
     "expected_counts",
     "call_poisson_scan",
     "cohort_calls",
