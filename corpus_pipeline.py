@@ -1,6 +1,11 @@
 """The training-data pipeline: documents in, what the mix takes of each of those that stay out.
 
 Every stage works on all that the one before it kept, and what it returns is written and read again.
+
+Nulls and edge cases, as the stages' modules state them: a null text is an empty one; the classifier scores empty texts like
+all others; documents without words have no near copies and no benchmark words, so both stages keep them; of equal texts, and
+of rows that repeat, the one with the smallest id stays, nulls last; a null source is a source of its own; empty tables give
+empty results; further columns go along up to the mix, also those with names that stages use inside.
 """
 
 from __future__ import annotations
