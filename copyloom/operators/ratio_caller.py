@@ -324,14 +324,56 @@ def chunk_scores(ll: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return score
 
 
+def bound_states(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, chunk, entry_state, leave_state): the states between which each chunk's part of its chain's best path runs.
+
+    `scored` has a table of scores per chunk, by state before and at the end of it, row by row. Neighbouring tables are
+    combined in rounds, the best middle state for every pair of outer ones, until a chain has one; then the states are
+    handed down the same way. The rounds grow with the logarithm of the chunks of a chain; a chunk without any region
+    may be missing. Ties go to the first state.
+    """
+    states = range(len(STATES))
+
+    def first_best(values: list[Column]) -> Column:
+        found = F.array(*values)
+        return (F.array_position(found, F.array_max(found)) - 1).cast("int")
+
+    def score(table: str, before: Column | int, after: Column | int) -> Column:
+        return F.get(table, F.lit(before) * len(STATES) + F.lit(after))
+
+    rows = cut(scored.select(*keys, F.col("chunk").cast("long").alias("node"), "scores"))
+    last = rows.agg(F.max("node")).head()[0] or 0
+    levels = []
+    while last:
+        sides = [F.max(F.when(F.col("node") % 2 == k, F.col("scores"))).alias(name) for k, name in enumerate(("left", "right"))]
+        pairs = cut(rows.groupBy(*keys, F.shiftright("node", 1).alias("above")).agg(*sides).withColumnRenamed("above", "node"))
+        levels.append(pairs)
+        both = F.array(*[F.greatest(*[score("left", a, m) + score("right", m, b) for m in states]) for a in states for b in states])
+        joined = F.when(F.col("left").isNull(), F.col("right")).when(F.col("right").isNull(), F.col("left")).otherwise(both)
+        rows = pairs.select(*keys, "node", joined.alias("scores"))
+        last >>= 1
+    way = rows.select(*keys, "node", F.lit(0).alias("entry_state"), first_best([score("scores", 0, b) for b in states]).alias("leave_state"))
+    for pairs in reversed(levels):
+        entry, leave, node = F.col("entry_state"), F.col("leave_state"), F.col("node")
+        middle = first_best([score("left", entry, m) + score("right", m, leave) for m in states])
+        inner = F.when(F.col("right").isNull(), leave).when(F.col("left").isNull(), entry).otherwise(middle)
+        parts = F.array(
+            F.struct((2 * node).alias("node"), entry.alias("entry_state"), F.col("inner").alias("leave_state"), F.col("left").isNotNull().alias("there")),
+            F.struct((2 * node + 1).alias("node"), F.col("inner").alias("entry_state"), leave.alias("leave_state"), F.col("right").isNotNull().alias("there")),
+        )
+        handed = pairs.join(way, [*keys, "node"]).withColumn("inner", inner)
+        way = handed.select(*keys, F.explode(parts).alias("p")).where("p.there").select(*keys, "p.node", "p.entry_state", "p.leave_state")
+    return way.withColumnRenamed("node", "chunk")
+
+
 def most_likely_paths(
     likelihoods: DataFrame, keys: list[str], sums: list[str], transition: float = TRANSITION, chunk: int = CHUNK
 ) -> DataFrame:
     """Runs of equal state along the most likely path of each chain.
 
     Chains are cut in chunks of positions, so that no task holds a whole chain. Per chunk the best score for
-    every pair of bounding states is found first; a pass over these small tables fixes the states at the
-    chunk bounds; then each chunk finds its own path between them. The result is the one of the whole chain.
+    every pair of bounding states is found first; these small tables are combined pairwise, which fixes the states at
+    the chunk bounds; then each chunk finds its own path between them. The result is the one of the whole chain.
     """
     chunked = likelihoods.withColumn("chunk", F.floor(F.col("ord") / chunk))
     lls = [f"ll_{s}" for s in STATES]
@@ -345,23 +387,6 @@ def most_likely_paths(
             {**{k: [pdf[k].iloc[0]] for k in [*keys, "chunk"]}, "scores": [chunk_scores(ll, moves).ravel()]}
         )
 
-    def bound_states(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        tables = [np.asarray(s).reshape(size, size) for s in pdf["scores"]]
-        score = np.array([0.0] + [-np.inf] * (size - 1))
-        back = []
-        for table in tables:
-            options = score[:, None] + table
-            back.append(options.argmax(axis=0))
-            score = options.max(axis=0)
-        leave = [int(score.argmax())]
-        for pointers in reversed(back):
-            leave.append(int(pointers[leave[-1]]))
-        leave.reverse()
-        out = pdf[[*keys, "chunk"]].copy()
-        out["entry_state"], out["leave_state"] = leave[:-1], leave[1:]
-        return out
-
     def chunk_runs(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
         path = best_path(
@@ -383,9 +408,7 @@ def most_likely_paths(
     scored = chunked.select(*keys, "chunk", "ord", *lls).groupBy(*keys, "chunk").applyInPandas(
         score_chunk, f"{key_types}, chunk long, scores array<double>"
     )
-    bounds = scored.groupBy(*keys).applyInPandas(
-        bound_states, f"{key_types}, chunk long, entry_state int, leave_state int"
-    )
+    bounds = bound_states(scored, keys)
     wanted = [*keys, "chunk", "ord", "start_bp", "end_bp", *dict.fromkeys([*lls, *sums])]
     runs = (
         chunked.select(*wanted)

@@ -43,6 +43,26 @@ def test_path_is_the_best_of_all_paths():
         assert np.isclose(scores[0].max(), value(best))
 
 
+def test_bound_states_of_a_thousand_chunks(spark):
+    rng = np.random.default_rng(9)
+    size, rows, expected = len(rc.STATES), [], {}
+    for chain, count in (("one", 1), ("two", 2), ("many", 1000), ("gaps", 700)):
+        tables = rng.integers(-9, 9, size=(count, size, size)).astype(float)  # with ties
+        chunks = sorted(rng.choice(1000, size=count, replace=False).tolist()) if chain == "gaps" else list(range(count))
+        rows += [(chain, c, t.ravel().tolist()) for c, t in zip(chunks, tables, strict=True)]
+        best = np.array([0.0] + [-np.inf] * (size - 1))
+        for t in tables:
+            best = (best[:, None] + t).max(axis=0)
+        expected[chain] = (chunks, tables, best.max())
+    scored = spark.createDataFrame(rows, "chain string, chunk long, scores array<double>")
+    found = rc.bound_states(scored, ["chain"]).orderBy("chain", "chunk").collect()
+    for chain, (chunks, tables, best) in expected.items():
+        mine = [r for r in found if r.chain == chain]
+        assert [r.chunk for r in mine] == chunks and mine[0].entry_state == 0
+        assert all(a.leave_state == b.entry_state for a, b in zip(mine, mine[1:]))
+        assert sum(t[r.entry_state, r.leave_state] for r, t in zip(mine, tables, strict=True)) == best
+
+
 def test_chunked_paths_equal_whole_chains(spark):
     rng = np.random.default_rng(7)
     rows = []
