@@ -191,3 +191,9 @@ def test_sample_files_hold_one_sample_each_in_order(spark, tmp_path):
     lines = (tmp_path / "out" / "S3.tsv").read_text().splitlines()
     assert lines[0] == "contig\tstart_bp\tn" and [int(x.split("\t")[1]) for x in lines[1:]] == list(range(100))
     assert sum(x.endswith("NA") for x in lines) == 12
+
+
+def test_rows_without_a_sample_are_refused(spark, tmp_path):
+    frame = spark.createDataFrame([("S1", 1), (None, 2)], "sample_name string, n long")
+    with pytest.raises(Exception, match="belong to no file"):
+        writers.write_sample_files(frame, str(tmp_path / "refused"), ".tsv", ["n"], ["n"]).collect()
