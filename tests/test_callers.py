@@ -257,6 +257,26 @@ def test_registered_chain_reports_the_planted_deletion(spark, middle):
     assert sorted(map(tuple, calls.itertuples(index=False))) == COHORT_CALLS
 
 
+def test_reads_to_gene_table_has_the_genes_of_the_deletions(spark, middle):
+    table = QUERIES["reads_to_gene_table"](spark, middle).toPandas()
+    exons = view(spark, middle, "fx_exons").where("source IN ('ensembl', 'ensembl_havana', 'havana')").toPandas()
+    expected = set()
+    for _, sample, contig, start, end, kind in COHORT_CALLS:
+        if kind == "del":
+            hit = exons[(exons.contig == contig) & (exons.start_bp <= end) & (exons.end_bp >= start)]
+            expected |= {(sample, gene) for gene in hit.gene_id}
+    assert len(expected) > 10
+    assert set(zip(table.sample_name, table.gene_id)) == expected
+
+
+def test_calls_of_clusters_only(spark, middle):
+    calls = QUERIES["cohort_calls_clusters_only"](spark, middle).toPandas()
+    labels = QUERIES["batch_samples"](spark, middle).toPandas()
+    assert set(calls.sample_name) <= set(labels[labels.label >= 0].sample_name)
+    # The sample with the planted deletion is the one that no cluster took.
+    assert labels[labels.label < 0].sample_name.tolist() == ["S05"] and len(calls) > 0
+
+
 def test_chain_reports_failed_samples_and_annotates(spark, middle):
     found = pipeline.cohort_calls(
         view(spark, middle, "fx_targets"),
