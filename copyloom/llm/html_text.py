@@ -7,7 +7,10 @@ such element, all nodes below the body that are at least as dense as the thinnes
 body, itself included, count too, with the heaviest subtree in each. Headings are short and so never dense: one of the first
 level counts anywhere, another one if a block of the article follows. Menus, headers, footers, sidebars, notices, adverts, forms and reader comments are known by their
 elements, roles, and class and id words, and are left out before densities are computed. Class and id words also name what a
-wrapper has (`has-sidebar`), so a part that only they name stays if it is the page's frame, see `_frames`.
+wrapper has (`has-sidebar`), so a part that only they name stays if it is the page's frame, see `_frames`. Ids are often made
+from headings: a heading's own id never counts, nor does one that repeats the heading a section opens with. Inside an article or
+main element, names count only if all their words are words for parts (`related-posts`, but not `related-work`), and never on
+headings. Beside a chosen article, what is dense enough in its main element counts, or, without one, the articles next to it.
 
 Nulls and edge cases: null or empty HTML gives an empty text; text outside any element belongs to the body; elements that
 are never closed end with the page, as HTML has it; a `<` that opens nothing is text; repeated rows and null ids give a row
@@ -19,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,10 +31,14 @@ from pyspark.sql import functions as F
 
 # Element names. Fixed values of the language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes template svg".split())
+# Further spellings of a formula, which browsers do not show.
+UNSHOWN = frozenset(("annotation", "annotation-xml"))
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover "
+    "mtable mtr mtd semantics".split()
 )
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -54,6 +62,13 @@ OTHERS = (
     r"comments?|commentlist|disqus|replies|respond"
 )
 PARTS = re.compile(rf"(?:^|[\s_-])(?:{LAYOUT}|(?P<others>{OTHERS}))(?=$|[\s_-])", re.I)
+# Words that go with them in names of parts, as against words of a heading, and names of headers, which articles have too.
+BESIDE = (
+    r"list|items?|box|wrap|wrapper|container|block|section|area|form|posts?|articles?|stories|links?|buttons?|icons?|bar|top|bottom|left|"
+    r"right|inner|outer|content|main|primary|secondary|unit|slot|title|thread|user|reader|site|page|post|entry|inline|group|\d+"
+)
+WHOLE = re.compile(rf"(?:(?:{LAYOUT}|{OTHERS}|{BESIDE})(?:[_-]+|$))+", re.I)
+HEADERS = re.compile(r"(?:^|[_-])(?:header|masthead|banner)$", re.I)
 # Words behind these say what a wrapper has or lacks.
 STATE = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|without|no)[_-]\S*", re.I)
 ARTICLE = frozenset(("article", "main"))
@@ -67,32 +82,48 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?
 
 class Node:
     """A block element with the counts of its subtree. `named` says whether class or id words name it as a part: 0 no,
-    1 of the layout, 2 of what others wrote. `dropped` is final once `_frames` has looked at the named ones."""
+    1 of the layout, 2 of what others wrote; `slug` is the id if only the id does. `dropped` is final once `_frames` has looked at the named ones."""
 
-    __slots__ = ("tag", "parent", "main", "named", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "main", "named", "slug", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, main: bool = False) -> None:
-        self.tag, self.parent, self.dropped, self.main, self.named = tag, parent, dropped, main, 0
+        self.tag, self.parent, self.dropped, self.main, self.named, self.slug = tag, parent, dropped, main, 0, ""
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _named(value: str) -> int:
+def _named(value: str, in_article: bool) -> int:
     """What a class or an id names, as in `Node.named`."""
     if not PARTS.search(value):
         return 0
+    if in_article:
+        value = " ".join(name for name in value.split() if WHOLE.fullmatch(name) and not HEADERS.search(name))
     found = [m["others"] for m in PARTS.finditer(STATE.sub(" ", value))]
     return 1 + any(found) if found else 0
 
 
-def _part(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, int]:
-    """Whether an element is no part of the article, whether it is marked as the main one, and what its words name."""
-    dropped, role, named = tag in DROPPED or (tag == "header" and not in_article), "", 0
+def _slug(text: str) -> str:
+    """A heading's text as ids are made from it."""
+    return "-".join(re.findall(r"\w+", text.lower()))
+
+
+def _part(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, int, str]:
+    """Whether an element is no part of the article, whether it is marked as the main one, what its words name, and its id if
+    only the id names that."""
+    dropped, role, named, slug = tag in DROPPED or (tag == "header" and not in_article), "", 0, ""
+    by_class, nameless = 0, ("body", "html", *ARTICLE)
     if attributes and not dropped:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
-                named = max(named, _named(value)) if tag not in ("body", "html", "article", "main") else 0
+                if tag in nameless or (tag in HEADINGS and (in_article or name == "id")):
+                    continue
+                found = _named(value, in_article)
+                named = max(named, found)
+                if name == "class":
+                    by_class = max(by_class, found)
+                elif found:
+                    slug = _slug(value.replace("_", "-"))
             elif name == "role":
                 role = value.lower()
             elif name == "hidden":
@@ -101,7 +132,7 @@ def _part(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, int]
                 dropped |= value.lower() == "true"
             else:
                 dropped |= re.search(r"display\s*:\s*none", value, re.I) is not None
-    return dropped or role in ROLES, tag in ARTICLE or role == "main", named
+    return dropped or role in ROLES, tag in ARTICLE or role == "main", named, "" if by_class else slug
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
@@ -109,13 +140,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     root = Node("html", None, False)
     nodes, blocks = [root], []
     open_: list[tuple[str, Node]] = [("html", root)]  # elements, inline ones with the block they are in
+    count = Counter(("html",))  # of open elements, so that a search that must fail does not walk
     links, texts, at, size = 0, [], 0, len(page)
 
     def flush() -> None:
         if texts:
             text = " ".join("".join(texts).split())
             if text:
-                blocks.append((open_[-1][1], text))
+                node = open_[-1][1]
+                blocks.append((node, text))
+                if node.tag in HEADINGS:
+                    _opened(node, text)
             texts.clear()
 
     def pop(place: int) -> None:
@@ -123,8 +158,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if any(t not in INLINE for t, _ in open_[place:]):
             flush()
         links -= sum(t == "a" for t, _ in open_[place:])
+        count.subtract(t for t, _ in open_[place:])
         del open_[place:]
 
+    def push(tag: str, node: Node) -> None:
+        open_.append((tag, node))
+        count[tag] += 1
+
     def add(text: str) -> None:
         node = open_[-1][1]
         if text and not node.dropped:
@@ -147,6 +187,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         tag = m[2].lower()
         if m[1]:
+            if not count[tag]:
+                continue
             for place in range(len(open_) - 1, 0, -1):
                 if open_[place][0] == tag:
                     pop(place)
@@ -154,6 +196,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 if tag in INLINE and open_[place][0] not in INLINE:
                     break  # an inline end tag closes no block
             continue
+        if tag in UNSHOWN:
+            end = re.compile(rf"</{tag}\s*>?", re.I).search(page, at)
+            at = end.end() if end else size
+            continue
         if tag in INLINE:
             node = open_[-1][1]
             node.tags += 1
@@ -161,13 +207,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             if tag == "br":
                 texts.append(" ")
             elif tag not in VOID and not m[3].endswith("/"):
-                open_.append((tag, node))
+                push(tag, node)
                 links += tag == "a"
             continue
         if tag == "html":
             continue
         closed, until = CLOSES.get(tag, (frozenset(), frozenset()))
-        for place in range(len(open_) - 1, 0, -1):
+        for place in range(len(open_) - 1, 0, -1) if any(count[t] for t in closed) else ():
             name = open_[place][0]
             if name in closed:
                 pop(place)
@@ -175,7 +221,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                     break
             elif name in until:
                 break
-        for place in range(len(open_) - 1, 0, -1):  # a block ends an open paragraph, and the body the head
+        # A block ends an open paragraph, and the body the head.
+        for place in range(len(open_) - 1, 0, -1) if count["p"] or count["head"] else ():
             if open_[place][0] == "p" or (open_[place][0] == "head" and (tag == "body" or tag not in RAW | VOID)):
                 pop(place)
                 break
@@ -183,9 +230,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 break
         flush()
         parent = open_[-1][1]
-        dropped, main, named = _part(tag, m[3], parent.main)
+        dropped, main, named, slug = _part(tag, m[3], parent.main)
         node = Node(tag, parent, parent.dropped or dropped, main or (parent.main and tag not in ARTICLE))
-        node.named = named
+        node.named, node.slug = named, slug
         nodes.append(node)
         if tag in VOID:
             continue
@@ -193,12 +240,27 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             end = re.compile(rf"</{re.escape(tag)}[^>]*>?", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        open_.append((tag, node))
+        push(tag, node)
+        if tag == "xmp":  # its tags are text
+            end = re.compile(r"</xmp\s*>?", re.I).search(page, at)
+            add(entities.escape(page[at : end.start() if end else size]))
+            at = end.end() if end else size
+            pop(len(open_) - 1)
     flush()
     _frames(nodes)
     return nodes, blocks
 
 
+def _opened(heading: Node, text: str) -> None:
+    """Forgets what the id of the part around a heading names, if the id was made from the heading's text. Reader comments and
+    adverts can have such a heading too, so their words have to stand beside others in it."""
+    up, slug = heading.parent, _slug(text)
+    while up is not None and up.tag in ("header", "hgroup"):
+        up = up.parent
+    if up is not None and up.slug and up.slug == slug and (up.named == 1 or not WHOLE.fullmatch(slug)):
+        up.named, up.slug = 0, ""
+
+
 def _frames(nodes: list[Node]) -> None:
     """Drops the subtrees that class or id words name, unless they are the frame of the page.
 
@@ -275,8 +337,9 @@ def _subtree(nodes: list[Node], top: Node) -> set[Node]:
 
 
 def select(nodes: list[Node]) -> tuple[Node, Node, float]:
-    """The subtree that holds the article; the article or main element it is in, else the body; and the density from which on
-    other nodes below the body belong to the article, the thinnest on the way from the subtree to the body."""
+    """The subtree that holds the article, the article or main element if there is one; the column other parts of it can be in:
+    the main element around an article or else what holds it, the main element itself, or the body; and the density from which
+    on nodes of the column belong to the article, the thinnest on the way from the densest subtree to the column."""
     body = measure(nodes)
     below = _subtree(nodes, body)
     inside = [n for n in nodes if n in below and not n.dropped] or [body]
@@ -287,9 +350,15 @@ def select(nodes: list[Node]) -> tuple[Node, Node, float]:
     while up is not body and up.parent is not None:
         up = up.parent
         path.append(up)
-    marked = next((n for n in path if n.tag == "article"), None) or next((n for n in reversed(path) if n.main), None)
-    if marked is not None:
-        return marked, marked, 0.0
+    article = next((n for n in path if n.tag == "article"), None)
+    main = next((n for n in reversed(path) if n.main and n.tag != "article"), None)
+    if article is not None:
+        column = main if main is not None and main in path[path.index(article) :] else article.parent
+        if column is None or column is article or column not in below:
+            return article, article, 0.0
+        return article, column, min(n.density for n in path[: path.index(column) + 1])
+    if main is not None:
+        return main, main, 0.0
     return best, body, min(n.density for n in path)
 
 
@@ -311,6 +380,29 @@ def _dense(nodes: list[Node], threshold: float) -> set[Node]:
     return found | whole
 
 
+def _articles(nodes: list[Node], around: Node) -> set[Node]:
+    """The articles right below a node, and all nodes in them."""
+    found: set[Node] = set()
+    for node in nodes:
+        if node.parent in found or (node.parent is around and node.tag == "article"):
+            found.add(node)
+    return found
+
+
+def _leads(blocks: list[tuple[Node, str]], article: Node, main: Node) -> set[Node]:
+    """Paragraphs right below the main element and before the article in it, which can be too short to be dense."""
+    found = set()
+    for node, _ in blocks:
+        up = node
+        while up is not None and up is not article:
+            up = up.parent
+        if up is article:
+            break
+        if node.tag == "p" and node.parent is main and not node.dropped and 2 * node.link_chars < node.chars:
+            found.add(node)
+    return found
+
+
 def _headings(blocks: list[tuple[Node, str]], column: set[Node], wanted: set[Node]) -> set[Node]:
     """Headings of the article that stand outside its nodes, as they are short and so never dense: those of the first level, and
     the others that a wanted block follows. Headings that are mostly links are none."""
@@ -337,8 +429,12 @@ def main_text(page: str | None) -> str:
     wanted = {n for n in core if not n.dropped}
     if around is not top:
         column = _subtree(nodes, around)
-        wanted |= _dense([n for n in nodes if n in column and not n.dropped], threshold)
+        if top.tag == "article" and not around.main:
+            column = _articles(nodes, around)
+        wanted |= _dense([n for n in nodes if n in column and n is not around and not n.dropped], threshold)
         wanted |= _headings(blocks, column, wanted)
+        if top.tag == "article" and around.main:
+            wanted |= _leads(blocks, top, around)
     return "\n\n".join(text for node, text in blocks if node in wanted)
 
 

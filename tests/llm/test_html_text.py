@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +99,50 @@ def test_named_parts_that_are_no_frame():
     assert main_text(f"<body><div class=sidebar><article>{LONG}</article></div><article>{PARAGRAPHS}</article></body>") == TEXT
     assert main_text(f"<main><p>{LONG * 4}</p><div class=related><article><p>{LONG}</p></article></div></main>") == (LONG * 4).strip()
     assert main_text(f"<main><div class='page sidebar-left'><article>{PARAGRAPHS}</article></div></main>") == TEXT
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<h2 id='related-work'>Part</h2>",
+        "<h2 class='section-header'>Part</h2>",
+        f"<section id='search-algorithms'><p>{LONG}x</p></section>",
+        f"<section id='related'><h2>Related</h2><p>{LONG}x</p></section>",
+        f"<section id='advert-history-of-x'><h2>Advert history of X</h2><p>{LONG}x</p></section>",
+        f"<div class='section-header'><h2>Part</h2></div><p>{LONG}x</p>",
+        "<h2 id='comments-on-x'>Part</h2>",
+    ],
+)
+def test_names_made_from_headings(part):
+    words = " ".join(re.sub("<[^>]*>", " ", part).split())
+    for page in (f"<article>{PARAGRAPHS}{part}<p>{LONG}9</p></article>", f"<main>{PARAGRAPHS}{part}<p>{LONG}9</p></main>"):
+        assert " ".join(main_text(page).split()) == " ".join(f"{TEXT} {words} {LONG}9".split())
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "related-posts", "share-buttons", "ad-slot-3", "newsletter", "sidebar"])
+def test_parts_inside_an_article(name):
+    for attribute in ("class", "id"):
+        part = f"<div {attribute}={name}><h3>Comments</h3><p>{LONG * 2}</p></div>"
+        assert main_text(f"<article>{PARAGRAPHS}{part}</article>") == TEXT
+
+
+def test_parts_beside_an_article():
+    one, two = f"<article>{HALF}</article>", f"<article>{SECOND}</article>"
+    assert main_text(f"<body><div>{MENU}</div><div>{one}{two}</div></body>") == TEXT
+    assert main_text(f"<body><main>{one}<div>{two}</div>{MENU}</main></body>") == TEXT
+    assert main_text(f"<main><p>Intro.</p><article>{PARAGRAPHS}</article><p>Short.</p></main>") == "Intro.\n\n" + TEXT
+    teaser = "<article><h3><a href=x>Other news of the day</a></h3><p>Read on</p></article>"
+    assert main_text(f"<body>{MENU}<article>{PARAGRAPHS}</article>{teaser * 3}<div>{LONG}</div></body>") == TEXT
+
+
+def test_formulas_and_literal_text():
+    math = "<math><semantics><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow><annotation>\\a+b</annotation></semantics></math>"
+    assert main_text(f"<article><p>Sum {math} here</p><xmp>a <b> &amp; c</xmp></article>") == "Sum a+b here\n\na <b> &amp; c"
+
+
+def test_time_of_failing_searches():
+    began = time.process_time()
+    assert main_text("<div>" * 40_000 + "deep") == "deep"
+    assert main_text("<b>x</i></p>" * 40_000) == "x" * 40_000
+    assert main_text("<div>" * 20_000 + "<option>a" * 20_000 + "</select></ul>" * 20_000) != ""
+    assert time.process_time() - began < 20
