@@ -15,6 +15,7 @@ from copyloom.operators import dispersion as ds
 from copyloom.operators import genes as g
 from copyloom.operators import intervals as iv
 from copyloom.operators import poisson_caller as pc
+from copyloom.operators import poisson_factors as pf
 from copyloom.operators import ratio_caller as rc
 from copyloom.operators import reads as rd
 from copyloom.plans import gene_table, pipeline
@@ -879,6 +880,12 @@ def expected_counts(spark, sf):
     return r6(pc.expected_counts(k0(spark, sf)).select("label", "sample_name", "region_id", "n", "k", "expected"), "expected")
 
 
+@query
+def poisson_factor_bic(spark, sf):
+    """BIC of each number of latent factors, fitted to counts, per group and contig."""
+    return r6(pc.latent_bic(pf.poisson_models(k0(spark, sf))), "bic")
+
+
 def scanned(spark: SparkSession, sf: str) -> DataFrame:
     return pc.scan_windows(pc.chains(cut(k0(spark, sf))))
 

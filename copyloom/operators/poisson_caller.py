@@ -9,6 +9,8 @@ are no candidates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -150,9 +152,14 @@ def latent_bic(models: DataFrame, factors: tuple[int, ...] = LATENT_FACTORS) ->
     return per_group.select("label", "contig", F.explode(F.array(*rows)).alias("m")).select("label", "contig", "m.k", "m.bic")
 
 
-def expected_counts(k0: DataFrame, factors: tuple[int, ...] = LATENT_FACTORS) -> DataFrame:
-    """Expected counts under the best number of latent factors of each group and contig."""
-    models = cut(latent_models(k0, factors))
+def expected_counts(
+    k0: DataFrame, factors: tuple[int, ...] = LATENT_FACTORS, models: Callable[..., DataFrame] = latent_models
+) -> DataFrame:
+    """Expected counts under the best number of latent factors of each group and contig.
+
+    `models` fits them: `latent_models`, or `poisson_factors.poisson_models`, which fits counts as counts.
+    """
+    models = cut(models(k0, factors))
     chosen = best_k(latent_bic(models, factors), ("label", "contig")).select("label", "contig", "k")
     at = F.array_position(F.array(*[F.lit(k) for k in factors]), F.col("k")).cast("int")
     return (
@@ -169,8 +176,13 @@ def score_windows(y: np.ndarray, l: np.ndarray) -> np.ndarray:
     return np.where(np.rint(2 * y / l) == 2, -np.inf, score)
 
 
-def best_windows(n: np.ndarray, expected: np.ndarray, starts: int, lmax: int, least: float) -> pd.DataFrame:
-    """Best window from each of the first `starts` regions, and the farthest end of a candidate window."""
+def best_windows(
+    n: np.ndarray, expected: np.ndarray, starts: int, lmax: int, least: float, stop: np.ndarray | None = None
+) -> pd.DataFrame:
+    """Best window from each of the first `starts` regions, and the farthest end of a candidate window.
+
+    A window from region i ends before region `stop[i]`, if that is given.
+    """
     y, l = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0.0], np.cumsum(expected)])
     best = np.full(starts, -np.inf)
     width = np.zeros(starts, dtype=np.int64)
@@ -179,6 +191,8 @@ def best_windows(n: np.ndarray, expected: np.ndarray, starts: int, lmax: int, le
         valid = min(starts, len(n) - w + 1)
         at = np.arange(valid)
         score = score_windows((y[at + w] - y[at]).astype(float), l[at + w] - l[at])
+        if stop is not None:
+            score = np.where(at + w <= stop[:valid], score, -np.inf)
         better = score > best[:valid]
         best[:valid][better] = score[better]
         width[:valid][better] = w
@@ -200,6 +214,43 @@ def chains(expected: DataFrame) -> DataFrame:
     )
 
 
+WINDOWS = "region_id long, st_ord long, ed_ord long, reach_ord long, raw_cov double, norm_cov double, lratio double"
+
+
+def _key_types(rows: DataFrame) -> str:
+    types = dict(rows.dtypes)
+    return ", ".join(f"{k} {types[k]}" for k in CHAIN)
+
+
+def _scan_cells(chained: DataFrame, lmax: int, chunk: int) -> DataFrame:
+    """Every region under the chunk of its position and under those whose windows can reach it."""
+    first = F.greatest(F.lit(0), F.floor((F.col("ord") - (lmax - 1)) / chunk))
+    return chained.select(*CHAIN, "region_id", "ord", "n", "expected").withColumn(
+        "chunk", F.explode(F.sequence(first, F.floor(F.col("ord") / chunk)))
+    )
+
+
+def _scan_chunk(pdf: pd.DataFrame, lmax: int, least: float, chunk: int, taken: pd.DataFrame | None = None) -> pd.DataFrame:
+    """Best window from every start of one chunk; none goes into a window of `taken`."""
+    pdf = pdf.sort_values("ord", ignore_index=True)
+    own, stop = int((pdf["ord"] // chunk == pdf["chunk"]).sum()), None
+    if taken is not None and len(taken) and len(pdf):
+        place = pdf["ord"].to_numpy()
+        stop = np.full(len(pdf), len(pdf))
+        for st, ed in zip(taken["st_ord"], taken["ed_ord"], strict=True):
+            a, b = np.searchsorted(place, st), np.searchsorted(place, ed, side="right")
+            stop[a:b] = np.arange(a, b)
+        stop = np.minimum.accumulate(stop[::-1])[::-1]
+    found = best_windows(pdf["n"].to_numpy(), pdf["expected"].to_numpy(), own, lmax, least, stop)
+    out = pdf.loc[: own - 1, [*CHAIN, "region_id"]].copy()
+    out["st_ord"] = pdf["ord"].iloc[:own]
+    out["ed_ord"] = out["st_ord"] + found["width"] - 1
+    out["reach_ord"] = np.where(found["reach"] >= 0, out["st_ord"] + found["reach"], -1)
+    for c in ("raw_cov", "norm_cov", "lratio"):
+        out[c] = found[c]
+    return out[found["width"].to_numpy() > 0]
+
+
 def scan_windows(
     chained: DataFrame, lmax: int = LONGEST_WINDOW, least: float = MIN_LRATIO, chunk: int = CHUNK
 ) -> DataFrame:
@@ -208,30 +259,11 @@ def scan_windows(
     A task takes a chunk of start positions and the lmax - 1 regions after it, so the work per task is bounded and
     windows are never turned into rows.
     """
-    types = dict(chained.dtypes)
-    first = F.greatest(F.lit(0), F.floor((F.col("ord") - (lmax - 1)) / chunk))
-    spread = chained.select(*CHAIN, "region_id", "ord", "n", "expected").withColumn(
-        "chunk", F.explode(F.sequence(first, F.floor(F.col("ord") / chunk)))
-    )
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", ignore_index=True)
-        own = int((pdf["ord"] // chunk == pdf["chunk"]).sum())
-        found = best_windows(pdf["n"].to_numpy(), pdf["expected"].to_numpy(), own, lmax, least)
-        out = pdf.loc[: own - 1, [*CHAIN, "region_id"]].copy()
-        out["st_ord"] = pdf["ord"].iloc[:own]
-        out["ed_ord"] = out["st_ord"] + found["width"] - 1
-        out["reach_ord"] = np.where(found["reach"] >= 0, out["st_ord"] + found["reach"], -1)
-        for c in ("raw_cov", "norm_cov", "lratio"):
-            out[c] = found[c]
-        return out[found["width"].to_numpy() > 0]
-
-    key_types = ", ".join(f"{k} {types[k]}" for k in CHAIN)
-    return spread.groupBy(*CHAIN, "chunk").applyInPandas(
-        scan,
-        f"{key_types}, region_id long, st_ord long, ed_ord long, reach_ord long, "
-        "raw_cov double, norm_cov double, lratio double",
-    )
+        return _scan_chunk(pdf, lmax, least, chunk)
+
+    return _scan_cells(chained, lmax, chunk).groupBy(*CHAIN, "chunk").applyInPandas(scan, f"{_key_types(chained)}, {WINDOWS}")
 
 
 def best_scan_window(windows: DataFrame) -> DataFrame:
@@ -246,34 +278,83 @@ def best_scan_window(windows: DataFrame) -> DataFrame:
     )
 
 
-def candidate_spans(windows: DataFrame) -> DataFrame:
-    """Stretches of a chain covered by candidate windows; no candidate crosses from one stretch to the next."""
-    reaching = windows.where("reach_ord >= 0")
-    order = Window.partitionBy(*CHAIN).orderBy("st_ord")
-    earlier = F.max("reach_ord").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        reaching.withColumn("_new", F.when(F.col("st_ord") <= earlier, 0).otherwise(1))
-        .withColumn("span", F.sum("_new").over(order))
-        .groupBy(*CHAIN, "span")
-        .agg(F.min("st_ord").alias("first"), F.max("reach_ord").alias("last"))
-    )
-
+def unbeaten(start: np.ndarray, end: np.ndarray, reach: np.ndarray, score: np.ndarray, own: np.ndarray, lmax: int) -> np.ndarray:
+    """Which of the windows marked by `own` no start's best window beats, among starts with a candidate that touches them.
 
-def pick_windows(n: np.ndarray, expected: np.ndarray, lmax: int, least: float) -> list[tuple[int, int, float]]:
-    """Best window first, then the best of what is left on either side of it, down to the least score."""
-    picked, open_parts = [], [(0, len(n))]
-    while open_parts:
-        a, b = open_parts.pop()
-        if b <= a:
-            continue
-        found = best_windows(n[a:b], expected[a:b], b - a, lmax, least)
-        top = int(found["lratio"].to_numpy().argmax())
-        if found["lratio"].iloc[top] < least:
+    There is one window a start, its best; the larger score wins, then the first start. Among windows that share a start the best
+    decides for all of them, so a start that reaches a window is compared by its best window, though that may end before it.
+    """
+    first = start.min()
+    size = int(start.max() - first) + 1
+    at = np.full(size, -np.inf)
+    far = np.full(size, -1, dtype=np.int64)
+    at[start - first], far[start - first] = score, reach
+    s, e, mine = start[own] - first, end[own] - first, score[own]
+    lost = np.zeros(len(s), dtype=bool)
+    for d in range(1 - lmax, lmax):
+        if d == 0:
             continue
-        s, e = a + top, a + top + int(found["width"].iloc[top])
-        picked.append((s, e - 1, float(found["lratio"].iloc[top])))
-        open_parts += [(a, s), (e, b)]
-    return picked
+        t = s + d
+        inside = (t >= 0) & (t < size) & (t <= e)
+        t = np.clip(t, 0, size - 1)
+        touches = inside & (far[t] >= s + first)
+        lost |= touches & ((at[t] > mine) | ((at[t] == mine) & (d < 0)))
+    out = np.zeros(len(start), dtype=bool)
+    out[np.flatnonzero(own)[~lost]] = True
+    return out
+
+
+def _near_chunks(windows: DataFrame, before: Column, after: Column, chunk: int) -> DataFrame:
+    """Windows under every chunk of start positions from `before` to `after`."""
+    first = F.greatest(F.lit(0), F.floor(before / chunk))
+    return windows.withColumn("chunk", F.explode(F.sequence(first, F.floor(after / chunk))))
+
+
+def pick_windows(
+    chained: DataFrame, lmax: int = LONGEST_WINDOW, least: float = MIN_LRATIO, chunk: int = CHUNK
+) -> DataFrame:
+    """(*CHAIN, st_ord, ed_ord, lratio): the windows a greedy choice takes, best first, none touching another.
+
+    In a round every window is taken that is the best among those it touches: nothing a greedy choice takes earlier can touch it.
+    Starts near the taken ones are scanned again for what is left beside them, until no window of the least score is left. A
+    task sees one chunk of start positions and the `lmax` positions on either side; the overall best is taken in every round.
+    """
+    names = ["st_ord", "ed_ord", "reach_ord", "lratio"]
+    key_types = _key_types(chained)
+    where = [*CHAIN, "chunk"]
+    windows = cut(scan_windows(chained, lmax, least, chunk).where("reach_ord >= 0").select(*CHAIN, *names))
+    occupied = windows.select(*CHAIN, F.floor(F.col("st_ord") / chunk).alias("chunk")).distinct()
+    cells = cut(_scan_cells(chained, lmax, chunk).join(small_table(occupied), where, "left_semi"))
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        start = pdf["st_ord"].to_numpy()
+        own = start // chunk == pdf["chunk"].to_numpy()
+        good = unbeaten(start, pdf["ed_ord"].to_numpy(), pdf["reach_ord"].to_numpy(), pdf["lratio"].to_numpy(), own, lmax)
+        return pdf.loc[good, [*CHAIN, "st_ord", "ed_ord", "lratio"]]
+
+    def scan_again(pdf: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame(columns=[*CHAIN, *names])
+        out = _scan_chunk(pdf, lmax, least, chunk, taken)
+        return out.loc[out["reach_ord"] >= 0, [*CHAIN, *names]]
+
+    picked = None
+    while not windows.isEmpty():
+        around = _near_chunks(windows, F.col("st_ord") - (lmax - 1), F.col("st_ord") + (lmax - 1), chunk)
+        found = cut(around.groupBy(*where).applyInPandas(choose, f"{key_types}, st_ord long, ed_ord long, lratio double"))
+        picked = found if picked is None else picked.unionByName(found)
+        touched = _near_chunks(found, F.col("st_ord") - (lmax - 1), F.col("ed_ord"), chunk).select(*where).distinct()
+        touched = small_table(touched)
+        taken = _near_chunks(picked, F.col("st_ord") - (lmax - 1), F.col("ed_ord"), chunk).join(touched, where, "left_semi")
+        again = (
+            cells.join(touched, where, "left_semi")
+            .groupBy(*where)
+            .cogroup(taken.groupBy(*where))
+            .applyInPandas(scan_again, f"{key_types}, st_ord long, ed_ord long, reach_ord long, lratio double")
+        )
+        kept = windows.withColumn("chunk", F.floor(F.col("st_ord") / chunk)).join(touched, where, "left_anti").drop("chunk")
+        windows = cut(kept.unionByName(again))
+    return windows.select(*CHAIN, "st_ord", "ed_ord", "lratio") if picked is None else picked
 
 
 def modified_bic(starts: np.ndarray, ends: np.ndarray, scores: np.ndarray, regions: int) -> np.ndarray:
@@ -294,34 +375,21 @@ def call_poisson_scan(
 ) -> DataFrame:
     """Caller B's table: non-overlapping windows, best first, as many per chain as the modified BIC allows."""
     chained = cut(chained)
-    spans = candidate_spans(scan_windows(chained, lmax, least, chunk))
-    types = dict(chained.dtypes)
-    key_types = ", ".join(f"{k} {types[k]}" for k in CHAIN)
-    inside = spans.select(*CHAIN, "span", F.explode(F.sequence("first", "last")).alias("ord"))
-    covered = chained.join(inside, [*CHAIN, "ord"])
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", ignore_index=True)
-        n, expected = pdf["n"].to_numpy(), pdf["expected"].to_numpy()
-        rows = [
-            {
-                **{k: pdf[k].iloc[0] for k in CHAIN},
-                "st_ord": pdf["ord"].iloc[s],
-                "ed_ord": pdf["ord"].iloc[e],
-                "st_bp": pdf["start_bp"].iloc[s],
-                "ed_bp": pdf["end_bp"].iloc[s : e + 1].max(),
-                "raw_cov": float(n[s : e + 1].sum()),
-                "norm_cov": float(expected[s : e + 1].sum()),
-                "lratio": score,
-            }
-            for s, e, score in pick_windows(n, expected, lmax, least)
-        ]
-        return pd.DataFrame(rows, columns=[*CHAIN, "st_ord", "ed_ord", "st_bp", "ed_bp", "raw_cov", "norm_cov", "lratio"])
-
     picked_schema = (
-        f"{key_types}, st_ord long, ed_ord long, st_bp long, ed_bp long, raw_cov double, norm_cov double, lratio double"
+        f"{_key_types(chained)}, st_ord long, ed_ord long, st_bp long, ed_bp long, raw_cov double, norm_cov double, lratio double"
+    )
+    places = pick_windows(chained, lmax, least, chunk).withColumn("ord", F.explode(F.sequence("st_ord", "ed_ord")))
+    picked = (
+        chained.join(small_table(places), [*CHAIN, "ord"])
+        .groupBy(*CHAIN, "st_ord", "ed_ord", "lratio")
+        .agg(
+            F.min_by("start_bp", "ord").alias("st_bp"),
+            F.max("end_bp").alias("ed_bp"),
+            F.sum("n").cast("double").alias("raw_cov"),
+            F.sum("expected").alias("norm_cov"),
+        )
+        .select(*CHAIN, "st_ord", "ed_ord", "st_bp", "ed_bp", "raw_cov", "norm_cov", "lratio")
     )
-    picked = covered.groupBy(*CHAIN, "span").applyInPandas(pick, picked_schema)
     lengths = chained.groupBy("label", "contig").agg((F.max("ord") + 1).alias("regions"))
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:

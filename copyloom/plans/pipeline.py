@@ -12,6 +12,7 @@ from copyloom.operators import coverage as cov
 from copyloom.operators import density as de
 from copyloom.operators import intervals as iv
 from copyloom.operators import poisson_caller as pc
+from copyloom.operators import poisson_factors as pf
 from copyloom.operators import ratio_caller as rc
 from copyloom.operators import reads as rd
 from copyloom.operators.genes import unprocessed
@@ -73,6 +74,7 @@ def cohort_calls(
     by_density: bool = False,
     max_regions: int | None = None,
     overdispersed: bool = False,
+    poisson_factors: bool = False,
     longest_window: int = pc.LONGEST_WINDOW,
     min_lratio: float = pc.MIN_LRATIO,
     common: DataFrame | None = None,
@@ -81,7 +83,8 @@ def cohort_calls(
     """Calls of both callers, sample labels, and failed samples. `done` names samples that already have results.
 
     All regions count for grouping and for the choice of references unless `profile_regions` or `max_regions` ask for
-    fewer. `overdispersed` lets caller A's counts vary more than a binomial does. Caller B covers autosomes, as its model takes two copies for granted; its size factors are genome-wide.
+    fewer. `overdispersed` lets caller A's counts vary more than a binomial does; `poisson_factors` fits caller B's latent factors to
+    counts instead of log residuals. Caller B covers autosomes, as its model takes two copies for granted; its size factors are genome-wide.
     Caller A's table names `common` variants and `exons` (name, contig, start_bp, end_bp) where they are given.
     """
     counts = cut(count_reads(targets, reads))
@@ -99,7 +102,7 @@ def cohort_calls(
     qc = cov.region_qc(grouped, targets, coverage=coverage, by=("label",))
     passed = cut(cov.qc_counts(grouped, qc, by=("label",)))
     k0 = cov.autosomes(pc.expected_k0(passed, cov.library_size_factor(passed, by=("label",))))
-    expected = pc.chains(cut(pc.expected_counts(k0, factors)))
+    expected = pc.chains(cut(pc.expected_counts(k0, factors, pf.poisson_models if poisson_factors else pc.latent_models)))
     poisson_calls = pc.call_poisson_scan(expected, longest_window, min_lratio)
     return CohortCalls(ratio_calls, poisson_calls, labels, failed)
 

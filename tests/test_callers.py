@@ -193,6 +193,42 @@ def test_scan_and_greedy_choice_against_all_windows(spark):
             assert sorted(zip(mine.st_exon - 1, mine.ed_exon - 1)) == sorted((w[1], w[2]) for w in kept)
 
 
+def greedy_choice(n, expected, lmax, least):
+    left, out = sorted(brute_windows(n, expected, lmax), key=lambda w: (-w[0], w[1], w[2])), []
+    while left and left[0][0] >= least:
+        top = left[0]
+        out.append((top[1], top[2]))
+        left = [w for w in left if w[2] < top[1] or w[1] > top[2]]
+    return sorted(out)
+
+
+def test_rounds_of_picks_equal_the_greedy_choice(spark):
+    rng = np.random.default_rng(21)
+    rows, chains = [], {}
+    for sample, copies in (("whole", 0.5), ("gain", 1.5), ("mixed", None), ("none", 1.0), ("ties", 0.0)):
+        expected = rng.uniform(4, 12, size=150) if sample != "ties" else np.full(150, 8.0)
+        ratio = np.repeat(rng.choice([0.0, 0.5, 1.0, 1.5, 2.5], size=30), 5) if copies is None else np.full(150, copies)
+        n = rng.poisson(expected * ratio)
+        chains[sample] = (n, expected)
+        rows += [(0, sample, "A", i, i, 100 * i, 100 * i + 60, int(n[i]), float(expected[i])) for i in range(150)]
+    schema = "label int, sample_name string, contig string, region_id long, ord long, start_bp long, end_bp long, n long, expected double"
+    df = cut(spark.createDataFrame(rows, schema))
+    wanted = {sample: greedy_choice(n, e, 12, 3.0) for sample, (n, e) in chains.items()}
+    assert len(wanted["whole"]) > 5 and len(wanted["mixed"]) > 5
+    # Chunks shorter than a window, of some windows, and of a whole chain.
+    for chunk in (8, 40, 1000):
+        found = pc.pick_windows(df, lmax=12, least=3.0, chunk=chunk).toPandas()
+        for sample in chains:
+            mine = found[found.sample_name == sample]
+            assert sorted(zip(mine.st_ord, mine.ed_ord)) == wanted[sample], (sample, chunk)
+
+
+def test_no_window_to_pick(spark):
+    schema = "label int, sample_name string, contig string, region_id long, ord long, start_bp long, end_bp long, n long, expected double"
+    assert pc.call_poisson_scan(spark.createDataFrame([], schema)).count() == 0
+    assert pc.call_poisson_scan(spark.createDataFrame([(0, "S", "1", 1, 0, 1, 9, 8, 8.0)], schema)).count() == 0
+
+
 def test_caller_b_finds_the_planted_deletion(spark, middle):
     calls = QUERIES["call_poisson_scan"](spark, middle).toPandas()
     best = calls.sort_values("lratio", ascending=False).iloc[0]

@@ -13,6 +13,7 @@ ROWS_ONLY = {
     "density_groups",
     "case_strengths",
     "expected_counts",
+    "poisson_factor_bic",
     "call_poisson_scan",
     "cohort_calls",
     "cohort_calls_clusters_only",
