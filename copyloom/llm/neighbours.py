@@ -4,7 +4,7 @@ Vectors are dealt to shards of about `SHARD_ROWS` by a hash. A task builds the l
 vectors and stores it as one row of flat arrays: ids, vectors, and for each layer the nodes in it and a fixed number of
 neighbours each, -1 where there are fewer. Vectors get one more component that gives them equal length, so that the
 largest inner product is the nearest point. Queries go in blocks to every shard of their dimension; each shard returns its
-best, scored in double precision on the original vectors, and the best of all shards are the result.
+best, scored in double precision on the original vectors (the walk through the graph compares in single precision), and the best of all shards are the result.
 
 Every row is indexed. Graph and search are approximate; `ef_search` trades time for recall. Nulls and edge cases: vectors
 that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id; equal vectors
@@ -44,7 +44,7 @@ class Graph:
 
     ids: np.ndarray  # of rows, by node, ascending within a node
     first: np.ndarray  # where a node's ids begin
-    vectors: np.ndarray  # float32, one row per node
+    vectors: np.ndarray  # as given, single or double precision, one row per node
     layer_nodes: np.ndarray
     layer_first: np.ndarray
     neighbours: np.ndarray
@@ -54,7 +54,8 @@ class Graph:
 
     @staticmethod
     def restored(dim: int, stored: list[bytes]) -> Graph:
-        kinds = [np.int64, np.int64, np.float32, np.int32, np.int64, np.int32]
+        number = np.dtype(f"f{len(stored[2]) // max(1, dim * (len(stored[1]) // 8 - 1))}")  # `first` ends with the number of rows
+        kinds = [np.int64, np.int64, number, np.int32, np.int64, np.int32]
         ids, first, vectors, nodes, layers, links = (np.frombuffer(b, dtype=k) for b, k in zip(stored, kinds, strict=True))
         return Graph(ids, first, vectors.reshape(-1, dim), nodes, layers, links.reshape(len(nodes), -1))
 
@@ -126,8 +127,8 @@ def _lifted(vectors: np.ndarray) -> np.ndarray:
 def build_graph(ids: np.ndarray, vectors: np.ndarray, links: int = LINKS, ef: int = EF_BUILD, seed: int = SEED) -> Graph:
     """Inserts the distinct vectors one by one, each linked to near and spread-out nodes in its layers."""
     order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], np.ascontiguousarray(vectors[order], dtype=np.float32) + np.float32(0)  # no negative zeros
-    _, first_row, node_of = np.unique(vectors.view(f"V{vectors.shape[1] * 4}").ravel(), return_index=True, return_inverse=True)
+    ids, vectors = ids[order], np.ascontiguousarray(vectors[order]) + vectors.dtype.type(0)  # no negative zeros
+    _, first_row, node_of = np.unique(vectors.view(f"V{vectors.shape[1] * vectors.itemsize}").ravel(), return_index=True, return_inverse=True)
     by_node = np.argsort(node_of, kind="stable")
     counts = np.bincount(node_of, minlength=len(first_row))
     own = vectors[first_row]
@@ -214,8 +215,10 @@ class Searcher:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding (float), dim of rows that take part, each distinct row once."""
-    number = F.transform(F.col("embedding"), lambda x: x.cast("float"))
+    """vec_id, embedding, dim of rows that take part, each distinct row once. Components stay floats if they are, all others
+    become doubles, so that scores are those of the vectors as given."""
+    exact = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    number = F.transform(F.col("embedding"), lambda x: x.cast(exact))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), number.alias("embedding")).where("vec_id is not null and embedding is not null")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     rows = rows.where(~bad & F.exists("embedding", lambda x: x != 0))
@@ -234,7 +237,7 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, links: int = L
     shards = {r["dim"]: -(-r["count"] // shard_rows) for r in rows.groupBy("dim").count().collect()}  # a row per dimension
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        graph = build_graph(group.vec_id.to_numpy(np.int64), np.stack(group.embedding.to_numpy()).astype(np.float32), links, ef)
+        graph = build_graph(group.vec_id.to_numpy(np.int64), np.stack(group.embedding.to_numpy()), links, ef)
         row = [int(group.dim.iloc[0]), int(group.shard.iloc[0]), *graph.stored()]
         return pd.DataFrame([row], columns=[f.split()[0] for f in GRAPH.split(", ")])
 
@@ -262,7 +265,7 @@ def search(graphs: DataFrame, shards: dict[int, int], queries: DataFrame, k: int
             return pd.DataFrame({f.split()[0]: [] for f in FOUND.split(", ")})
         row = graph.iloc[0]
         searcher = Searcher(Graph.restored(int(row.dim), [row[c] for c in ("ids", "first", "vectors", "layer_nodes", "layer_first", "neighbours")]))
-        found = [searcher.nearest(np.asarray(v, dtype=np.float32), i, k, ef) for i, v in zip(queries.vec_id, queries.embedding, strict=True)]
+        found = [searcher.nearest(np.asarray(v), i, k, ef) for i, v in zip(queries.vec_id, queries.embedding, strict=True)]
         sizes = [len(ids) for ids, _ in found]
         columns = {"query": np.repeat(queries["query"].to_numpy(), sizes), "query_id": np.repeat(queries.vec_id.to_numpy(), sizes)}
         return pd.DataFrame(columns | {"vec_id": np.concatenate([x for x, _ in found]), "score": np.concatenate([x for _, x in found])})

@@ -88,3 +88,19 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], COLUMNS)
     some = spark.createDataFrame([(20, [1.0], 0)], COLUMNS)
     assert neighbours(empty, empty).count() == neighbours(empty, some).count() == neighbours(some, some).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_scores_are_those_of_the_given_numbers(spark, kind):
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(300, 4))
+    if kind == "float":
+        vectors = vectors.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], f"vec_id long, embedding array<{kind}>, label int")
+    found = collected(neighbours(df, df.where("vec_id % 50 = 0"), 5, shard_rows=64))
+    expected = brute(np.arange(300), vectors, range(0, 300, 50), 5)
+    assert set(found) == set(expected) and recall(found, expected) >= 0.9
+    for q, best in found.items():
+        assert best == sorted(best, key=lambda x: (-x[1], x[0]))
+        for i, s in best:
+            assert s == pytest.approx(float(vectors[i] @ vectors[q]), rel=1e-15)
