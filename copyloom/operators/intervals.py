@@ -310,13 +310,88 @@ def annotate_overlaps(calls: DataFrame, reference: DataFrame, min_overlap: float
     return calls.join(names, "call_key", "left")
 
 
+def track_events(track: DataFrame, value: Column) -> DataFrame:
+    """Both ends of every piece of a track, one row per position.
+
+    The sum of a track from the first position of its bucket up to x is slope * x + rise, x counted within the bucket: a
+    piece turns the slope up by its value where it starts and down again where it ends. `covers` and `covered` are the
+    same for the number of pieces.
+    """
+    low, high = bucket_place(F.col("start_bp")), bucket_place(F.col("end_bp"))
+    opens = F.struct(
+        F.col("start_bp").alias("at"), value.alias("slope"), (value * (1 - low)).alias("rise"), F.lit(1).alias("covers"), (1 - low).alias("covered")
+    )
+    closes = F.struct(
+        F.col("end_bp").alias("at"), (-value).alias("slope"), (value * high).alias("rise"), F.lit(-1).alias("covers"), high.alias("covered")
+    )
+    return (
+        track.select("contig", F.explode(F.array(opens, closes)).alias("e"))
+        .groupBy("contig", F.col("e.at").alias("at"))
+        .agg(*[F.sum(f"e.{c}").alias(c) for c in ("slope", "rise", "covers", "covered")])
+    )
+
+
+def bucket_place(at: Column) -> Column:
+    """Place of a position within its bucket of the sweeps, from 0."""
+    return at.bitwiseAND(F.lit((1 << SWEEP_SHIFT) - 1)).cast("long")
+
+
 def weighted_mean_over(targets: DataFrame, track: DataFrame, value: str, name: str) -> DataFrame:
-    """Mean of a track's value over each target, weighted by overlap length; NULL where the track has none."""
-    shared = F.least("end_bp", "track_end") - F.greatest("start_bp", "track_start") + 1
+    """Mean of a track's value over each target, weighted by overlap length; NULL where the track has none.
+
+    Running sums over the track, looked up at both ends of a target, which is cut where it crosses buckets of 2**16
+    positions. A piece of the track is one row at each end however long it is and however many targets lie on it: what reaches into a
+    bucket comes from a table with one row per bucket. Sums start anew in every bucket, so they lose no digits to the length of the
+    contig. Pieces may overlap and count each; pieces whose value is NULL or not finite say nothing.
+    """
+    number = F.col(value).cast("double")
+    usable = (F.col("start_bp") <= F.col("end_bp")) & F.col("contig").isNotNull()
+    sums = ["slope", "rise", "covers", "covered"]
+    pieces = track.where(usable & number.isNotNull() & (F.abs(number) < F.lit(float("inf"))))
+    ends = track_events(pieces, number).withColumns({"region_id": F.lit(None).cast("long"), "sign": F.lit(0)})
+    width = 1 << SWEEP_SHIFT
+    first = F.shiftleft("_b", SWEEP_SHIFT)
+    asked = (
+        targets.where(usable)
+        .select("region_id", "contig", "start_bp", "end_bp")
+        .withColumn("_b", F.explode(F.sequence(F.shiftright("start_bp", SWEEP_SHIFT), F.shiftright("end_bp", SWEEP_SHIFT))))
+        .select(
+            "contig",
+            "region_id",
+            F.explode(
+                F.array(
+                    F.struct(F.least("end_bp", first + (width - 1)).alias("at"), F.lit(1).alias("sign")),
+                    F.struct((F.greatest("start_bp", first) - 1).alias("at"), F.lit(-1).alias("sign")),
+                )
+            ).alias("e"),
+            first.alias("_first"),
+        )
+        .where(F.col("e.at") >= F.col("_first"))  # nothing lies before a bucket's first position
+        .select("contig", "e.at", *[F.lit(0).alias(s) for s in sums], "region_id", "e.sign")
+    )
+    events = ends.unionByName(asked).withColumn("_bucket", F.shiftright("at", SWEEP_SHIFT))
+    earlier = Window.partitionBy("contig").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        events.groupBy("contig", "_bucket")
+        .agg(F.sum("slope").alias("slope"), F.sum("covers").alias("covers"))
+        .select(
+            "contig",
+            "_bucket",
+            F.coalesce(F.sum("slope").over(earlier), F.lit(0.0)).alias("_slope"),
+            F.coalesce(F.sum("covers").over(earlier), F.lit(0)).alias("_covers"),
+        )
+    )
+    inside = Window.partitionBy("contig", "_bucket").orderBy("at")
+    swept = events.select("contig", "_bucket", "at", "region_id", "sign", *[F.sum(s).over(inside).alias(s) for s in sums])
+    place = bucket_place(F.col("at"))
+    total = (F.col("slope") + F.col("_slope")) * place + F.col("rise") + F.col("_slope")
+    covered = (F.col("covers") + F.col("_covers")) * place + F.col("covered") + F.col("_covers")
     means = (
-        overlap_join(targets.select("region_id", "contig", "start_bp", "end_bp"), track)
+        swept.where("sign <> 0")
+        .join(carried, ["contig", "_bucket"])
         .groupBy("region_id")
-        .agg((F.sum(F.col(value) * shared) / F.sum(shared)).alias(name))
+        .agg(F.sum(F.col("sign") * total).alias("_total"), F.sum(F.col("sign") * covered).alias("_covered"))
+        .select("region_id", F.when(F.col("_covered") > 0, F.col("_total") / F.col("_covered")).alias(name))
     )
     return targets.join(means, "region_id", "left")
 

@@ -1,5 +1,6 @@
 """Range joins and interval algebra against brute force on random intervals."""
 
+import math
 import random
 
 import pytest
@@ -154,3 +155,37 @@ def test_full_and_split_rows(spark):
     full = rows[rows.annotation_mode == "full"].set_index("segment_id")
     assert full.gene_name["s1"] == "X,Y" and full.gene_count["s2"] == 0 and full.overlap_bp["s1"] == 22
     assert sorted(rows[rows.annotation_mode == "split"].gene_name) == ["X", "Y"]
+
+
+def test_weighted_mean_by_running_sums_over_bucket_bounds(spark):
+    rng = random.Random(7)
+    top = 5 << iv.SWEEP_SHIFT
+    near = [b << iv.SWEEP_SHIFT for b in range(1, 5)]
+
+    def interval(longest):
+        start = rng.choice(near) + rng.randint(-3, 3) if rng.random() < 0.4 else rng.randint(1, top)
+        return start, start + rng.choice([0, 1, 50, longest])
+
+    pieces = [(rng.choice("12"), *interval(3 << iv.SWEEP_SHIFT), rng.random()) for _ in range(60)]
+    pieces += [("1", 10, 5, 1.0), ("1", 1, top, None), ("1", 1, top, float("nan")), ("2", 1, top, float("inf")), (None, 1, top, 1.0)]
+    regions = [(i, rng.choice("12"), *interval(2 << iv.SWEEP_SHIFT)) for i in range(200)] + [(200, "3", 1, 9), (201, None, 1, 9)]
+    targets = spark.createDataFrame(regions, "region_id long, contig string, start_bp long, end_bp long")
+    track = spark.createDataFrame(pieces, "contig string, start_bp long, end_bp long, v double")
+    found = {r.region_id: r.m for r in iv.weighted_mean_over(targets, track, "v", "m").collect()}
+    assert len(found) == 202
+    for region, contig, start, end in regions:
+        shared = [
+            (v, min(end, e) - max(start, s) + 1)
+            for c, s, e, v in pieces
+            if contig and c == contig and s <= e and v is not None and math.isfinite(v) and s <= end and start <= e
+        ]
+        if not shared:
+            assert found[region] is None
+        else:
+            assert abs(found[region] - sum(v * w for v, w in shared) / sum(w for _, w in shared)) < 1e-9
+
+
+def test_weighted_mean_lists_no_track_under_bins(spark):
+    targets = spark.createDataFrame([(0, "1", 1, 9)], "region_id long, contig string, start_bp long, end_bp long")
+    track = spark.createDataFrame([("1", 1, 1 << 40, 0.5)], "contig string, start_bp long, end_bp long, v double")
+    assert iv.weighted_mean_over(targets, track, "v", "m").first().m == 0.5
