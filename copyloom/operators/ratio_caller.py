@@ -18,6 +18,7 @@ from copyloom.functions.columns import region_label
 from copyloom.operators import blocks
 from copyloom.operators.dispersion import beta_binomial, case_strengths
 from copyloom.operators.intervals import annotate_overlaps
+from copyloom.operators.numbering import dense_numbers
 from copyloom.session import broadcast_if_small, cut, small_table
 
 # States with their copy ratio, switching probability.
@@ -32,8 +33,7 @@ REGION_BLOCK = 1024
 
 def chain_positions(targets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Position of each region on its contig, from 0."""
-    order = Window.partitionBy(*by, "contig").orderBy("start_bp", "end_bp", "region_id")
-    return targets.withColumn("ord", (F.row_number().over(order) - 1).cast("long"))
+    return dense_numbers(targets, ["start_bp", "end_bp", "region_id"], "ord", (*by, "contig"))
 
 
 def leave_one_out(counts: DataFrame) -> DataFrame:

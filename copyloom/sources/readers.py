@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copyloom import schemas
-from copyloom.functions.columns import region_label, strip_chr
+from copyloom.functions.columns import name_from_path, region_label, strip_chr
+from copyloom.operators.numbering import dense_numbers
+from copyloom.sources.count_files import listed_samples, load_count_files
 
 
 def number_targets(targets: DataFrame, contig_order: DataFrame | None = None, bed_zero_based: bool = False) -> DataFrame:
     """Targets in (contig, start, end) order with dense region ids from 0.
 
     `contig_order` (contig, ordinal) fixes the order of the contigs; without it numbers come before names, as
-    numbers. Ids are counted per contig and shifted by the sizes of the contigs before it, so no task sorts
-    more than one contig.
+    numbers. Ids are counted in ranges of places, so no task sorts a whole contig. A target without a contig has no
+    place and gets no id; it goes.
     """
     if bed_zero_based:
         targets = targets.withColumn("start_bp", F.col("start_bp") + 1)
@@ -24,21 +26,8 @@ def number_targets(targets: DataFrame, contig_order: DataFrame | None = None, be
         ranked = targets.join(contig_order.select("contig", F.col("ordinal").cast("long").alias("_rank")), "contig", "left")
     else:
         ranked = targets.withColumn("_rank", strip_chr(F.col("contig")).try_cast("long"))
-    last = F.lit(2**62)
-    ranked = ranked.withColumn("_rank", F.coalesce("_rank", last))
-    earlier = Window.orderBy("_rank", "contig").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranked.groupBy("_rank", "contig")
-        .agg(F.count("*").alias("_size"))
-        .select("contig", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
-    )
-    inside = Window.partitionBy("contig").orderBy("start_bp", "end_bp")
-    return (
-        ranked.withColumn("_row", F.row_number().over(inside))
-        .join(offsets, "contig")
-        .withColumn("region_id", F.col("_offset") + F.col("_row") - 1)
-        .drop("_rank", "_row", "_offset")
-    )
+    ranked = ranked.withColumn("_rank", F.coalesce("_rank", F.lit(2**62))).where(F.col("contig").isNotNull())
+    return dense_numbers(ranked, ["_rank", "contig", "start_bp", "end_bp"], "region_id").drop("_rank")
 
 
 def read_bed(spark: SparkSession, path: str, schema: str = schemas.BED) -> DataFrame:
@@ -57,26 +46,13 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.ALIGNMENTS).parquet(path)
 
 
-def name_from_path(path: Column, suffix: str, prefix: str = "") -> Column:
-    """File name without folder, prefix and suffix."""
-    pattern = f"([^/]*){re.escape(suffix)}$"
-    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    name = F.regexp_extract(plain, pattern, 1)
-    return F.regexp_replace(name, f"^{re.escape(prefix)}", "") if prefix else name
-
-
 def read_counts(spark: SparkSession, folder: str, targets: DataFrame) -> DataFrame:
-    """All per-sample count files of a folder, joined with the targets by region label.
+    """Counts of all whole count files of a folder, joined with the targets by region label.
 
-    The sample is named by the file. Files that cannot be read are skipped; `failed_count_files` lists them.
+    The sample is named by the file. A file that breaks off or holds other lines gives no row at all;
+    `failed_count_files` and `count_file_report` list it.
     """
-    labels = targets.select(region_label(F.col("contig"), F.col("start_bp"), F.col("end_bp")).alias("region"), "region_id")
-    rows = (
-        spark.read.option("ignoreCorruptFiles", True)
-        .csv(f"{folder}/*{schemas.COUNT_SUFFIX}", schema=schemas.COUNT_FILE, header=True, enforceSchema=True)
-        .withColumn("sample_name", name_from_path(F.input_file_name(), schemas.COUNT_SUFFIX))
-    )
-    return rows.join(labels, "region").select("sample_name", "region_id", "n")
+    return load_count_files(spark, folder, targets).counts
 
 
 def read_count_table(spark: SparkSession, path: str, targets: DataFrame) -> DataFrame:
@@ -87,7 +63,7 @@ def read_count_table(spark: SparkSession, path: str, targets: DataFrame) -> Data
 
 
 def discover_samples(spark: SparkSession, folder: str, prefix: str, suffix: str) -> DataFrame:
-    """Sample name, path and modification time of every file with the suffix; file contents are not read."""
+    """Sample name, path and modification time of every file with the suffix that holds a byte; contents are not read."""
     listing = spark.read.format("binaryFile").load(f"{folder}/*{suffix}").select("path", "modificationTime")
     return listing.select(
         name_from_path(F.col("path"), suffix, prefix).alias("sample_name"), "path", "modificationTime"
@@ -96,31 +72,15 @@ def discover_samples(spark: SparkSession, folder: str, prefix: str, suffix: str)
 
 def failed_count_files(spark: SparkSession, folder: str, counts: DataFrame) -> DataFrame:
     """Samples whose count file gave no row at all."""
-    found = discover_samples(spark, folder, "", schemas.COUNT_SUFFIX).select("sample_name")
-    return found.join(counts.select("sample_name").distinct(), "sample_name", "left_anti")
+    return listed_samples(spark, folder).join(counts.select("sample_name").distinct(), "sample_name", "left_anti")
 
 
 def count_file_report(spark: SparkSession, folder: str, targets: DataFrame) -> DataFrame:
     """For every count file its rows, those whose label is among the targets, and whether it covers every target once.
 
-    A file that breaks off gives the rows before the fault; it is listed here as not complete.
+    `load_count_files` gives counts and report, there with the fault of a file, from one scan.
     """
-    labels = targets.select(region_label(F.col("contig"), F.col("start_bp"), F.col("end_bp")).alias("region")).distinct()
-    rows = (
-        spark.read.option("ignoreCorruptFiles", True)
-        .csv(f"{folder}/*{schemas.COUNT_SUFFIX}", schema=schemas.COUNT_FILE, header=True, enforceSchema=True)
-        .withColumn("sample_name", name_from_path(F.input_file_name(), schemas.COUNT_SUFFIX))
-    )
-    known = labels.withColumn("known", F.lit(1))
-    found = rows.join(known, "region", "left").groupBy("sample_name")
-    found = found.agg(F.count("*").alias("rows"), F.count("known").alias("matched"), F.count("n").alias("numbers"))
-    files = discover_samples(spark, folder, "", schemas.COUNT_SUFFIX).select("sample_name")
-    wanted = labels.agg(F.count("*").alias("targets"))
-    zero = F.lit(0).cast("long")
-    report = files.join(found, "sample_name", "left").crossJoin(F.broadcast(wanted))  # one row
-    report = report.withColumns({c: F.coalesce(c, zero) for c in ("rows", "matched", "numbers")})
-    complete = (F.col("matched") == F.col("targets")) & (F.col("rows") == F.col("targets")) & (F.col("numbers") == F.col("targets"))
-    return report.select("sample_name", "rows", "matched", "targets", complete.alias("complete"))
+    return load_count_files(spark, folder, targets).report.drop("fault")
 
 
 def settled_files(listing: DataFrame, now: Column, seconds: int = 3600, modified: str = "modificationTime") -> DataFrame:

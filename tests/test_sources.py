@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from copyloom.operators import annotate, coverage, genes, reads
-from copyloom.sources import readers, writers
+from copyloom.sources import count_files, readers, writers
 
 
 @pytest.fixture
@@ -197,3 +197,38 @@ def test_rows_without_a_sample_are_refused(spark, tmp_path):
     frame = spark.createDataFrame([("S1", 1), (None, 2)], "sample_name string, n long")
     with pytest.raises(Exception, match="belong to no file"):
         writers.write_sample_files(frame, str(tmp_path / "refused"), ".tsv", ["n"], ["n"]).collect()
+
+
+def test_a_torn_file_gives_no_rows_and_is_listed_from_one_scan(spark, tmp_path, targets):
+    text = "region,x\n1:10-50,3\n1:100-150,0\nX:5-9,7\n"
+    packed = gzip.compress(text.encode())
+    for name, data in {
+        "whole": packed,
+        "parts": gzip.compress(text[:30].encode()) + gzip.compress(text[30:].encode()) + b"\0" * 8,
+        "torn": packed[:-6],
+        "tail": packed + b"more",
+        "nothing": b"",
+        "void": gzip.compress(b""),
+        "words": gzip.compress(text.replace(",7", ",seven").encode()),
+        "missing": gzip.compress(text.replace(",7", ",").encode()),
+        "three": gzip.compress(text.replace(",7", ",7,7").encode()),
+        "twice": gzip.compress(text.replace("X:5-9", "1:10-50").encode()),
+        "quoted": gzip.compress(text.replace("X:5-9", '"X:5-9"').rstrip("\n").encode()),
+    }.items():
+        (tmp_path / f"{name}_exome_RC.csv.gz").write_bytes(data)
+    found = count_files.load_count_files(spark, str(tmp_path), targets)
+    assert {r.sample_name for r in found.counts.collect()} == {"whole", "parts", "twice", "quoted"}
+    report = {r.sample_name: r for r in found.report.collect()}
+    assert len(report) == 11 and {s for s, r in report.items() if r.complete} == {"whole", "parts", "quoted"}
+    assert {s for s, r in report.items() if r.fault is None} == {"whole", "parts", "twice", "quoted"}
+    assert report["torn"].fault == "breaks off before its end mark" and report["nothing"].fault == "is empty"
+    assert report["twice"].rows == report["twice"].matched == 3 and report["void"].fault == "holds no header"
+
+
+def test_count_files_are_unpacked_in_pieces():
+    text = b"region,x\n" + b"".join(b"1:%d-%d,%d\n" % (i, i + 5, i) for i in range(1000))
+    packed = gzip.compress(text)
+    for piece in (1, 7, 100, 1 << 20):
+        assert b"".join(count_files.unpacked(packed, piece)) == text
+    tables = list(count_files.file_tables(packed, 100))
+    assert len(tables) > 50 and [n for t in tables for n in t["n"].to_pylist()] == list(range(1000))
