@@ -331,6 +331,8 @@ GROUP BY a.sample_name, a.contig, a.start_bp, a.end_bp""",
     "unprocessed_samples": """SELECT CAST(c_custkey AS VARCHAR) AS sample_name FROM customer
 WHERE c_custkey NOT IN (SELECT user_id FROM events)""",
     "reference_counts": "SELECT * FROM others",
+    "grown_reference_counts": "SELECT * FROM others",
+    "grown_correlation": f"SELECT label, sample_name, partner, {r6('r')} AS r FROM pair_corr",
     "noise_distances": f"SELECT sample_name, label, {r6('distance')} AS distance FROM apart",
     "read_length": "SELECT sample_name, round_even(avg(qwidth), 0) AS read_length FROM usable GROUP BY sample_name",
     "sample_coverage": f"SELECT sample_name, sum_rc, {r6('mean_rc')} AS mean_rc FROM coverage",

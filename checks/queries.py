@@ -9,6 +9,7 @@ from copyloom.fixtures import table, view
 from copyloom.functions import columns as c
 from copyloom.operators import annotate as an
 from copyloom.operators import cohort as co
+from copyloom.operators import cohort_store as cs
 from copyloom.operators import coverage as cov
 from copyloom.operators import density as de
 from copyloom.operators import dispersion as ds
@@ -743,6 +744,29 @@ def null_model_bic(spark, sf):
     return r6(pc.null_model_bic(k0(spark, sf)), "bic")
 
 
+# ---- new samples into a cohort
+
+
+def grown(spark: SparkSession, sf: str) -> cs.Cohort:
+    """A cohort of all samples: two of them, one of each kit, join after the others."""
+    counts = cut(labelled(spark, sf))
+    late = F.col("sample_name").isin("S05", "S17")
+    cohort = cs.create_cohort(spark, handover_path(spark, "cohort"), 8)
+    cs.add_samples(cohort, counts.where(~late))
+    cs.add_samples(cohort, counts.where(late))
+    return cohort
+
+
+@query
+def grown_reference_counts(spark, sf):
+    return cs.leave_one_out(grown(spark, sf))
+
+
+@query
+def grown_correlation(spark, sf):
+    return r6(cs.sample_correlation(grown(spark, sf)), "r")
+
+
 # ---- cohort modelling
 
 
