@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from copyloom.functions.columns import length_kb, region_label, short_type, sorted_distinct
 from copyloom.operators.intervals import overlap_join, union_intervals
+from copyloom.session import cut
 
 # Output columns of the unpacked labels, in their order.
 POISSON_COLUMNS = [
@@ -91,36 +92,38 @@ def annotate_calls_with_genes(calls: DataFrame, exons: DataFrame) -> DataFrame:
 def annotate_genes_full_split(segments: DataFrame, genes: DataFrame, half_open: bool = False) -> DataFrame:
     """One "full" row per segment with all its genes, and one "split" row per gene it touches.
 
-    `segments` carries segment_id, contig, start_bp, end_bp and anything else, which both kinds of rows repeat.
-    The detail rows are matched once; the full rows are their aggregate. Genes are closed intervals; the end of a
-    half-open segment belongs to the next one.
+    `segments` carries segment_id, contig, start_bp, end_bp and anything else, which both kinds of rows repeat. A segment's
+    genes are collected once, as many as lie on it, and both kinds of rows come from that list. Genes are closed intervals; the end of a
+    half-open segment belongs to the next one. Of a gene with several entries the longest overlap counts.
     """
     last = F.col("end_bp") - 1 if half_open else F.col("end_bp")
-    hits = overlap_join(
-        segments.select("segment_id", "contig", "start_bp", last.alias("end_bp")),
-        genes.select("gene_id", "gene_name", "contig", "start_bp", "end_bp"),
-    ).select(
-        "segment_id",
-        "gene_name",
-        (F.least("end_bp", "track_end") - F.greatest("start_bp", "track_start") + 1).alias("overlap_bp"),
-    )
-    hits = hits.groupBy("segment_id", "gene_name").agg(F.max("overlap_bp").alias("overlap_bp"))
-    per_segment = hits.groupBy("segment_id").agg(
-        F.concat_ws(",", F.sort_array(F.collect_list("gene_name"))).alias("gene_name"),
-        F.count("*").alias("gene_count"),
-        F.sum("overlap_bp").alias("overlap_bp"),
+    shared = F.least("end_bp", "track_end") - F.greatest("start_bp", "track_start") + 1
+    listed = (
+        overlap_join(
+            segments.select("segment_id", "contig", "start_bp", last.alias("end_bp")),
+            genes.select("gene_id", "gene_name", "contig", "start_bp", "end_bp"),
+        )
+        .groupBy("segment_id")
+        .agg(F.sort_array(F.collect_list(F.struct("gene_name", shared.alias("overlap_bp")))).alias("_listed"))
     )
-    full = segments.join(per_segment, "segment_id", "left").withColumns(
-        {
-            "annotation_mode": F.lit("full"),
-            "gene_count": F.coalesce("gene_count", F.lit(0)),
-            "overlap_bp": F.coalesce("overlap_bp", F.lit(0)),
-        }
+    # Entries of a gene lie side by side, the longest one last.
+    longest = F.filter(
+        "_listed", lambda hit, i: (i + 1 == F.size("_listed")) | ~F.get("_listed", i + 1)["gene_name"].eqNullSafe(hit["gene_name"])
     )
-    split = segments.join(hits, "segment_id").withColumns(
-        {"annotation_mode": F.lit("split"), "gene_count": F.lit(1).cast("long")}
+    hits = listed.select("segment_id", longest.alias("_hits"))
+
+    def row(mode: str, name: Column, count: Column, overlap: Column) -> Column:
+        return F.struct(name.alias("gene_name"), count.cast("long").alias("gene_count"), overlap.cast("long").alias("overlap_bp"), F.lit(mode).alias("annotation_mode"))
+
+    found = F.coalesce("_hits", F.array().cast("array<struct<gene_name:string,overlap_bp:bigint>>"))
+    names = F.when(F.col("_hits").isNotNull(), F.concat_ws(",", F.col("_hits.gene_name")))
+    full = row("full", names, F.size(found), F.aggregate(found, F.lit(0).cast("long"), lambda total, hit: total + hit["overlap_bp"]))
+    split = F.transform(found, lambda hit: row("split", hit["gene_name"], F.lit(1), hit["overlap_bp"]))
+    return (
+        segments.join(hits, "segment_id", "left")
+        .withColumn("_row", F.explode(F.concat(F.array(full), split)))
+        .select("segment_id", *[c for c in segments.columns if c != "segment_id"], "_row.*")
     )
-    return full.unionByName(split.select(full.columns))
 
 
 def annotate_sample_calls(poisson: DataFrame, ratio: DataFrame, genes: DataFrame) -> DataFrame:
@@ -137,7 +140,7 @@ def annotate_sample_calls(poisson: DataFrame, ratio: DataFrame, genes: DataFrame
         "segment_id",
         F.concat_ws("/", "sample_name", region_label(F.col("contig"), F.col("start_bp"), F.col("end_bp"))),
     )
-    rows = annotate_genes_full_split(named, genes, half_open=True)
+    rows = annotate_genes_full_split(cut(named), genes, half_open=True)
     rows = unpack(unpack(rows, "label_a", POISSON_COLUMNS), "label_b", RATIO_COLUMNS)
     return rows.withColumn("length_kb", length_kb(F.col("start_bp"), F.col("end_bp"))).drop(
         "segment_id", "label_a", "label_b"

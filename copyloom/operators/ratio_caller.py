@@ -47,6 +47,31 @@ def sample_correlation(counts: DataFrame) -> DataFrame:
     return blocks.correlations(counts, "label", "sample_name", "region_id", "n")
 
 
+def case_correlation(counts: DataFrame, samples: list[str]) -> DataFrame:
+    """The same rows as `sample_correlation` for the named samples only: work grows with the cohort, not with its square.
+
+    The counts of the named samples go to the others' by region; one sum of products per pair is shuffled. A region that a sample has
+    no row for counts as zero.
+    """
+    n = F.col("n").cast("double")
+    cases = cut(counts.where(F.col("sample_name").isin(samples)).select("label", "region_id", F.col("sample_name").alias("case"), n.alias("x")))
+    group = counts.join(small_table(cases.select("label").distinct()), "label", "left_semi")
+    dots = group.join(broadcast_if_small(cases), ["label", "region_id"]).groupBy("label", "case", "sample_name").agg(F.sum(n * F.col("x")).alias("dot"))
+    regions = small_table(group.groupBy("label").agg(F.countDistinct("region_id").cast("double").alias("regions")))
+    sums = group.groupBy("label", "sample_name").agg(F.sum(n).alias("s"), F.sum(n * n).alias("q")).join(regions, "label")
+    sums = cut(sums.withColumn("v", F.col("regions") * F.col("q") - F.col("s") * F.col("s")))
+    own = sums.where(F.col("sample_name").isin(samples)).select("label", F.col("sample_name").alias("case"), F.col("s").alias("case_s"), F.col("v").alias("case_v"))
+    pairs = sums.join(own, "label").join(dots, ["label", "case", "sample_name"], "left")
+    shared = F.col("regions") * F.coalesce("dot", F.lit(0.0)) - F.col("case_s") * F.col("s")
+    r = F.coalesce(F.try_divide(shared, F.sqrt(F.col("case_v") * F.col("v"))), F.lit(float("nan")))
+    entries = F.sort_array(F.collect_list(F.struct(F.col("sample_name").alias("partners"), r.alias("corrs"))))
+    return (
+        pairs.groupBy("label", "case")
+        .agg(entries.alias("e"))
+        .select("label", F.col("case").alias("sample_name"), F.col("e.partners").alias("partners"), F.col("e.corrs").alias("corrs"))
+    )
+
+
 def thinned(counts: DataFrame, max_regions: int) -> DataFrame:
     """Every s-th region by its place in the table, so that at most max_regions are left; for callers that ask for it."""
     regions = cut(counts.select("region_id").distinct())
@@ -191,8 +216,7 @@ def select_references(
     counts = cut(counts.select("label", "sample_name", "region_id", "n"))
     if max_regions is not None:
         counts = cut(thinned(counts, max_regions))
-    ranks = reference_rank(sample_correlation(counts))
-    ranks = cut(ranks if samples is None else ranks.where(F.col("sample_name").isin(samples)))
+    ranks = cut(reference_rank(sample_correlation(counts) if samples is None else case_correlation(counts, samples)))
     scored = scored_prefixes(reference_prefix_sums(counts, ranks))
     best = F.array_max(F.transform("scores", lambda s: F.struct(s["score"].alias("score"), (-s["m"]).alias("less"))))
     return (

@@ -354,3 +354,17 @@ def test_one_sample_carries_no_factor(spark):
     calls = pc.call_poisson_scan(pc.chains(expected)).toPandas()
     assert [(c.sample_name, c.cnv) for c in calls.itertuples()] == [("S2", "del")]
     assert abs(calls.st_exon[0] - 21) <= 1 and abs(calls.ed_exon[0] - 40) <= 1
+
+
+def test_correlation_of_cases_alone_is_that_of_all(spark, middle):
+    counts = cut(labelled(spark, middle))
+    # One sample lacks regions, one is constant.
+    counts = cut(counts.where("sample_name <> 'S03' OR region_id % 3 <> 0").withColumn("n", F.when(F.col("sample_name") == "S07", 5).otherwise(F.col("n"))))
+    names = ["S03", "S05", "S07", "S15", "none"]
+    found = {r.sample_name: r for r in rc.case_correlation(counts, names).collect()}
+    whole = {r.sample_name: r for r in rc.sample_correlation(counts).collect()}
+    assert found.keys() == set(names[:-1])
+    for name, row in found.items():
+        assert row.label == whole[name].label and row.partners == whole[name].partners
+        np.testing.assert_array_equal(np.array(row.corrs), np.array(whole[name].corrs, dtype=float))
+    assert sorted(rc.select_references(counts, samples=["S05"]).collect()) == [r for r in sorted(rc.select_references(counts).collect()) if r.sample_name == "S05"]
