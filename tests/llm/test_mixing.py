@@ -76,3 +76,41 @@ def test_pieces_lie_inside_documents(spark, small):
     per_slot = pieces.groupBy("source_id", "pass_no", "block").agg(F.sum("n_words").alias("n"))
     assert per_slot.where("n > 32").count() == 0
     assert documents.count() == 200
+
+
+def taken_by_hand(docs, block_words, seed):
+    """Per (source, start) the words taken: every source's stream is laid out word by word, and every slot walks it."""
+    documents, _ = mix(docs, block_words=block_words, shard_slots=16, seed=seed)
+    rows = sorted((r for r in documents.collect() if r["size"]), key=lambda r: (r.source_id, r.start))
+    out, streams = {}, {}
+    for r in rows:
+        stream = streams.setdefault(r.source_id, [])
+        assert r.start == len(stream)  # documents lie end to end
+        stream += [(r.source_id, r.start)] * r["size"]
+        out[r.source_id, r.start] = (r.doc_id, r["size"], 0)
+    sources = {r.source_id: (r.source, r.source_size, r.target) for r in documents.collect()}
+    for source_id, stream in streams.items():
+        source, size, target = sources[source_id]
+        assert size == len(stream)
+        plan = plan_source(source_id, source, size, target, block_words, seed)
+        for slot in range(plan.slots):
+            round_, place = divmod(slot, plan.blocks)
+            block = int(permuted(np.array([place]), plan.blocks, seed, source_id, round_)[0])
+            words = plan.last_words if slot == plan.slots - 1 else block_words
+            for owner in stream[block * block_words : min((block + 1) * block_words, block * block_words + words)]:
+                doc_id, n, taken = out[owner]
+                out[owner] = (doc_id, n, taken + 1)
+    return sorted(out.values(), key=repr)
+
+
+@pytest.mark.parametrize("block_words, seed", [(1, 3), (7, 3), (32, 8)])
+def test_taken_of_every_document_against_walking_the_stream(spark, block_words, seed):
+    rng = np.random.default_rng(seed)
+    sources = ["s"] * 12 + ["t"] * 3 + ["u", None]
+    rows = [(i, "w " * int(rng.integers(0, 60)), "x", sources[int(rng.integers(len(sources)))], 0) for i in range(120)]
+    rows += [(500, "long " * 900, "x", "t", 0), (501, None, "x", "s", 0), (502, "w", "x", "lone", 0), (502, "w", "x", "lone", 0)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    found = mixed(docs, block_words=block_words, shard_slots=16, seed=seed).where("size > 0").collect()
+    by_hand = taken_by_hand(docs, block_words, seed)
+    assert sorted(((r.doc_id, r["size"], r.taken) for r in found), key=repr) == by_hand
+    assert sum(t for _, _, t in by_hand) > 0
