@@ -52,9 +52,10 @@ class Cohort(NamedTuple):
 def open_cohort(spark: SparkSession, path: str) -> Cohort:
     """The cohort in a folder that all executors share; any session may open it."""
     cohort = Cohort(spark, path, spark.read.parquet(f"{path}/layout").first()["buckets"])
+    located = path.replace("\\", "\\\\").replace("'", "\\'")
     for kind, schema in SCHEMAS.items():
         clustered = f"CLUSTERED BY ({', '.join(KEY)}) INTO {cohort.buckets} BUCKETS" if kind in BUCKETED else ""
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {cohort.name(kind)} ({schema}) USING parquet {clustered} LOCATION '{path}/{kind}'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {cohort.name(kind)} ({schema}) USING parquet {clustered} LOCATION '{located}/{kind}'")
         spark.catalog.refreshTable(cohort.name(kind))
     return cohort
 

@@ -123,7 +123,7 @@ def test_refused_batches(spark, grown, bad, message):
 
 
 def test_an_empty_batch_and_an_empty_cohort(spark, tmp_path):
-    cohort = cs.create_cohort(spark, str(tmp_path / "c"), 2)
+    cohort = cs.create_cohort(spark, str(tmp_path / "it's"), 2)
     assert rows(cs.leave_one_out(cohort)) == [] and rows(cs.sample_correlation(cohort)) == []
     cs.add_samples(cohort, spark.createDataFrame([], COUNTS))
     cs.add_samples(cohort, spark.createDataFrame([(0, "A", 0, 5)], COUNTS))
