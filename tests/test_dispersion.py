@@ -56,3 +56,30 @@ def test_strengths_and_calls(spark):
     for sample in ("S1", "S2"):
         hits = [c for c in calls[True] if c.sample_name == sample and c.type == "deletion" and c.start_bp < 300 * 225 and c.end_bp > 300 * 215]
         assert hits and max(c.nexons for c in hits) >= 25
+
+
+def test_rises_keep_their_digits_at_large_strengths(spark):
+    """Against the sum of logarithms that the rise is; differences of log-gammas are 1e-9 off at 1e6."""
+
+    def rise(a, x):
+        return math.fsum(math.log(a + j) for j in range(x))
+
+    asked = [(x, t, p, s) for s in (1.0, 300.0, 27000.0, 1e6) for x, t, p in ((9, 105, 0.083), (0, 40, 0.5), (40, 40, 0.2))]
+    rows = spark.createDataFrame([(float(x), float(t), p, s) for x, t, p, s in asked], "x double, t double, p double, s double")
+    found = [r.y for r in rows.select(ds.beta_binomial(*map(F.col, "xtps")).alias("y")).collect()]
+    for y, (x, t, p, s) in zip(found, asked, strict=True):
+        assert abs(y - (rise(p * s, x) + rise((1 - p) * s, t - x) - rise(s, t))) <= 5e-11
+
+
+def test_nearly_binomial_cases_settle(spark):
+    """Strengths of many thousands on many regions: the top of the likelihood is flat."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for sample, strength in (("S1", 20000.0), ("S2", 40000.0), ("S3", 300000.0), ("S4", 1e9)):
+        t = rng.integers(80, 130, 12000)
+        x = rng.binomial(t, rng.beta(0.083 * strength, 0.917 * strength, 12000))
+        rows += [(0, sample, i, int(a), int(b - a)) for i, (a, b) in enumerate(zip(x, t, strict=True))]
+    table = cut(spark.createDataFrame(rows, "label int, sample_name string, region_id long, n long, ref_n long"))
+    found = {r.sample_name: r.strength for r in ds.case_strengths(table).collect()}
+    assert found.keys() == {"S1", "S2", "S3", "S4"}
+    assert all(1000 < s <= 1e6 * (1 + 1e-9) for s in found.values())
