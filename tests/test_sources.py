@@ -232,3 +232,11 @@ def test_count_files_are_unpacked_in_pieces():
         assert b"".join(count_files.unpacked(packed, piece)) == text
     tables = list(count_files.file_tables(packed, 100))
     assert len(tables) > 50 and [n for t in tables for n in t["n"].to_pylist()] == list(range(1000))
+
+
+def test_gene_table_repeats_take_little_room(spark, tmp_path):
+    """Rows that differ in one score only take a few bytes each."""
+    rows = spark.range(20000).selectExpr("concat('1:1000-2000/', id div 500) call_id", "'a gene that a call touches' gene_name", "(id % 500) / 1000 hi_score")
+    writers.write_gene_table(rows.coalesce(1), str(tmp_path / "table"))
+    assert sum(p.stat().st_size for p in (tmp_path / "table").glob("part-*")) < 20000 * 10
+    assert spark.read.csv(str(tmp_path / "table"), sep="\t", header=True, schema=rows.schema).exceptAll(rows).isEmpty()
