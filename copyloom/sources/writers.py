@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 
 from copyloom import schemas
 from copyloom.functions.columns import region_label
-from copyloom.session import cut
+from copyloom.session import cut, handover_path
 
 # Parts a sample's counts are written in.
 SAMPLE_PARTS = 4
 
+# Rows of a piece of a sample's file, and most tasks that string pieces together.
+PIECE_ROWS = 200_000
+MOST_FILE_TASKS = 200
+
 
 def labelled_counts(counts: DataFrame, targets: DataFrame) -> DataFrame:
     """Counts under the region label contig:start-end."""
@@ -40,15 +44,51 @@ def write_counts(counts: DataFrame, targets: DataFrame, path: str, fmt: str = "p
 def write_sample_files(rows: DataFrame, folder: str, suffix: str, columns: list[str], order: list[str], sep: str = "\t") -> DataFrame:
     """One text file per sample, `<sample><suffix>`, with a header and NA for NULL; packed if the name ends so.
 
-    A task streams its samples' rows in order, so it holds one batch. Files are written under another name and then
-    moved, so that a repeated attempt replaces a file rather than adding to it. A row without a sample name has no file
-    to go to and is an error. Returns sample_name and rows.
+    However large a sample is, no task sorts it whole: ranges of about `PIECE_ROWS` rows in order of sample and place are written
+    as pieces, which are then strung together byte by byte. A task holds one range, or one piece of a megabyte. Files are
+    written under another name and then moved, so that a repeated attempt replaces a file rather than adding to it. A row
+    without a sample name has no file to go to and is an error. Returns sample_name and rows.
     """
+    spark = rows.sparkSession
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
+    scratch = handover_path(spark, "pieces")
+    store, pieces_root = fs.FileSystem.from_uri(scratch)
+    store.create_dir(pieces_root, recursive=True)
     packed = suffix.endswith(".gz")
 
+    def encoded(part: pd.DataFrame, header: bool) -> bytes:
+        text = io.StringIO()
+        part.to_csv(text, sep=sep, index=False, header=header, na_rep="NA")
+        data = text.getvalue().encode()
+        return gzip.compress(data) if packed else data
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        target, root = fs.FileSystem.from_uri(scratch)
+        context = TaskContext.get()
+        sample, out, piece, count, done = None, None, "", 0, 0
+
+        def close() -> pd.DataFrame:
+            out.close()
+            return pd.DataFrame({"sample_name": [sample], "place": [context.partitionId()], "piece": [piece], "rows": [count]})
+
+        for batch in batches:
+            if batch["sample_name"].isna().any():
+                raise ValueError("rows without a sample name belong to no file")
+            for name, part in batch.groupby("sample_name", sort=False):
+                if name != sample:
+                    if out is not None:
+                        yield close()
+                    sample, count, done = name, 0, done + 1
+                    piece = f"{context.taskAttemptId()}-{done}"
+                    out = target.open_output_stream(f"{root}/{piece}", compression=None)
+                out.write(encoded(part[columns], False))
+                count += len(part)
+        if out is not None:
+            yield close()
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, pieces = fs.FileSystem.from_uri(scratch)
         target, root = fs.FileSystem.from_uri(folder)
         attempt = TaskContext.get().taskAttemptId()
         sample, out, count = None, None, 0
@@ -59,26 +99,32 @@ def write_sample_files(rows: DataFrame, folder: str, suffix: str, columns: list[
             return pd.DataFrame({"sample_name": [sample], "rows": [count]})
 
         for batch in batches:
-            if batch["sample_name"].isna().any():
-                raise ValueError("rows without a sample name belong to no file")
-            for name, part in batch.groupby("sample_name", sort=False):
-                text = io.StringIO()
-                if name != sample:
+            for row in batch.itertuples():
+                if row.sample_name != sample:
                     if out is not None:
                         yield close()
-                    sample, count = name, 0
+                    sample, count = row.sample_name, 0
                     out = target.open_output_stream(f"{root}/_{attempt}_{sample}{suffix}", compression=None)
-                part[columns].to_csv(text, sep=sep, index=False, header=count == 0, na_rep="NA")
-                data = text.getvalue().encode()
-                out.write(gzip.compress(data) if packed else data)
-                count += len(part)
+                    out.write(encoded(pd.DataFrame(columns=columns), True))
+                with source.open_input_stream(f"{pieces}/{row.piece}", compression=None) as data:
+                    while chunk := data.read(1 << 20):
+                        out.write(chunk)
+                count += row.rows
         if out is not None:
             yield close()
 
     # Numbers as text, so that NULL does not turn whole numbers into fractions.
     text = [F.col(c).cast("string").alias(c) for c in columns if c != "sample_name"]
-    spread = rows.repartition("sample_name").sortWithinPartitions("sample_name", *order).select("sample_name", *text)
-    return cut(spread.mapInPandas(write, "sample_name string, rows long"))
+    place = F.struct(*order, F.xxhash64(*columns)).alias("_place")
+    kept = cut(rows.select("sample_name", place, *text))
+    ranges = max(1, -(-kept.count() // PIECE_ROWS))
+    spread = kept.repartitionByRange(ranges, "sample_name", "_place").sortWithinPartitions("sample_name", "_place").drop("_place")
+    written = cut(spread.mapInPandas(write, "sample_name string, place int, piece string, rows long"))
+    # A row per piece says nothing of its bytes: tasks by number of pieces.
+    tasks = max(1, min(written.count(), MOST_FILE_TASKS))
+    joined = cut(written.repartition(tasks, "sample_name").sortWithinPartitions("sample_name", "place").mapInPandas(join, "sample_name string, rows long"))
+    store.delete_dir(pieces_root)
+    return joined
 
 
 def write_count_files(counts: DataFrame, targets: DataFrame, folder: str) -> DataFrame:

@@ -234,6 +234,20 @@ def test_count_files_are_unpacked_in_pieces():
     assert len(tables) > 50 and [n for t in tables for n in t["n"].to_pylist()] == list(range(1000))
 
 
+def test_a_large_sample_is_sorted_in_ranges(spark, tmp_path, monkeypatch):
+    """A file of several pieces is whole and in order, under one header; no task sorts all of it."""
+    monkeypatch.setattr(writers, "PIECE_ROWS", 100)
+    frame = spark.range(1000).selectExpr("if(id % 10 = 0, 'a', 'b') sample_name", "cast(999 - id as int) start_bp", "if(id = 7, null, id) n")
+    for suffix, sep in ((".tsv", "\t"), (".csv.gz", ",")):
+        done = writers.write_sample_files(frame, str(tmp_path / f"out{suffix}"), suffix, ["start_bp", "n"], ["start_bp"], sep)
+        assert {r["sample_name"]: r["rows"] for r in done.collect()} == {"a": 100, "b": 900}
+        lines = [r.value for r in spark.read.text(str(tmp_path / f"out{suffix}" / f"b{suffix}")).collect()]
+        assert lines[0] == f"start_bp{sep}n" and f"992{sep}NA" in lines
+        starts = [int(line.split(sep)[0]) for line in lines[1:]]
+        assert starts == sorted(starts) and starts == [i for i in range(1000) if (999 - i) % 10]
+        assert sorted(p.name for p in (tmp_path / f"out{suffix}").iterdir() if not p.name.startswith(".")) == [f"a{suffix}", f"b{suffix}"]
+
+
 def test_gene_table_repeats_take_little_room(spark, tmp_path):
     """Rows that differ in one score only take a few bytes each."""
     rows = spark.range(20000).selectExpr("concat('1:1000-2000/', id div 500) call_id", "'a gene that a call touches' gene_name", "(id % 500) / 1000 hi_score")
