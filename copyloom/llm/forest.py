@@ -11,8 +11,8 @@
    and hub.
 4. Last links: within a region, nodes of different components by now are held against each other, in blocks of at most
    `BLOCK_ROWS` by `BLOCK_ROWS`; pairs that the bitmaps leave are candidates. Rounds confirm them: one of each two components
-   first, `MORE` times as many in each further round, and those whose components have met need no confirmation. Nothing is
-   paired inside a component. All links together give the components.
+   first, `MORE` times as many in each further round, all when no more are left than there are sets, and those whose components
+   have met need no confirmation. Nothing is paired inside a component. A round joins components only, not all links anew.
 
 Two documents with a similarity s of 0.85 share a region of a tree with a chance of s**3, where the region is crowded s**5.
 With 24 trees a link is missed with a chance below 2e-10 and 8e-7; similar ones are found the more surely. A set so small
@@ -365,14 +365,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int, group_ro
     return cut(streams.select("a", "part", "b", "text").mapInArrow(_confirming(n, percent), "a long, b long"))
 
 
-def settled(candidates: DataFrame, first: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """node, component from links `first` and those of the candidates that prove to be links.
+def settled(candidates: DataFrame, together: DataFrame, texts: DataFrame, n: int, percent: int, plenty: int) -> DataFrame:
+    """node, component from components `together` and those of the candidates that prove to be links.
 
-    A round confirms some candidates between each two components, one at first and `MORE` times as many each further time.
-    Candidates whose components have met are left out, as they change nothing.
+    A round confirms some candidates between each two components, one at first and `MORE` times as many each further time; once
+    no more than `plenty` are left, all of them. Candidates whose components have met are left out, as they change nothing.
     """
-    links, limit = first, 1
-    together = cut(components(links))
+    limit = 1
     while True:
         rows = candidates
         for side in ("a", "b"):
@@ -382,12 +381,26 @@ def settled(candidates: DataFrame, first: DataFrame, texts: DataFrame, n: int, p
         rows = rows.where("component_a != component_b").select("a", "b", *ends)
         rank = F.row_number().over(W.partitionBy("x", "y").orderBy(F.xxhash64("a", "b"), "a", "b"))
         rows = cut(rows.withColumn("rank", rank))
-        if rows.isEmpty():
+        left = rows.count()
+        some = rows if left <= plenty else rows.where(F.col("rank") <= limit)
+        found = confirmed(some.select("a", "b"), texts, n, percent) if left else None
+        if found is not None and not found.isEmpty():
+            met = cut(components(some.join(found, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))))
+            together = cut(joined(together, met))
+        if left <= plenty:
             return together
-        found = confirmed(rows.where(F.col("rank") <= limit).select("a", "b"), texts, n, percent)
         candidates, limit = rows.where(F.col("rank") > limit).select("a", "b"), limit * MORE
-        links = links.unionByName(found)
-        together = cut(components(links))
+
+
+def joined(together: DataFrame, met: DataFrame) -> DataFrame:
+    """node, component after the components of `together` have met as `met` says: its nodes are components, or nodes that
+    were alone."""
+    met = met.select(F.col("node").alias("whole"), F.col("component").alias("new"))
+    rows = together.join(broadcast_if_small(met), F.col("component") == F.col("whole"), "left")
+    rows = rows.select("node", F.coalesce("new", "component").alias("component"))
+    known = together.select("component").distinct()
+    alone = met.join(known, F.col("whole") == F.col("component"), "left_anti")
+    return rows.unionByName(alone.select(F.col("whole").alias("node"), F.col("new").alias("component")))
 
 
 # --- the operator
@@ -405,8 +418,10 @@ def linked(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, region_rows:
     nodes = sets.where("labels is not null").select("node", "n", "labels", "bits")
     members = forest(nodes, region_rows, run_rows)
     first = confirmed(cut(first_pairs(members, nodes, percent)), texts.select("number", "text"), n, percent)
-    last = cut(last_pairs(members, nodes, cut(components(first)), percent, block_rows))
-    together = settled(last, first, texts.select("number", "text"), n, percent)
+    together = cut(components(first))
+    last = cut(last_pairs(members, nodes, together, percent, block_rows))
+    # As many candidates as there are sets cost no more than the first links did.
+    together = settled(last, together, texts.select("number", "text"), n, percent, sets.count())
     return rows.drop("labels", "bits"), sets.drop("labels", "bits", "n"), together
 
 

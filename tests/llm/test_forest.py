@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from copyloom.llm import forest
 from copyloom.llm.forest import HASHES, Bitmaps, _regions, least_linked, may_link, near_duplicates, parity, signatures
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -152,3 +153,25 @@ def test_bitmaps_never_rule_out_a_link():
         linked[k] = 100 * common >= 85 * (len(sets[x]) + len(sets[y]) - common)
     assert (ok | ~linked).all()
     assert ok.sum() < 1.6 * linked.sum()
+
+
+@pytest.mark.parametrize("plenty", [1000, 0])
+def test_few_candidates_take_one_round(spark, monkeypatch, plenty):
+    calls = []
+
+    def counted(*args):
+        calls.append(1)
+        return confirmed(*args)
+
+    confirmed = forest.confirmed
+    monkeypatch.setattr(forest, "confirmed", counted)
+    text = {i: " ".join(f"w{i}x{k}" for k in range(20)) for i in [*range(20), *range(100, 120), 500, 501]}
+    text[119] = text[500] = text[19]
+    texts = spark.createDataFrame(list(text.items()), "number long, text string")
+    together = spark.createDataFrame([(i, i // 100 * 100) for i in [*range(20), *range(100, 120)]], "node long, component long")
+    pairs = [(a, b) for a in range(20) for b in range(100, 120)] + [(19, 500), (0, 501)]
+    candidates = spark.createDataFrame(pairs, "a long, b long")
+    out = forest.settled(candidates, together, texts, 3, 85, plenty)
+    found = sorted((r.node, r.component) for r in out.collect())
+    assert found == [(i, 0) for i in [*range(20), *range(100, 120), 500]]
+    assert (len(calls) == 1) == (plenty == 1000)
