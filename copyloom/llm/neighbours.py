@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by inner product: a navigable small-world graph per shard, shard results merged.
 
 Vectors are dealt to shards of about `SHARD_ROWS` by a hash. A task builds the layered graph of one shard over its distinct
-vectors and stores it as one row of flat arrays: ids, vectors, and for each layer the nodes in it and a fixed number of
+vectors, links chosen layer by layer from products of blocks, and stores it as one row of flat arrays: ids, vectors, and for each layer the nodes in it and a fixed number of
 neighbours each, -1 where there are fewer. Vectors get one more component that gives them equal length, so that the
-largest inner product is the nearest point. Queries go in blocks to every shard of their dimension; each shard returns its
+largest inner product is the nearest point. Queries go in blocks, in which `WALKS` walk a graph in step, to every shard of their dimension; each shard returns its
 best, scored in double precision on the original vectors (the walk through the graph compares in single precision), and the best of all shards are the result.
 
 Every row is indexed. Graph and search are approximate; `ef_search` trades time for recall. Nulls and edge cases: vectors
@@ -15,7 +15,6 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,11 +26,15 @@ from pyspark.sql import functions as F
 
 from copyloom.session import cut
 
-SHARD_ROWS = 4096
-QUERY_ROWS = 1024
+SHARD_ROWS = 16_384
+QUERY_ROWS = 4096
 LINKS = 16
 EF_BUILD = 64
-EF_SEARCH = 72
+EF_SEARCH = 144
+UPPER_BEAM = 8
+EXPANDED = 8  # nodes of a beam that a step expands
+WALKS = 128  # queries that walk a graph in step
+INSERTED = 512  # nodes that get their neighbours at once
 SEED = 11
 GRAPH = "dim int, shard int, ids binary, first binary, vectors binary, layer_nodes binary, layer_first binary, neighbours binary"
 FOUND = "query long, query_id long, vec_id long, score double"
@@ -60,59 +63,111 @@ class Graph:
         return Graph(ids, first, vectors.reshape(-1, dim), nodes, layers, links.reshape(len(nodes), -1))
 
 
-def _beam(points: np.ndarray, query: np.ndarray, entry: list[tuple[float, int]], ef: int, links, seen: np.ndarray, stamp: int) -> list[tuple[float, int]]:
-    """The best `ef` nodes reached from `entry` (pairs of likeness and node) over `links`, best first."""
-    best = list(entry)
-    heapq.heapify(best)
-    open_ = [(-s, n) for s, n in entry]
-    heapq.heapify(open_)
-    seen[[n for _, n in entry]] = stamp
-    worst = best[0][0]
-    while open_:
-        s, node = heapq.heappop(open_)
-        if -s < worst and len(best) >= ef:
-            break
-        near = links(node)
-        near = near[seen[near] != stamp]
-        if not len(near):
-            continue
-        seen[near] = stamp
-        likeness = points[near] @ query
-        if len(best) >= ef:
-            good = likeness > worst
-            near, likeness = near[good], likeness[good]
-        for s, n in zip(likeness.tolist(), near.tolist(), strict=True):
-            if len(best) < ef:
-                heapq.heappush(best, (s, n))
-            elif s > worst:
-                heapq.heapreplace(best, (s, n))
-            else:
-                continue
-            worst = best[0][0]
-            heapq.heappush(open_, (-s, n))
-    return sorted(best, reverse=True)
-
-
-def _spread(points: np.ndarray, ordered: list[tuple[float, int]], most: int) -> list[int]:
-    """Of candidates, best first, those nearer to the point than to any one taken before; then the best of the others."""
-    nodes = np.fromiter((n for _, n in ordered), dtype=np.int64, count=len(ordered))
-    if len(nodes) <= most:
-        return nodes.tolist()
-    likeness = np.fromiter((s for s, _ in ordered), dtype=np.float32, count=len(ordered))
-    own = points[nodes]
-    blocked = np.zeros(len(nodes), dtype=bool)
-    taken: list[int] = []
-    for i in range(len(nodes)):
-        if not blocked[i]:
-            taken.append(i)
-            if len(taken) == most:
-                break
-            blocked |= own @ own[i] > likeness
-    if len(taken) < most:
-        rest = np.ones(len(nodes), dtype=bool)
-        rest[taken] = False
-        taken += np.flatnonzero(rest)[: most - len(taken)].tolist()
-    return nodes[taken].tolist()
+def _best(scores: np.ndarray, most: int) -> np.ndarray:
+    """Columns of the `most` largest scores of each row, in no order."""
+    if scores.shape[1] <= most:
+        return np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+    return np.argpartition(scores, scores.shape[1] - most, axis=1)[:, scores.shape[1] - most :]
+
+
+def _walk(points: np.ndarray, queries: np.ndarray, entry: np.ndarray, ef: int, links: np.ndarray, expanded: int = EXPANDED) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and likeness of the best `ef` nodes that each query reaches over `links` (a row of neighbours for each node, -1
+    where there are fewer) from its node in `entry`, best first; -1 where there are fewer. All queries go in step; each of
+    them expands its best unexpanded nodes until its beam has none."""
+    count, n = len(queries), len(points)
+    nodes = np.full((count, ef), -1, dtype=np.int64)
+    scores = np.full((count, ef), -np.inf, dtype=np.float32)
+    nodes[:, 0], scores[:, 0] = entry, np.einsum("ij,ij->i", points[entry], queries)
+    waiting = np.zeros((count, ef), dtype=bool)
+    waiting[:, 0] = True
+    seen = np.zeros(count * n, dtype=bool)
+    winner = np.zeros(count * n, dtype=np.int32)
+    seen[np.arange(count) * n + entry] = True
+    active = np.arange(count)
+    while len(active):
+        open_ = np.where(waiting[active], scores[active], -np.inf)
+        at = _best(open_, expanded)
+        ok = np.take_along_axis(open_, at, 1) > -np.inf
+        chosen = nodes[active[:, None], at]
+        waiting[active[:, None], at] = False
+        near = np.where(ok[:, :, None], links[np.where(ok, chosen, 0)], -1).reshape(len(active), -1)
+        row, column = np.nonzero(near >= 0)
+        place = active[row] * n + near[row, column]
+        new = ~seen[place]
+        row, column, place = row[new], column[new], place[new]
+        winner[place] = np.arange(len(place))  # a node met twice in a step counts once
+        new = winner[place] == np.arange(len(place))
+        row, column, place = row[new], column[new], place[new]
+        seen[place] = True
+        found = near[row, column]
+        likeness = np.full(near.shape, -np.inf, dtype=np.float32)
+        likeness[row, column] = np.einsum("ij,ij->i", points[found], queries[active[row]])
+        all_scores = np.concatenate([scores[active], likeness], axis=1)
+        keep = _best(all_scores, ef)
+        scores[active] = np.take_along_axis(all_scores, keep, 1)
+        nodes[active] = np.take_along_axis(np.concatenate([nodes[active], near], axis=1), keep, 1)
+        fresh = np.concatenate([waiting[active], likeness > -np.inf], axis=1)
+        waiting[active] = np.take_along_axis(fresh, keep, 1)
+        active = active[waiting[active].any(axis=1)]
+    order = np.argsort(-scores, axis=1, kind="stable")
+    scores = np.take_along_axis(scores, order, 1)
+    return np.where(scores > -np.inf, np.take_along_axis(nodes, order, 1), -1), scores
+
+
+def _spread(points: np.ndarray, nodes: np.ndarray, likeness: np.ndarray, most: int) -> np.ndarray:
+    """Of each row of candidates, best first (likeness -inf: none), those nearer to the point than to any one taken before;
+    then the best of the others; -1 where there are fewer than `most`."""
+    own = points[np.maximum(nodes, 0)]
+    between = own @ own.transpose(0, 2, 1)
+    there = likeness > -np.inf
+    blocked, taken = ~there, np.zeros_like(there)
+    count = np.zeros(len(nodes), dtype=np.int64)
+    for i in range(nodes.shape[1]):
+        take = ~blocked[:, i] & (count < most)
+        taken[:, i] = take
+        count += take
+        blocked |= take[:, None] & (between[:, i] > likeness)
+    order = np.argsort(np.where(taken, 0, np.where(there, 1, 2)), axis=1, kind="stable")[:, :most]
+    out = np.full((len(nodes), most), -1, dtype=np.int64)
+    out[:, : order.shape[1]] = np.where(np.take_along_axis(there, order, 1), np.take_along_axis(nodes, order, 1), -1)
+    return out
+
+
+def _ordered(nodes: np.ndarray, likeness: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` best candidates of each row, best first."""
+    keep = _best(likeness, most)
+    nodes, likeness = np.take_along_axis(nodes, keep, 1), np.take_along_axis(likeness, keep, 1)
+    order = np.argsort(-likeness, axis=1, kind="stable")
+    return np.take_along_axis(nodes, order, 1), np.take_along_axis(likeness, order, 1)
+
+
+def _layer(points: np.ndarray, links: int, most: int, ef: int) -> np.ndarray:
+    """Neighbours of the nodes of a layer, whose points come in order of insertion: each node is linked to near and spread-out
+    nodes before it, out of its `ef` nearest ones, and these back to it; more than `most` are thinned out likewise."""
+    n = len(points)
+    forward = np.full((n, links), -1, dtype=np.int64)
+    for low in range(0, n, INSERTED):
+        high = min(n, low + INSERTED)
+        likeness = points[low:high] @ points[:high].T
+        likeness[np.arange(high)[None, :] >= np.arange(low, high)[:, None]] = -np.inf
+        nodes, likeness = _ordered(np.broadcast_to(np.arange(high), likeness.shape), likeness, ef)
+        forward[low:high] = _spread(points, nodes, likeness, links)
+    row, column = np.nonzero(forward >= 0)
+    source, target = np.concatenate([row, forward[row, column]]), np.concatenate([forward[row, column], row])
+    likeness = np.einsum("ij,ij->i", points[source], points[target])
+    order = np.lexsort((-likeness, target))
+    source, target, likeness = source[order], target[order], likeness[order]
+    rank = np.arange(len(target)) - np.searchsorted(target, target)
+    some = rank < 2 * most  # a node that many others chose: the nearest of them are looked at
+    wide = np.full((n, 2 * most), -1, dtype=np.int64)
+    near = np.full((n, 2 * most), -np.inf, dtype=np.float32)
+    wide[target[some], rank[some]], near[target[some], rank[some]] = source[some], likeness[some]
+    out = wide[:, :most].copy()
+    many = np.flatnonzero(wide[:, most] >= 0)
+    for low in range(0, len(many), INSERTED):
+        at = many[low : low + INSERTED]
+        out[at] = _spread(points, wide[at], near[at], most)
+    return out
 
 
 def _lifted(vectors: np.ndarray) -> np.ndarray:
@@ -125,7 +180,8 @@ def _lifted(vectors: np.ndarray) -> np.ndarray:
 
 
 def build_graph(ids: np.ndarray, vectors: np.ndarray, links: int = LINKS, ef: int = EF_BUILD, seed: int = SEED) -> Graph:
-    """Inserts the distinct vectors one by one, each linked to near and spread-out nodes in its layers."""
+    """Layers of the distinct vectors in a random order of insertion, each linked to near and spread-out nodes before it. What a
+    vector is linked to is chosen from its true nearest in the shard: products of blocks cost less than walks there."""
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], np.ascontiguousarray(vectors[order]) + vectors.dtype.type(0)  # no negative zeros
     _, first_row, node_of = np.unique(vectors.view(f"V{vectors.shape[1] * vectors.itemsize}").ravel(), return_index=True, return_inverse=True)
@@ -135,42 +191,17 @@ def build_graph(ids: np.ndarray, vectors: np.ndarray, links: int = LINKS, ef: in
     points, n = _lifted(own), len(first_row)
     rng = np.random.default_rng([seed, n])
     level = np.minimum((-np.log(1 - rng.random(n)) / np.log(links)).astype(int), 30)
-    layers: list[dict[int, np.ndarray]] = [{} for _ in range(level.max(initial=0) + 1)]
-    seen, stamp = np.zeros(n, dtype=np.int64), 0
-    entry = -1
-    for node in rng.permutation(n).tolist():
-        top = int(level[node])
-        for layer in range(top + 1):
-            layers[layer][node] = np.zeros(0, dtype=np.int64)
-        if entry >= 0:
-            point, high = points[node], int(level[entry])
-            near = [(float(points[entry] @ point), entry)]
-            for layer in range(high, -1, -1):
-                stamp += 1
-                near = _beam(points, point, near[:1] if layer >= top else near, ef if layer <= top else 1, layers[layer].__getitem__, seen, stamp)
-                if layer > top:
-                    continue
-                near = [x for x in near if x[1] != node]
-                layers[layer][node] = np.array(_spread(points, near, links), dtype=np.int64)
-                most = 2 * links if layer == 0 else links
-                for other in layers[layer][node].tolist():
-                    back = np.append(layers[layer][other], node)
-                    if len(back) > most:
-                        likeness = points[back] @ points[other]
-                        best = np.argsort(-likeness, kind="stable")
-                        back = np.array(_spread(points, list(zip(likeness[best].tolist(), back[best].tolist(), strict=True)), most), dtype=np.int64)
-                    layers[layer][other] = back
-        if entry < 0 or top > level[entry]:
-            entry = node
-    nodes = [np.array(sorted(x, key=lambda v: v != entry) if i == len(layers) - 1 else list(x), dtype=np.int32) for i, x in enumerate(layers)]
-    flat = np.full((sum(map(len, nodes)), 2 * links), -1, dtype=np.int32)
-    at = 0
-    for layer, members in zip(layers, nodes, strict=True):
-        for node in members.tolist():
-            flat[at, : len(layer[node])] = layer[node]
-            at += 1
+    inserted = rng.permutation(n)
+    nodes, flat = [], []
+    for layer in range(level.max(initial=0) + 1):
+        members = inserted[level[inserted] >= layer]  # the first of the top layer is where walks begin
+        found = _layer(points[members], links, 2 * links if layer == 0 else links, ef)
+        wide = np.full((len(members), 2 * links), -1, dtype=np.int32)
+        wide[:, : found.shape[1]] = np.where(found >= 0, members[found], -1)
+        nodes.append(members.astype(np.int32))
+        flat.append(wide)
     return Graph(
-        ids[by_node], np.concatenate([[0], np.cumsum(counts)]), own, np.concatenate(nodes), np.concatenate([[0], np.cumsum([len(x) for x in nodes])]), flat
+        ids[by_node], np.concatenate([[0], np.cumsum(counts)]), own, np.concatenate(nodes), np.concatenate([[0], np.cumsum([len(x) for x in nodes])]), np.concatenate(flat)
     )
 
 
@@ -179,32 +210,34 @@ class Searcher:
 
     def __init__(self, graph: Graph) -> None:
         self.graph, self.points = graph, _lifted(graph.vectors)
-        self.wide = graph.vectors.astype(np.float64)
         n, self.layers = len(graph.vectors), []
         for low, high in zip(graph.layer_first[:-1], graph.layer_first[1:], strict=True):
-            row = np.full(n, -1, dtype=np.int64)
-            row[graph.layer_nodes[low:high]] = np.arange(low, high)
-            self.layers.append(row)
+            links = np.full((n, graph.neighbours.shape[1]), -1, dtype=np.int32)
+            links[graph.layer_nodes[low:high]] = graph.neighbours[low:high]
+            self.layers.append(links)
         self.entry = int(graph.layer_nodes[graph.layer_first[-2]])
-        self.seen, self.stamp = np.zeros(n, dtype=np.int64), 0
 
     def nearest(self, query: np.ndarray, own_id: int, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and inner products of the best `k` rows found, without those with the query's own id."""
+        return self.nearest_of(np.asarray(query)[None, :], np.array([own_id]), k, ef)[0]
+
+    def nearest_of(self, queries: np.ndarray, own_ids: np.ndarray, k: int, ef: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for many queries."""
+        out = []
+        for low in range(0, len(queries), WALKS):
+            wide = queries[low : low + WALKS].astype(np.float64)
+            length = np.maximum(np.sqrt((wide**2).sum(axis=1, keepdims=True)), 1e-300)
+            walkers = np.column_stack([wide / length, np.zeros(len(wide))]).astype(np.float32)
+            near = np.full((len(wide), 1), self.entry)
+            for layer in range(len(self.layers) - 1, -1, -1):
+                near, _ = _walk(self.points, walkers, near[:, 0], max(ef, k + 1) if layer == 0 else UPPER_BEAM, self.layers[layer], EXPANDED if layer == 0 else 1)
+            out += [self._rows(query, nodes[nodes >= 0], own, k) for query, nodes, own in zip(wide, near, own_ids[low : low + WALKS].tolist(), strict=True)]
+        return out
+
+    def _rows(self, query: np.ndarray, nodes: np.ndarray, own_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best `k` rows of some nodes, scored in double precision on the vectors as given."""
         graph = self.graph
-        point = np.append(query, 0).astype(np.float64)
-        point = (point / max(np.sqrt((point**2).sum()), 1e-300)).astype(np.float32)
-        near = [(float(self.points[self.entry] @ point), self.entry)]
-        for layer in range(len(self.layers) - 1, -1, -1):
-            rows = self.layers[layer]
-
-            def links(node: int) -> np.ndarray:
-                out = graph.neighbours[rows[node]]
-                return out[out >= 0]
-
-            self.stamp += 1
-            near = _beam(self.points, point, near[:1], max(ef, k + 1) if layer == 0 else 1, links, self.seen, self.stamp)
-        nodes = np.fromiter((n for _, n in near), dtype=np.int64, count=len(near))
-        scores = (self.wide[nodes] * query.astype(np.float64)).sum(axis=1)
+        scores = (graph.vectors[nodes].astype(np.float64) * query).sum(axis=1)
         sizes = np.minimum(graph.first[nodes + 1] - graph.first[nodes], k + 1)  # ids of a node ascend: the rest cannot be wanted
         at = np.repeat(graph.first[nodes], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         ids, scores = graph.ids[at], np.repeat(scores, sizes)
@@ -265,7 +298,7 @@ def search(graphs: DataFrame, shards: dict[int, int], queries: DataFrame, k: int
             return pd.DataFrame({f.split()[0]: [] for f in FOUND.split(", ")})
         row = graph.iloc[0]
         searcher = Searcher(Graph.restored(int(row.dim), [row[c] for c in ("ids", "first", "vectors", "layer_nodes", "layer_first", "neighbours")]))
-        found = [searcher.nearest(np.asarray(v), i, k, ef) for i, v in zip(queries.vec_id, queries.embedding, strict=True)]
+        found = searcher.nearest_of(np.stack(queries.embedding.to_numpy()), queries.vec_id.to_numpy(), k, ef)
         sizes = [len(ids) for ids, _ in found]
         columns = {"query": np.repeat(queries["query"].to_numpy(), sizes), "query_id": np.repeat(queries.vec_id.to_numpy(), sizes)}
         return pd.DataFrame(columns | {"vec_id": np.concatenate([x for x, _ in found]), "score": np.concatenate([x for _, x in found])})

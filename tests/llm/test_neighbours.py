@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from copyloom.llm.neighbours import EF_SEARCH, Searcher, build_graph, layers_of, neighbours
+from copyloom.llm.neighbours import EF_SEARCH, SHARD_ROWS, Searcher, build_graph, layers_of, neighbours
 from copyloom.llm.queries import op8_neighbours
 
 COLUMNS = "vec_id long, embedding array<float>, label int"
@@ -104,3 +104,15 @@ def test_scores_are_those_of_the_given_numbers(spark, kind):
         assert best == sorted(best, key=lambda x: (-x[1], x[0]))
         for i, s in best:
             assert s == pytest.approx(float(vectors[i] @ vectors[q]), rel=1e-15)
+
+
+def test_a_shard_is_large_and_finds_what_lies_in_it():
+    """Queries from outside the shard, over as many rows as four shards had before; walks were too dear for that."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(SHARD_ROWS + 200, 32)).astype(np.float32)
+    assert SHARD_ROWS >= 16_384
+    searcher = Searcher(build_graph(np.arange(SHARD_ROWS), vectors[:SHARD_ROWS]))
+    scores = vectors[SHARD_ROWS:].astype(float) @ vectors[:SHARD_ROWS].astype(float).T
+    expected = {q: [(int(i), float(scores[q, i])) for i in np.argsort(-scores[q])[:20]] for q in range(200)}
+    found = searcher.nearest_of(vectors[SHARD_ROWS:], np.full(200, -1), 20, EF_SEARCH)
+    assert recall({q: list(zip(*(x.tolist() for x in f), strict=True)) for q, f in enumerate(found)}, expected) >= 0.9
