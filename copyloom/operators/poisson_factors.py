@@ -15,8 +15,11 @@ Rows with a NULL or non-positive expected count must be left out before; a NULL
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,35 +53,87 @@ def newton_steps(gram: pd.Series, slope: pd.Series) -> pd.Series:
     return pd.Series(list(np.where(np.isfinite(step), step, 0.0)))
 
 
+def _packed(rows: DataFrame, key: str, **names: str) -> DataFrame:
+    """A row for each (part, key): its models `ks` in order and their weights behind each other, under new names."""
+    models = F.sort_array(F.collect_list(F.struct("k", *names)))
+    rows = rows.groupBy("part", key).agg(models.alias("m"))
+    flat = [F.flatten(f"m.{c}").alias(name) for c, name in names.items()]
+    return small_table(rows.select("part", key, F.col("m.k").alias("ks"), *flat))
+
+
+def _sums(key: str, most: int, wide: list[str], terms, names: list[str], kept: list[str]):
+    """Sums of `terms` over the rows of each (part, key) in a batch, a row for each model; `kept` are weights of the key."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, own = batch.column("part").dictionary_encode(), batch.column(key).dictionary_encode()
+            code = part.indices.to_numpy().astype(np.int64) * len(own.dictionary) + own.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+            first = pa.array(np.repeat(order[starts], models := len(batch.column("ks")[0])))
+            n, expected = (batch.column(c).to_numpy(zero_copy_only=False).astype(float)[order, None] for c in ("n", "expected"))
+            weights = {c: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, models, most) for c in wide}
+            with np.errstate(all="ignore"):
+                found = [np.add.reduceat(t, starts, axis=0).ravel() for t in terms(n, expected, *(weights[c][order] for c in wide))]
+            out = {"part": batch.column("part").take(first), "k": pa.array(np.tile(batch.column("ks")[0].as_py(), len(starts)), pa.int32())}
+            out |= {key: batch.column(key).take(first)}
+            out |= {c: pa.array(list(weights[c][order[starts]].reshape(-1, most)), pa.list_(pa.float64())) for c in kept}
+            yield pa.RecordBatch.from_pydict(out | {c: pa.array(f) for c, f in zip(names, found, strict=True)})
+
+    return add
+
+
+def _shift(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.clip(np.einsum("rki,rki->rk", x, w), -LARGEST_SHIFT, LARGEST_SHIFT)
+
+
 def half_round(cells: DataFrame, held: DataFrame, held_key: str, moved: DataFrame, moved_key: str, most: int) -> DataFrame:
     """A step of all weights of one side: (part, k, moved_key, w, ll), `ll` the log-likelihood of its counts afterwards.
 
-    `cells` holds part, sample_name, region_id, n, expected; `held` and `moved` hold part, k, their key and weights `w`.
+    `cells` holds part, sample_name, region_id, n, expected; `held` and `moved` hold part, k, their key and weights `w`. A cell
+    is one row that meets the weights of all models at once; a batch adds up what it holds of a key.
     """
     solve = F.pandas_udf(newton_steps, "array<double>")
-    rows = cells.join(small_table(held.withColumnRenamed("w", "x")), ["part", held_key])
+    pairs = [(i, j) for i in range(most) for j in range(i, most)]
     key = ["part", "k", moved_key]
-    now = rows.join(small_table(moved.select(*key, "w")), key).withColumn("mu", F.col("expected") * F.exp(_dot(F.col("x"), F.col("w"))))
-    x = [F.get("x", F.lit(i)) for i in range(most)]
-    sums = {(i, j): F.sum(F.col("mu") * x[i] * x[j]) for i in range(most) for j in range(i, most)}
-    sums = {pair: s.alias(f"_a{pair[0]}_{pair[1]}") for pair, s in sums.items()}
-    slopes = [F.sum((F.col("n") - F.col("mu")) * x[i]).alias(f"_b{i}") for i in range(most)]
-    equations = now.groupBy(*key, "w").agg(*sums.values(), *slopes)
+    kind = f"part string, k int, {moved_key} {dict(cells.dtypes)[moved_key]}"
+    held = _packed(held, held_key, w="x").drop("ks")
+    rows = cells.select("part", "sample_name", "region_id", F.col("n").cast("double").alias("n"), "expected").join(held, ["part", held_key])
+
+    def equations(n, expected, x, w):
+        mu = expected * np.exp(_shift(x, w))
+        missing = n - mu
+        there = np.nan_to_num(mu)
+        yield from (there * x[:, :, i] * x[:, :, j] for i, j in pairs)
+        yield from (np.nan_to_num(missing) * x[:, :, i] for i in range(most))
+
+    names = [f"_a{i}_{j}" for i, j in pairs] + [f"_b{i}" for i in range(most)]
+    now = rows.join(_packed(moved, moved_key, w="w"), ["part", moved_key])
+    found = now.mapInArrow(_sums(moved_key, most, ["x", "w"], equations, names, ["w"]), f"{kind}, w array<double>, {', '.join(f'{c} double' for c in names)}")
+    found = found.groupBy(*key).agg(F.first("w").alias("w"), *[F.sum(c).alias(c) for c in names])
     gram = F.array(*[f"_a{min(i, j)}_{max(i, j)}" for i in range(most) for j in range(most)])
-    steps = equations.select(*key, "w", solve(gram, F.array(*[f"_b{i}" for i in range(most)])).alias("step"))
-    tried = rows.join(small_table(steps), key)
+    steps = found.select(*key, "w", solve(gram, F.array(*[f"_b{i}" for i in range(most)])).alias("step"))
+    tried = rows.join(_packed(steps, moved_key, w="w", step="step"), ["part", moved_key])
+    shares = (0.0, *STEPS)  # the first of equals: no step without a gain
+
+    def values(n, expected, x, w, step):
+        log = np.log(np.where(expected > 0, expected, np.nan))
+        for share in shares:
+            shift = _shift(x, w + share * step)
+            yield np.nan_to_num(n * (log + shift) - expected * np.exp(shift))
+
+    names = [f"_l{i}" for i in range(len(shares))]
+    schema = f"{kind}, w array<double>, step array<double>, {', '.join(f'{c} double' for c in names)}"
+    found = tried.mapInArrow(_sums(moved_key, most, ["x", "w", "step"], values, names, ["w", "step"]), schema)
+    found = found.groupBy(*key).agg(F.first("w").alias("w"), F.first("step").alias("step"), *[F.sum(c).alias(c) for c in names])
+    best = F.greatest(*names)
 
     def weights(share: float) -> Column:
         return F.zip_with("w", "step", lambda w, s: w + share * s)
 
-    def value(share: float) -> Column:
-        shift = _dot(F.col("x"), weights(share))
-        return F.sum(F.col("n") * (F.ln("expected") + shift) - F.col("expected") * F.exp(shift))
-
-    shares = (0.0, *STEPS)  # the first of equals: no step without a gain
-    found = tried.groupBy(*key, "w", "step").agg(*[value(s).alias(f"_l{i}") for i, s in enumerate(shares)])
-    best = F.greatest(*[f"_l{i}" for i in range(len(shares))])
-    chosen = F.coalesce(*[F.when(F.col(f"_l{i}") == best, weights(s)) for i, s in enumerate(shares)])
+    chosen = F.coalesce(*[F.when(F.col(c) == best, weights(s)) for c, s in zip(names, shares, strict=True)])
     return cut(found.select(*key, chosen.alias("w"), best.alias("ll")))
 
 
@@ -163,10 +218,15 @@ def fit(
     """Sample weights, region weights, and the log-likelihood of every part and model after each round."""
     most = max(factors)
     samples, regions = start_weights(cells, factors, lone_share)
+    # In order of either key, so that a batch holds many rows of few keys; ranges of both, so that no key needs a task alone.
+    by_region, by_sample = (
+        cut(cells.repartitionByRange(*order).sortWithinPartitions(*order))
+        for order in (("part", "region_id", "sample_name"), ("part", "sample_name", "region_id"))
+    )
     history: list[DataFrame] = []
     for _ in range(rounds):
-        regions = half_round(cells, samples, "sample_name", regions, "region_id", most).drop("ll")
-        stepped = half_round(cells, regions, "region_id", samples, "sample_name", most)
+        regions = half_round(by_region, samples, "sample_name", regions, "region_id", most).drop("ll")
+        stepped = half_round(by_sample, regions, "region_id", samples, "sample_name", most)
         history.append(cut(stepped.groupBy("part", "k").agg(F.sum("ll").alias("ll"))))
         samples = stepped.drop("ll")
         if len(history) > 1:
@@ -176,7 +236,7 @@ def fit(
                 break
     samples, regions = orthogonal(samples, regions, most)
     samples = without_lone(samples, lone_share)
-    regions = half_round(cells, samples, "sample_name", regions, "region_id", most).drop("ll")
+    regions = half_round(by_region, samples, "sample_name", regions, "region_id", most).drop("ll")
     return samples, regions, history
 
 

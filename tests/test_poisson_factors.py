@@ -1,6 +1,7 @@
 """Latent factors fitted as Poisson counts, against NumPy on whole matrices."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,27 @@ def test_whole_fixture(spark, middle):
     bic = {(r.label, r.contig, r.k): r.bic for r in pc.latent_bic(pf.poisson_models(k0, tried, rounds=2), tried).collect()}
     parts = k0.select("label", "contig").distinct().count()
     assert len(bic) == 3 * parts and all(np.isfinite(b) for b in bic.values())
+
+
+def test_a_cell_is_one_row_for_all_models():
+    rng = np.random.default_rng(8)
+    rows, models, most = 50, 2, 3
+    keys, parts = rng.integers(0, 4, rows), rng.choice(["a", "b"], rows)
+    x = rng.normal(size=(rows, models, most))
+    w = rng.normal(size=(8, models, most))[2 * keys + (parts == "b")]
+    flat = lambda v: pa.array(list(v.reshape(rows, -1)), pa.list_(pa.float64()))
+    n = [None if i == 7 else float(i) for i in range(rows)]
+    columns = {"part": pa.array(parts.tolist()), "region_id": pa.array(keys), "n": pa.array(n, pa.float64()), "expected": pa.array(rng.uniform(1, 2, rows))}
+    batch = pa.RecordBatch.from_pydict(columns | {"ks": pa.array([[1, 3]] * rows, pa.list_(pa.int32())), "x": flat(x), "w": flat(w)}).slice(5)
+
+    def terms(n, expected, x, w):
+        yield np.nan_to_num(n * (x * w).sum(axis=2))
+
+    (out,) = pf._sums("region_id", most, ["x", "w"], terms, ["total"], ["w"])(iter([batch]))
+    found = {(r["part"], r["k"], r["region_id"]): (r["total"], r["w"]) for r in out.to_pylist()}
+    assert len(found) == out.num_rows == 2 * len({*zip(parts[5:], keys[5:])})
+    for (part, k, key), (total, own) in found.items():
+        at = [i for i in range(5, rows) if parts[i] == part and keys[i] == key]
+        m = [1, 3].index(k)
+        assert total == pytest.approx(sum((n[i] or 0.0) * float(x[i, m] @ w[i, m]) for i in at))
+        assert own == w[at[0], m].tolist()
