@@ -158,17 +158,18 @@ def count_overlaps(targets: DataFrame, reads: DataFrame, samples: DataFrame | No
 
 
 def running_totals(
-    events: DataFrame, keys: list[str], order: str, sums: list[str], bucket: Column
+    events: DataFrame, keys: list[str], order: str, sums: list[str], bucket: Column, loose: DataFrame | None = None
 ) -> DataFrame:
     """Running sum of each column over the rows of a key up to and including the row's order value.
 
     Sums run inside buckets, which must grow with the order; the totals of earlier buckets are added. No task
-    has to sort a whole key.
+    has to sort a whole key. Where the events are sums themselves, `loose` holds the rows they were added up from: totals of
+    buckets are taken from these, so that the events are made once.
     """
     buckets = events.withColumn("_bucket", bucket)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        buckets.groupBy(*keys, "_bucket")
+        (buckets if loose is None else loose.withColumn("_bucket", bucket)).groupBy(*keys, "_bucket")
         .agg(*[F.sum(s).alias(s) for s in sums])
         .select(*keys, "_bucket", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_off_{s}") for s in sums])
     )
@@ -188,19 +189,19 @@ def count_overlaps_sweep(targets: DataFrame, reads: DataFrame, samples: DataFram
     """
     samples = reads if samples is None else samples
     zero = F.lit(0).cast("long")
+    ends = reads.select(
+        "sample_name",
+        "contig",
+        F.explode(
+            F.array(
+                F.struct(F.col("start_bp").alias("at"), F.lit(1).alias("opened"), F.lit(0).alias("closed")),
+                F.struct(F.col("end_bp").alias("at"), F.lit(0).alias("opened"), F.lit(1).alias("closed")),
+            )
+        ).alias("e"),
+    ).select("sample_name", "contig", "e.*")
     bounds = (
-        reads.select(
-            "sample_name",
-            "contig",
-            F.explode(
-                F.array(
-                    F.struct(F.col("start_bp").alias("at"), F.lit(1).alias("opened"), F.lit(0).alias("closed")),
-                    F.struct(F.col("end_bp").alias("at"), F.lit(0).alias("opened"), F.lit(1).alias("closed")),
-                )
-            ).alias("e"),
-        )
-        .groupBy("sample_name", "contig", F.col("e.at").alias("at"))
-        .agg(F.sum("e.opened").cast("long").alias("opened"), F.sum("e.closed").cast("long").alias("closed"))
+        ends.groupBy("sample_name", "contig", "at")
+        .agg(F.sum("opened").cast("long").alias("opened"), F.sum("closed").cast("long").alias("closed"))
         .withColumns({"region_id": F.lit(None).cast("long"), "upper": F.lit(None).cast("boolean")})
     )
     asked = (
@@ -221,7 +222,8 @@ def count_overlaps_sweep(targets: DataFrame, reads: DataFrame, samples: DataFram
     )
     events = bounds.unionByName(asked)
     bucket = F.shiftright("at", SWEEP_SHIFT)
-    swept = running_totals(events, ["sample_name", "contig"], "at", ["opened", "closed"], bucket)
+    loose = ends.unionByName(asked.select(*ends.columns))
+    swept = running_totals(events, ["sample_name", "contig"], "at", ["opened", "closed"], bucket, loose)
     signed = F.when(F.col("upper"), F.col("total_opened")).otherwise(-F.col("total_closed"))
     return (
         swept.where(F.col("region_id").isNotNull())

@@ -189,3 +189,10 @@ def test_weighted_mean_lists_no_track_under_bins(spark):
     targets = spark.createDataFrame([(0, "1", 1, 9)], "region_id long, contig string, start_bp long, end_bp long")
     track = spark.createDataFrame([("1", 1, 1 << 40, 0.5)], "contig string, start_bp long, end_bp long, v double")
     assert iv.weighted_mean_over(targets, track, "v", "m").first().m == 0.5
+
+
+def test_the_sweep_adds_up_reads_by_position_once(spark):
+    reads = spark.createDataFrame([("s1", "1", i * 37 % 900, i * 37 % 900 + 40) for i in range(300)], "sample_name string, contig string, start_bp long, end_bp long")
+    targets = spark.range(20).selectExpr("id region_id", "'1' contig", "id * 50 start_bp", "id * 50 + 30 end_bp")
+    plan = iv.count_overlaps_sweep(targets, reads)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Aggregate [sample_name" in line and ", at#" in line.split("]")[0] for line in plan.splitlines()) == 1

@@ -152,3 +152,39 @@ def test_a_cell_is_one_row_for_all_models():
         m = [1, 3].index(k)
         assert total == pytest.approx(sum((n[i] or 0.0) * float(x[i, m] @ w[i, m]) for i in at))
         assert own == w[at[0], m].tolist()
+
+
+def gappy(spark):
+    """Parts of different width and string keys; cells missing, twice and without a sample."""
+    rows = []
+    for part, (n, e) in {"a": planted(1), "b": planted(2, samples=9, regions=25, depth=8.0)}.items():
+        cells = [(part, f"S{s:03}", f"R{r}", int(n[s, r]), float(e[s, r])) for s in range(n.shape[0]) for r in range(n.shape[1])]
+        rows += [c for i, c in enumerate(cells) if i % 11 != 4] + cells[:3] + [(part, None, "R1", 5, 5.0)]
+    return cut(spark.createDataFrame(rows, "part string, sample_name string, region_id string, n long, expected double"))
+
+
+def test_blocks_agree_with_a_row_for_each_cell(spark, monkeypatch):
+    cells = gappy(spark)
+    found = []
+    for most_samples, layout in ((pf.BLOCK_SAMPLES, pf.Blocks), (0, pf.Cells)):
+        monkeypatch.setattr(pf, "BLOCK_SAMPLES", most_samples)
+        monkeypatch.setattr(pf, "BLOCK_CELLS", 100)
+        assert isinstance(pf.laid_out(cells, *pf.start_weights(cells, [1, 3], 1.1), [1, 3]), layout)
+        samples, regions, history = pf.fit(cells, [1, 3], rounds=2, gain=0.0, lone_share=1.1)
+        assert (samples.count(), regions.count()) == (2 * (12 + 9), 2 * (40 + 25))
+        w = {(r.part, r.k, r[2]): np.array(r.w) for side in (samples, regions) for r in side.collect()}
+        shifts = {(p, k, s, r): w[p, k, s] @ w[p, k, r] for p, k, s in w if s[0] == "S" for q, j, r in w if (q, j) == (p, k) and r[0] == "R"}
+        found.append((shifts, [{(r.part, r.k): r.ll for r in h.collect()} for h in history]))
+    (shifts, lls), (plain_shifts, plain_lls) = found
+    assert shifts.keys() == plain_shifts.keys() and [h.keys() for h in lls] == [h.keys() for h in plain_lls]
+    assert all(shifts[k] == pytest.approx(plain_shifts[k], abs=1e-6) for k in shifts)
+    assert all(h[k] == pytest.approx(g[k], rel=1e-9) for h, g in zip(lls, plain_lls) for k in h)
+
+
+def test_blocks_are_many_and_mostly_missing_cells_stay_rows(spark, monkeypatch):
+    monkeypatch.setattr(pf, "BLOCK_CELLS", 100)
+    cells = gappy(spark)
+    layout = pf.laid_out(cells, *pf.start_weights(cells, [2], 1.1), [2])
+    assert layout.cells.where("part = 'a'").count() > 2 and layout.cells.where("size(region_id) * 12 > 400").isEmpty()
+    sparse = cells.where("pmod(hash(sample_name, region_id), 3) = 0")
+    assert isinstance(pf.laid_out(sparse, *pf.start_weights(sparse, [2], 1.1), [2]), pf.Cells)
